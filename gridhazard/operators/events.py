@@ -64,32 +64,33 @@ def forward_filled(coarse, fine, value, out) -> DataFrame:
     return fine.join(d.select("t", F.col("prev.v").alias(out)), "t", "left")
 
 
-def _local_minima(cand: DataFrame, half: int) -> DataFrame:
-    """Candidates that are the least (rank value, t) of all candidates within ``half``.
+def _local_minima(cand: DataFrame, half: int, keys=()) -> DataFrame:
+    """Candidates that are the least (v, t) of all candidates within ``half``.
 
     A bucket spans ``half`` positions, so a candidate only has to be shown to its
     own and the two neighbouring buckets: at most 3 * half rows per group.
     """
+    keys = list(keys)
     home = F.floor(F.col("t") / half)
     spread = cand.withColumn("_home", home).withColumn(
         "_b", F.explode(F.array(F.col("_home") - 1, F.col("_home"), F.col("_home") + 1))
     )
-    w = Window.partitionBy("_b").orderBy("t").rangeBetween(-half, half)
+    w = Window.partitionBy(*keys, "_b").orderBy("t").rangeBetween(-half, half)
     return (
         spread.withColumn("_best", F.min(F.struct("v", "t")).over(w))
         .filter((F.col("_b") == F.col("_home")) & (F.col("_best.t") == F.col("t")))
-        .select("t", "v")
+        .select(*keys, "t", "v")
     )
 
 
-def around(points: DataFrame, half: int) -> DataFrame:
+def around(points: DataFrame, half: int, keys=()) -> DataFrame:
     """Every position within ``half`` of a point."""
     return points.select(
-        F.explode(F.sequence(F.col("t") - half, F.col("t") + half)).alias("t")
+        *keys, F.explode(F.sequence(F.col("t") - half, F.col("t") + half)).alias("t")
     ).distinct()
 
 
-def exclusion_picks(candidates: DataFrame, half: int) -> DataFrame:
+def exclusion_picks(candidates: DataFrame, half: int, keys=()) -> DataFrame:
     """Greedy extremal exclusion over ``candidates(t, v)``, least ``v`` first, ties to the earliest.
 
     Taking the global minimum and masking its surroundings again and again picks
@@ -97,13 +98,14 @@ def exclusion_picks(candidates: DataFrame, half: int) -> DataFrame:
     been masked. So all current local minima can be taken at once; a few rounds
     settle the series. Each round is cut by a reliable checkpoint.
     """
-    left = cut_lineage(candidates.select("t", "v"))
+    keys = list(keys)
+    left = cut_lineage(candidates.select(*keys, "t", "v"))
     picks = None
     while not left.isEmpty():
-        won = cut_lineage(_local_minima(left, half))
+        won = cut_lineage(_local_minima(left, half, keys))
         picks = won if picks is None else picks.union(won)
-        left = cut_lineage(left.join(around(won, half), "t", "left_anti"))
-    return picks if picks is not None else candidates.select("t", "v").limit(0)
+        left = cut_lineage(left.join(around(won, half, keys), keys + ["t"], "left_anti"))
+    return picks if picks is not None else candidates.select(*keys, "t", "v").limit(0)
 
 
 def greedy_phase(series: DataFrame, value, threshold, half, inclusive=False) -> DataFrame:

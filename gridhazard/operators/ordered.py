@@ -72,15 +72,15 @@ def shifted(df, keys, buckets, order, value, out, step=1) -> DataFrame:
     move = F.lag if step > 0 else F.lead
     ends = (
         df.groupBy(*keys, *buckets)
-        .agg(edge.alias("_e"))
-        .withColumn("_c", move("_e").over(kw))
-        .drop("_e")
+        .agg(edge.alias("_xe"))
+        .withColumn("_xc", move("_xe").over(kw))
+        .drop("_xe")
     )
-    inner = df.withColumn("_i", move(item).over(w))
+    inner = df.withColumn("_xi", move(item).over(w))
     return (
         _join_back(inner, ends, keys + buckets)
-        .withColumn(out, F.coalesce("_i", "_c")["_v"])
-        .drop("_i", "_c")
+        .withColumn(out, F.coalesce("_xi", "_xc")["_v"])
+        .drop("_xi", "_xc")
     )
 
 
@@ -104,15 +104,15 @@ def running_sum(df, keys, buckets, order, value, out) -> DataFrame:
     kw = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(_UP, -1)
     ends = (
         df.groupBy(*keys, *buckets)
-        .agg(F.sum(value).alias("_t"))
-        .withColumn("_c", F.sum("_t").over(kw))
-        .drop("_t")
+        .agg(F.sum(value).alias("_xt"))
+        .withColumn("_xc", F.sum("_xt").over(kw))
+        .drop("_xt")
     )
-    inner = df.withColumn("_i", F.sum(value).over(w))
+    inner = df.withColumn("_xi", F.sum(value).over(w))
     return (
         _join_back(inner, ends, keys + buckets)
-        .withColumn(out, F.col("_i") + F.coalesce("_c", F.lit(0)))
-        .drop("_i", "_c")
+        .withColumn(out, F.col("_xi") + F.coalesce("_xc", F.lit(0)))
+        .drop("_xi", "_xc")
     )
 
 
