@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SQRT2 = math.sqrt(2.0)
@@ -61,10 +61,7 @@ def _horner(x: Column, coeffs) -> Column:
     return out
 
 
-def norm_cdf(x: Column) -> Column:
-    """Standard normal CDF."""
-    a = F.abs(x)
-    e = F.exp(-x * x / 2.0)
+def _norm_cdf_parts(x: Column, a: Column, e: Column) -> Column:
     core = e * _horner(a, PHI_NUM) / _horner(a, PHI_DEN)
     frac = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))
     tail = e / frac / F.lit(PHI_TAIL)
@@ -72,16 +69,17 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x > 0.0, 1.0 - lower).otherwise(lower)
 
 
+def norm_cdf(x: Column) -> Column:
+    """Standard normal CDF of a plain column (see :func:`with_norm_cdf` for expressions)."""
+    return _norm_cdf_parts(x, F.abs(x), F.exp(-x * x / 2.0))
+
+
 def erf(x: Column) -> Column:
     return 2.0 * norm_cdf(x * SQRT2) - 1.0
 
 
-def probit(p: Column) -> Column:
-    """Inverse of :func:`norm_cdf` for 0 < p < 1; null outside."""
-    q = p - 0.5
-    r0 = 0.180625 - q * q
+def _probit_parts(p: Column, q: Column, r0: Column, r: Column) -> Column:
     centre = q * _horner(r0, PROBIT_A) / _horner(r0, PROBIT_B)
-    r = F.sqrt(-F.ln(F.when(q < 0.0, p).otherwise(1.0 - p)))
     near = _horner(r - 1.6, PROBIT_C) / _horner(r - 1.6, PROBIT_D)
     far = _horner(r - 5.0, PROBIT_E) / _horner(r - 5.0, PROBIT_F)
     tail = F.signum(q) * F.when(r <= 5.0, near).otherwise(far)
@@ -89,10 +87,41 @@ def probit(p: Column) -> Column:
     return F.when((p > 0.0) & (p < 1.0), value)
 
 
+def probit(p: Column) -> Column:
+    """Inverse normal CDF of a plain column for 0 < p < 1; null outside."""
+    q = p - 0.5
+    return _probit_parts(p, q, 0.180625 - q * q, F.sqrt(-F.ln(F.least(p, 1.0 - p))))
+
+
 def erfinv(y: Column) -> Column:
     return probit((y + 1.0) / 2.0) / SQRT2
 
 
+def with_norm_cdf(df: DataFrame, x: Column, out: str) -> DataFrame:
+    """Add the normal CDF of an expression, its parts as columns of their own.
+
+    A polynomial repeats its argument a dozen times; naming the argument first
+    keeps the generated code small enough to compile.
+    """
+    return (
+        df.withColumn("_x", x)
+        .withColumns({"_a": F.abs("_x"), "_e": F.exp(-F.col("_x") * F.col("_x") / 2.0)})
+        .withColumn(out, _norm_cdf_parts(F.col("_x"), F.col("_a"), F.col("_e")))
+        .drop("_x", "_a", "_e")
+    )
+
+
+def with_probit(df: DataFrame, p: Column, out: str) -> DataFrame:
+    """Add the inverse normal CDF of an expression (staged like :func:`with_norm_cdf`)."""
+    return (
+        df.withColumn("_p", p)
+        .withColumns({"_q": F.col("_p") - 0.5, "_r": F.sqrt(-F.ln(F.least(F.col("_p"), 1.0 - F.col("_p"))))})
+        .withColumn("_r0", 0.180625 - F.col("_q") * F.col("_q"))
+        .withColumn(out, _probit_parts(F.col("_p"), F.col("_q"), F.col("_r0"), F.col("_r")))
+        .drop("_p", "_q", "_r", "_r0")
+    )
+
+
 def weibull_cdf(x: Column, shape: Column, scale: Column) -> Column:
     return 1.0 - F.exp(-F.pow(F.greatest(x / scale, F.lit(1e-12)), shape))
 
@@ -114,16 +143,18 @@ def lognormal_cdf(x: Column, mu: Column, sigma: Column) -> Column:
     return norm_cdf((F.ln(x) - mu) / sigma)
 
 
-def truncated_lognormal_quantile(tail: Column, mu: Column, sigma: Column, xmin: Column) -> Column:
-    """Value exceeded with probability ``tail`` under a lognormal cut off below ``xmin``."""
+def with_truncated_lognormal_quantile(df, tail, mu, sigma, xmin, out) -> DataFrame:
+    """Add the value exceeded with probability ``tail`` under a lognormal cut off below ``xmin``."""
     eps = 1e-12
-    y = clip(tail, eps, 1.0 - eps)
-    t = (F.ln(F.greatest(xmin, F.lit(eps))) - mu) / sigma
-    q = clip(2.0 * norm_cdf(t) - 1.0, -1.0 + eps, 1.0 - eps)
-    a = clip(q * y - y + 1.0, -1.0 + eps, 1.0 - eps)
-    value = mu + sigma * probit((a + 1.0) / 2.0)
-    out = F.exp(clip(value, math.log(eps), 700.0))
-    return F.when(finite(mu) & finite(sigma) & (sigma > 0.0), out)
+    m, s = F.col(mu), F.col(sigma)
+    d = df.withColumn("_y", clip(tail, eps, 1.0 - eps))
+    d = with_norm_cdf(d, (F.ln(F.greatest(F.col(xmin), F.lit(eps))) - m) / s, "_phi")
+    d = d.withColumn("_big", clip(2.0 * F.col("_phi") - 1.0, -1.0 + eps, 1.0 - eps))
+    a = clip(F.col("_big") * F.col("_y") - F.col("_y") + 1.0, -1.0 + eps, 1.0 - eps)
+    d = with_probit(d, (a + 1.0) / 2.0, "_z")
+    value = F.exp(clip(m + s * F.col("_z"), math.log(eps), 700.0))
+    usable = finite(m) & finite(s) & (s > 0.0)
+    return d.withColumn(out, F.when(usable, value)).drop("_y", "_phi", "_big", "_z")
 
 
 def clip(x: Column, low: float, high: float) -> Column:

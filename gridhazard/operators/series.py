@@ -38,15 +38,15 @@ def nearest_filled(series, keys, value, out) -> DataFrame:
 
 def detrended(series, keys, value, out) -> DataFrame:
     """Residual of a straight least-squares line over the sample index of each key."""
-    first = series.groupBy(*keys).agg(F.min("t").alias("_t0"))
-    d = series.join(first, list(keys)).withColumn("_i", (F.col("t") - F.col("_t0")).cast("double"))
+    # The slope does not depend on where the index starts, so the position itself serves.
+    d = series.withColumn("_i", F.col("t").cast("double"))
     fit = d.groupBy(*keys).agg(
-        F.regr_slope(value, "_i").alias("_s"), F.regr_intercept(value, "_i").alias("_k")
+        F.regr_slope(value, "_i").alias("_s"), F.avg(value).alias("_m"), F.avg("_i").alias("_im")
     )
     return (
         d.join(fit, list(keys))
-        .withColumn(out, F.col(value) - (F.col("_k") + F.col("_s") * F.col("_i")))
-        .drop("_t0", "_i", "_s", "_k")
+        .withColumn(out, F.col(value) - F.col("_m") - F.col("_s") * (F.col("_i") - F.col("_im")))
+        .drop("_i", "_s", "_m", "_im")
     )
 
 
