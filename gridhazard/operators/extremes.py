@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from gridhazard.functions import scalar as S
 from gridhazard.functions.rng import uniform
 from gridhazard.operators.ordered import running_sum
-
-POOL_BUCKETS_PER_UNIT = 1.0
+from gridhazard.session import cut_lineage
 
 
 def sampling_pool(maxima, entity, value, scale=1.0, min_points=5) -> DataFrame:
@@ -44,8 +43,9 @@ def bootstrap_draws(pool, width, attempts=100, n_years=39, seed=7) -> DataFrame:
     intervals, first over slices, then inside a slice, so the pool itself is
     never multiplied and never sorted as a whole.
     """
-    ranked = ranked_pool(pool, width)
-    sizes = pool.groupBy("entity").agg(F.sum("copies").alias("n"))
+    # Read three times below, so the scan and the ranking behind it are done once.
+    ranked = cut_lineage(ranked_pool(pool, width))
+    sizes = ranked.groupBy("entity").agg(F.max("hi").alias("n"))
     draws = (
         sizes.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_years - 1))))

@@ -10,6 +10,7 @@ from gridhazard.operators import series as R
 from gridhazard.plans import sqltext as X
 from gridhazard.plans.catalogue import sessions
 from gridhazard.plans.registry import epoch_hour, query, table
+from gridhazard.session import cut_lineage
 
 DAYSQL = f"{X.hour('ts')} // 24"
 
@@ -109,7 +110,10 @@ def storm_observations(spark, sf):
     cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("obs"))
     ev = table(spark, sf, "events").withColumn("t", epoch_hour("ts")).join(cust, "user_id")
     hourly = ev.groupBy("obs", "t").agg(F.max("value").alias("bx"), F.min("value").alias("by"))
-    cut = E.in_windows(hourly, sessions(spark, sf)).withColumnRenamed("start_t", "storm")
+    spine = R.whole_day_spine(hourly, ["obs"]).join(hourly, ["obs", "t"], "left")
+    for c in ("bx", "by"):
+        spine = R.nearest_filled(spine, ["obs"], c, f"{c}_f").drop(c).withColumnRenamed(f"{c}_f", c)
+    cut = E.in_windows(spine, sessions(spark, sf)).withColumnRenamed("start_t", "storm")
     full = R.common_positions(cut, "storm", "obs")
     return cut.join(full, ["storm", "t"], "left_semi").select("storm", "t", "obs", "bx", "by")
 
@@ -120,7 +124,8 @@ def station_coordinates(df, key):
 
 
 def synthesised(spark, sf):
-    obs = storm_observations(spark, sf)
+    # The aligned readings feed both the weights and the synthesis.
+    obs = cut_lineage(storm_observations(spark, sf))
     stations = station_coordinates(obs.select("storm", "obs").distinct(), "obs")
     sites = station_coordinates(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site")), "site")
     return V.synthesised_field(obs, V.transfer_weights(stations, sites))
