@@ -86,7 +86,7 @@ def transfer_matrix(obs_lat, obs_lon, site_lat, site_lon, cutoff=0.05) -> np.nda
     return np.vstack(_unit_currents(site_lat, site_lon)) @ back
 
 
-def transfer_weights(observers, sites, chunks=32) -> DataFrame:
+def transfer_weights(observers, sites, chunks=8) -> DataFrame:
     """Weights per (storm, site) from ``observers(storm, obs, lat, lon)`` and ``sites(site, lat, lon)``.
 
     A storm's observatories are a short list (a few dozen stations). Sites are

@@ -1,4 +1,4 @@
 """Runnable queries: each plan module wires operators to the given tables."""
 
-from gridhazard.plans import catalogue, extremes, fields, impact, sensors  # noqa: F401
+from gridhazard.plans import catalogue, currents, extremes, fields, impact, sensors  # noqa: F401
 from gridhazard.plans.registry import REGISTRY  # noqa: F401

@@ -233,14 +233,14 @@ def economics(spark, sf):
         ]
     by_sub = d.groupBy(F.col("l_suppkey").alias("sub_id")).agg(*sums)
     pop = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("sub_id"), (F.greatest(F.col("s_acctbal"), F.lit(0.0)) / 7).alias("pop")
+        F.col("s_suppkey").alias("sub_id"), (F.greatest(F.col("s_acctbal"), F.lit(0.0)) / 7.31).alias("pop")
     )
     return by_sub.join(pop, "sub_id")
 
 
 METRICS = ["pop"] + [f"gdp_{t}" for t in TYPES] + [f"est_{t}" for t in TYPES]
 
-ECON = "econ AS (SELECT l_suppkey AS sub_id, any_value(greatest(s_acctbal, 0) / 7) AS pop, " + ", ".join(
+ECON = "econ AS (SELECT l_suppkey AS sub_id, any_value(greatest(s_acctbal, 0) / 7.31e0) AS pop, " + ", ".join(
     f"sum(CASE WHEN p_type = '{t}' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) AS gdp_{t}, "
     f"sum(CASE WHEN p_type = '{t}' THEN l_quantity ELSE 0 END) AS est_{t}" for t in TYPES
 ) + " FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)"
