@@ -251,7 +251,9 @@ def _solve_grouped(system, rhs, rhs_block, tol, max_iter):
         "block", F.pmod(F.xxhash64("scenario"), F.lit(rhs_block)).cast("int")
     )
     right = rhs.join(blocks, ["realization", "scenario"])
-    left = system.join(blocks.select("realization", "block").distinct(), "realization")
+    left = system.join(blocks.select("realization", "block").distinct(), "realization").select(
+        *[F.col(c).alias(c) for c in ("realization", "block", "i", "j", "y")]
+    )
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

@@ -129,17 +129,15 @@ def winding_values(spark, sf):
 
 @query(
     "N03",
-    """WITH c AS (SELECT l_suppkey AS sub_id, count(DISTINCT l_linenumber) - 4 AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
-       SELECT s_suppkey AS sub_id, unnest(range(1, CAST(least(coalesce(n, 1), 3) AS BIGINT) + 1)) AS unit FROM supplier LEFT JOIN c ON c.sub_id = s_suppkey
-       WHERE coalesce(n, 1) > 0""",
+    """WITH c AS (SELECT l_suppkey AS sub_id, count(*) % 5 AS n FROM lineitem GROUP BY 1)
+       SELECT s_suppkey AS sub_id, unnest(range(1, CAST(least(coalesce(nullif(n, 0), 1), 3) AS BIGINT) + 1)) AS unit FROM supplier LEFT JOIN c ON c.sub_id = s_suppkey""",
 )
 def counted_units(spark, sf):
-    c = table(spark, sf, "lineitem").filter("l_quantity > 49").groupBy(F.col("l_suppkey").alias("sub_id")).agg(
-        (F.count_distinct("l_linenumber") - 4).alias("n_transformers")
+    c = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sub_id")).agg(
+        F.nullif(F.count(F.lit(1)) % 5, F.lit(0)).alias("n_transformers")
     )
     st = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sub_id"))
-    have = st.join(c, "sub_id", "left").filter(F.coalesce("n_transformers", F.lit(1)) > 0).select("sub_id")
-    return N.counted_transformers(have, c).select("sub_id", F.col("unit").cast("bigint").alias("unit"))
+    return N.counted_transformers(st, c).select("sub_id", F.col("unit").cast("bigint").alias("unit"))
 
 
 @query("N04", f"WITH {STATIONS} SELECT realization, sub_id, CASE WHEN isinf(rg) THEN -1 ELSE round(rg, 9) END AS rg FROM sg")
@@ -184,13 +182,13 @@ def injections(spark, sf):
 
 @query(
     "N08",
-    """WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS k, l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_discount = 0 AND l_quantity > 25 AND l_tax > 0.03),
+    """WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS k, l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem),
        u AS (SELECT k, a, b FROM e UNION SELECT k, b, a FROM e),
        reach(k, root, node) AS (SELECT DISTINCT k, a, a FROM u WHERE a < 1000000 UNION SELECT r.k, r.root, u.b FROM reach r JOIN u ON u.k = r.k AND u.a = r.node)
        SELECT k AS realization, node, min(root) AS label FROM reach GROUP BY 1, 2""",
 )
 def components(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_discount = 0 AND l_quantity > 25 AND l_tax > 0.03")
+    li = table(spark, sf, "lineitem")
     e = li.select(F.col("l_linenumber").cast("bigint").alias("realization"), F.col("l_suppkey").alias("a"), (F.lit(1000000) + F.col("l_partkey")).alias("b"))
     return N.components(e).select("realization", "node", "label")
 
@@ -309,14 +307,14 @@ def storm_replay(spark, sf):
 
 @query(
     "N23",
-    """WITH n AS (SELECT l_suppkey AS sub, sum(l_tax) AS g FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 48 AND l_linenumber = 1 GROUP BY 1),
-       e AS (SELECT l_suppkey AS sub, sum(l_discount) AS g FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48 AND l_linenumber = 2 GROUP BY 1)
+    """WITH n AS (SELECT l_orderkey AS sub, sum(l_tax) AS g FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+       e AS (SELECT l_orderkey AS sub, sum(l_discount) AS g FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
        SELECT coalesce(n.sub, e.sub) AS sub, round(coalesce(n.g, 0), 4) AS northward, round(coalesce(e.g, 0), 4) AS eastward FROM n FULL OUTER JOIN e ON n.sub = e.sub""",
 )
 def field_results(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity > 48").withColumn("sub", F.col("l_suppkey"))
-    n = li.filter("l_returnflag = 'A' AND l_linenumber = 1").groupBy("sub").agg(F.sum("l_tax").alias("gic"))
-    e = li.filter("l_returnflag = 'R' AND l_linenumber = 2").groupBy("sub").agg(F.sum("l_discount").alias("gic"))
+    li = table(spark, sf, "lineitem").withColumn("sub", F.col("l_orderkey"))
+    n = li.filter("l_returnflag = 'A'").groupBy("sub").agg(F.sum("l_tax").alias("gic"))
+    e = li.filter("l_returnflag = 'R'").groupBy("sub").agg(F.sum("l_discount").alias("gic"))
     return N.outer_results(n, e, "sub", ("northward", "eastward")).select("sub", F.round("northward", 4).alias("northward"), F.round("eastward", 4).alias("eastward"))
 
 
