@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridhazard.functions.fixed_values import NAICS_SECTOR
 from gridhazard.operators.topology import lookup
+from gridhazard.session import cut_lineage
 
 MASK_CLASSES = (21, 22, 23, 24)
 
@@ -160,10 +163,30 @@ def _product(left, right):
     return l.join(r, "k").groupBy("row", "col").agg(F.sum(F.col("la") * F.col("ra")).alias("a"))
 
 
-def series_inverse(coefficients, doublings=7) -> DataFrame:
-    """(I - A)^-1 = (I + A)(I + A^2)(I + A^4)... for a sector matrix, entry by entry."""
-    from gridhazard.session import cut_lineage
+MATRIX_SECTORS = 500  # largest sector matrix inverted inside one task
+
+
+def sector_inverse(coefficients, limit=MATRIX_SECTORS) -> DataFrame:
+    """(I - A)^-1 of a sector matrix, entry by entry.
+
+    A sector matrix is a few rows (ten sectors here), checked before it is handed
+    to one task; a larger one goes through :func:`series_inverse`.
+    """
+    if coefficients.select("row").union(coefficients.select("col")).distinct().count() > limit:
+        return series_inverse(coefficients)
 
+    def invert(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([pdf["row"], pdf["col"]]))
+        m = np.zeros((len(names), len(names)))
+        np.add.at(m, (np.searchsorted(names, pdf["row"]), np.searchsorted(names, pdf["col"])), pdf["a"].to_numpy())
+        inv = np.linalg.inv(np.eye(len(names)) - m)
+        return pd.DataFrame({"row": np.repeat(names, len(names)), "col": np.tile(names, len(names)), "a": inv.ravel()})
+
+    return coefficients.groupBy(F.lit(0)).applyInPandas(invert, "row string, col string, a double")
+
+
+def series_inverse(coefficients, doublings=7) -> DataFrame:
+    """(I - A)^-1 = (I + A)(I + A^2)(I + A^4)... as joins and sums over the entries."""
     sectors = coefficients.select("row").union(coefficients.select("col")).distinct()
     eye = sectors.select("row", F.col("row").alias("col"), F.lit(1.0).alias("a"))
     power = cut_lineage(coefficients.select("row", "col", "a"))

@@ -281,12 +281,12 @@ GHO = f"{UT},\nbb AS (SELECT r, c, a * xj.x / xi.x AS a FROM aa JOIN xo xi ON xi
 @query("I04", f"WITH {LEO} SELECT c AS sector, round(sum(a), 6) AS multiplier FROM leo GROUP BY 1")
 def output_multipliers(spark, sf):
     a, _ = technology(spark, sf)
-    return E.series_inverse(a).groupBy(F.col("col").alias("sector")).agg(F.round(F.sum("a"), 6).alias("multiplier"))
+    return E.sector_inverse(a).groupBy(F.col("col").alias("sector")).agg(F.round(F.sum("a"), 6).alias("multiplier"))
 
 
 def ghosh(spark, sf):
     a, x = technology(spark, sf)
-    return E.series_inverse(E.allocation_coefficients(a, x)), x
+    return E.sector_inverse(E.allocation_coefficients(a, x)), x
 
 
 # Impacts per realization: supplier; sector by part number; scenario by return flag.

@@ -12,12 +12,8 @@ Data struct<Period:array<struct<_value:double,
   `Z.VAR`:struct<value:array<struct<_name:string,_VALUE:string>>>>>>"""
 
 
-def read_em_sites(spark: SparkSession, path: str) -> DataFrame:
-    """Impedance files -> one row per (site, period, element)."""
-    raw = (
-        spark.read.format("xml").option("rowTag", "EM_TF").schema(EM_XML_SCHEMA)
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(path)
-    )
+def _elements(raw: DataFrame) -> DataFrame:
+    """Parsed site records -> one row per (site, period, element)."""
     per = raw.select(
         F.col("SiteId").alias("site"), F.col("Latitude").alias("latitude"),
         F.col("Longitude").alias("longitude"), F.col("Rating").alias("rating"),
@@ -31,7 +27,7 @@ def read_em_sites(spark: SparkSession, path: str) -> DataFrame:
         "site", "latitude", "longitude", "rating", F.col("p._value").alias("period"),
         variances.alias("var"), F.explode(F.col("p")["Z"]["value"]).alias("z"),
     )
-    parts = F.split(F.trim(F.col("z._VALUE")), r"\s+")
+    parts = F.split(F.trim("z._VALUE"), r"\s+")
     return rows.select(
         "site", "latitude", "longitude", "rating", "period",
         F.lower(F.regexp_replace("z._name", "(?i)^z", "")).alias("element"),
@@ -41,6 +37,20 @@ def read_em_sites(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_em_sites(spark: SparkSession, path: str) -> DataFrame:
+    """Impedance XML files of a folder tree."""
+    return _elements(
+        spark.read.format("xml").option("rowTag", "EM_TF").option("valueTag", "_VALUE").schema(EM_XML_SCHEMA)
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(path)
+    )
+
+
+def parse_em_xml(df: DataFrame, column: str) -> DataFrame:
+    """The same for XML text held in a column."""
+    parsed = F.from_xml(column, EM_XML_SCHEMA, {"rowTag": "EM_TF", "valueTag": "_VALUE"})
+    return _elements(df.select(parsed.alias("r")).select("r.*"))
+
+
 def accepted(sites: DataFrame, allow: DataFrame, min_rating: int = 3) -> DataFrame:
     """Sites on the allow-list (any letter case); without a list, sites of good rating."""
     if allow.isEmpty():
