@@ -182,7 +182,7 @@ def sector_inverse(coefficients, limit=MATRIX_SECTORS) -> DataFrame:
         inv = np.linalg.inv(np.eye(len(names)) - m)
         return pd.DataFrame({"row": np.repeat(names, len(names)), "col": np.tile(names, len(names)), "a": inv.ravel()})
 
-    return coefficients.groupBy(F.lit(0)).applyInPandas(invert, "row string, col string, a double")
+    return coefficients.groupBy(F.lit("all").alias("_all")).applyInPandas(invert, "row string, col string, a double")
 
 
 def series_inverse(coefficients, doublings=7) -> DataFrame:

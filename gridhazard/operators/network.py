@@ -17,7 +17,7 @@ from gridhazard.functions.scalar import finite_or
 from gridhazard.operators.ordered import dense_position
 from gridhazard.session import cut_lineage
 
-GROUP_NODES = 20_000  # largest network solved inside one group
+GROUP_ENTRIES = 4_000_000  # largest system (matrix entries of a realization) solved inside one group
 SINGLE = ("GSU", "GY-D", "GSU w/ GIC BD")
 WYE = ("GY-GY-D", "GY-GY")
 
@@ -226,11 +226,11 @@ def _pcg(rows, cols, vals, b, tol, max_iter):
     return x
 
 
-def solve(coo, rhs, rhs_block=64, group_nodes=GROUP_NODES, tol=1e-10, ridge=1e-6, max_iter=2000) -> DataFrame:
+def solve(coo, rhs, rhs_block=64, group_entries=GROUP_ENTRIES, tol=1e-10, ridge=1e-6, max_iter=2000) -> DataFrame:
     """Node voltages ``(realization, scenario, i, v)`` of (Y + ridge) v = b.
 
-    Networks up to ``group_nodes`` nodes (checked) are solved one block of
-    scenarios per group; larger ones by conjugate gradients whose matrix product
+    Systems up to ``group_entries`` matrix entries (checked) are solved one block
+    of scenarios per group; larger ones by conjugate gradients whose matrix product
     and dot products are Spark joins and sums over the whole table.
     """
     diag = coo.select("realization", "i").distinct().withColumn("j", F.col("i")).withColumn("y", F.lit(ridge))
@@ -240,8 +240,8 @@ def solve(coo, rhs, rhs_block=64, group_nodes=GROUP_NODES, tol=1e-10, ridge=1e-6
     rhs = rhs.select("realization", "scenario", "i", finite_or(F.col("b"), 0.0).alias("b")).join(
         diag.select("realization", "i"), ["realization", "i"], "left_semi"
     )
-    size = diag.groupBy("realization").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    if size <= group_nodes:
+    size = system.groupBy("realization").count().agg(F.max("count").alias("m")).first()["m"] or 0
+    if size <= group_entries:
         return _solve_grouped(system, rhs, rhs_block, tol, max_iter)
     return _solve_distributed(system, rhs, tol, max_iter)
 

@@ -200,7 +200,7 @@ def clean_codes(spark, sf):
 
 def stream_of(spark, sf, name):
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 @query(

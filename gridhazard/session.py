@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import gridhazard
+
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,6 +24,8 @@ RUNTIME_CONF = {
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator relies on."""
+    # Functions that run inside tasks travel with the job, so executors need no install.
+    cloudpickle.register_pickle_by_value(gridhazard)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
