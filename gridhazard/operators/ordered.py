@@ -37,10 +37,13 @@ def neighbours_known(df, keys, buckets, order, value, prefix="") -> DataFrame:
     )
     d = df.withColumn("_known", known)
     w = Window.partitionBy(*keys, *buckets).orderBy(*order)
+    # Looking ahead is looking back in reverse order: a growing frame is summed once,
+    # a shrinking one is summed anew for every row.
+    back = Window.partitionBy(*keys, *buckets).orderBy(*[F.desc(o) for o in order])
     inner = d.withColumns(
         {
             "_pi": F.last("_known", ignorenulls=True).over(w.rowsBetween(_UP, 0)),
-            "_ni": F.first("_known", ignorenulls=True).over(w.rowsBetween(0, _UF)),
+            "_ni": F.last("_known", ignorenulls=True).over(back.rowsBetween(_UP, 0)),
         }
     )
     kw = Window.partitionBy(*keys).orderBy(*buckets)

@@ -14,6 +14,7 @@ from gridhazard.functions.scalar import east_north_km, haversine_km
 from gridhazard.operators import network as N
 from gridhazard.plans import sqltext as X
 from gridhazard.plans.registry import query, table
+from gridhazard.session import cut_lineage
 
 SCEN = ("A", "N", "R")
 REAL = 12
@@ -194,8 +195,6 @@ def components(spark, sf):
 
 
 def solved(spark, sf):
-    from gridhazard.session import cut_lineage
-
     sg, earth, coo = system(spark, sf)
     coo = cut_lineage(coo)
     keep = cut_lineage(N.grounded_nodes(coo, earth))
@@ -371,7 +370,8 @@ lm AS (SELECT realization, name, sub_id, sub1, sub2, type FROM tg WHERE type NOT
 
 
 def limited(spark, sf):
-    return N.limited_gsus(N.toggled_types(units(spark, sf), ("T2", "T13")), locked=(7,))
+    # The limit looks at the units several times (ranks, empty variants, rescue).
+    return N.limited_gsus(cut_lineage(N.toggled_types(units(spark, sf), ("T2", "T13"))), locked=(7,))
 
 
 @query("N26", f"WITH {LIMITED} SELECT realization, name, sub_id, type FROM lm")
@@ -400,7 +400,7 @@ ad AS (SELECT realization, name, sub_id, sub1, sub2, type FROM bd UNION ALL
 
 
 def added(spark, sf):
-    return N.added_units(N.gsu_blocking(limited(spark, sf)), locked=(7,))
+    return N.added_units(cut_lineage(N.gsu_blocking(limited(spark, sf))), locked=(7,))
 
 
 @query("N28", f"WITH {ADDED} SELECT realization, name, sub_id, type FROM ad")

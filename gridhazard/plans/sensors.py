@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridhazard.functions.scalar import nan_to_null
 from gridhazard.operators import events as E
 from gridhazard.operators import series as R
 from gridhazard.operators.quantiles import exact_quantiles, mode_per_key
 from gridhazard.plans import sqltext as X
 from gridhazard.plans.catalogue import SESSIONS_SQL, sessions
 from gridhazard.plans.registry import epoch_hour, query, stamp, table
+from gridhazard.session import cut_lineage
 
 CHANNELS = ("click", "error", "purchase", "signup", "view")
 H = X.hour("ts")
@@ -56,7 +56,8 @@ def gap_fill(spark, sf):
         SELECT site, {X.stamp('t')} AS ts, round(filled - (k + s * i), 5) AS residual FROM i JOIN fit USING (site)""",
 )
 def detrend(spark, sf):
-    filled = R.nearest_filled(site_hours(spark, sf), ["site"], "v", "filled")
+    # Read twice (fit and residual), filled once.
+    filled = cut_lineage(R.nearest_filled(site_hours(spark, sf), ["site"], "v", "filled"))
     return R.detrended(filled, ["site"], "filled", "r").select(
         "site", stamp("t").alias("ts"), F.round("r", 5).alias("residual")
     )
@@ -123,10 +124,6 @@ def pivot_spine(spark, sf):
     return wide.select("site", stamp("t").alias("ts"), *CHANNELS)
 
 
-CUT_SQL = f"""{SESSIONS_SQL}, {SITE_SQL},
-cut AS (SELECT start_t, site, t, v FROM g JOIN storms ON t BETWEEN start_t AND end_t)"""
-
-
 def cut_windows(spark, sf, group=60):
     """Group readings of stations (blocks of sites) by storm window."""
     ev = readings(spark, sf).withColumn("station", F.floor(F.col("site") / group))
@@ -238,9 +235,6 @@ def peaks(spark, sf):
     )
 
 
-_W = None
-
-
 def _gauss_sql():
     weights = R.gaussian_weights(1.0, 4)
     vals = ", ".join(f"({k - 4}, {X.num(w)})" for k, w in enumerate(weights))
