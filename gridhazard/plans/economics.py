@@ -121,9 +121,9 @@ def allocated(spark, sf):
     return E.allocated_output(zcta_est(spark, sf), E.state_industries(state_rows(spark, sf)))
 
 
-@query("E08", f"WITH {AL} SELECT zcta, naics, state, est, round(gdp, 1) AS gdp FROM al")
+@query("E08", f"WITH {AL} SELECT zcta, naics, state, est, gdp FROM al")
 def proportional_alloc(spark, sf):
-    return allocated(spark, sf).select("zcta", "naics", "state", "est", F.round("gdp", 1).alias("gdp"))
+    return allocated(spark, sf).select("zcta", "naics", "state", "est", "gdp")
 
 
 _SEC = "CASE naics " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAICS_SECTOR.items()) + " END"
@@ -332,13 +332,13 @@ def confidence(spark, sf):
 
 @query(
     "I06",
-    f"""WITH {VR} SELECT 'e_' || f || '-year-hazard A/ph' AS scenario, variable, round(mean, 1) AS mean, round(p5, 1) AS p5, round(p95, 1) AS p95,
-          round(p95 - p5, 1) AS ci_width, round((p95 - p5) / mean * 100, 3) AS uncertainty_pct FROM ci""",
+    f"""WITH {VR} SELECT 'e_' || f || '-year-hazard A/ph' AS scenario, variable, round(mean, 6) AS mean, round(p5, 6) AS p5, round(p95, 6) AS p95,
+          round(p95 - p5, 6) AS ci_width, round((p95 - p5) / mean * 100, 3) AS uncertainty_pct FROM ci""",
 )
 def ci_table(spark, sf):
     c = confidence(spark, sf)
     w = F.col("p95") - F.col("p5")
-    return c.select("scenario", "variable", *[F.round(k, 1).alias(k) for k in ("mean", "p5", "p95")], F.round(w, 1).alias("ci_width"),
+    return c.select("scenario", "variable", *[F.round(k, 6).alias(k) for k in ("mean", "p5", "p95")], F.round(w, 6).alias("ci_width"),
                     F.round(w / F.col("mean") * 100, 3).alias("uncertainty_pct"))
 
 
@@ -347,7 +347,7 @@ def ci_table(spark, sf):
     """WITH v AS (SELECT [75, 100, 125, 150, 175, 200, 225][l_linenumber] AS period, l_returnflag AS f, p_type AS variable, sum(l_extendedprice) AS value
          FROM lineitem JOIN part ON p_partkey = l_partkey WHERE NOT (l_linenumber = 3 AND l_returnflag = 'A') GROUP BY 1, 2, 3),
        w AS (SELECT period, variable, max(CASE WHEN f = 'N' THEN value END) AS m, max(CASE WHEN f = 'A' THEN value END) AS lo, max(CASE WHEN f = 'R' THEN value END) AS hi FROM v GROUP BY 1, 2)
-       SELECT 'gic_' || period || 'yr' AS scenario, variable, round(m, 1) AS mean, round(coalesce(lo, m), 1) AS p5, round(coalesce(hi, m), 1) AS p95 FROM w WHERE m IS NOT NULL""",
+       SELECT 'gic_' || period || 'yr' AS scenario, variable, round(m, 4) AS mean, round(coalesce(lo, m), 4) AS p5, round(coalesce(hi, m), 4) AS p95 FROM w WHERE m IS NOT NULL""",
 )
 def alpha_beta_table(spark, sf):
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("variable"))
@@ -355,7 +355,7 @@ def alpha_beta_table(spark, sf):
     period = pick(("75", "100", "125", "150", "175", "200", "225"), F.col("l_linenumber") - 1)
     level = F.when(F.col("l_returnflag") == "A", "conf_68_lower").when(F.col("l_returnflag") == "N", "mean_prediction").otherwise("conf_68_upper")
     v = li.join(part, "l_partkey").groupBy(F.concat(F.lit("gic_"), period, F.lit("yr_"), level).alias("scenario"), "variable").agg(F.sum("l_extendedprice").alias("value"))
-    return E.level_table(v).select("scenario", "variable", *[F.round(k, 1).alias(k) for k in ("mean", "p5", "p95")])
+    return E.level_table(v).select("scenario", "variable", *[F.round(k, 4).alias(k) for k in ("mean", "p5", "p95")])
 
 
 IO = f"""{GHO}, {VR},
