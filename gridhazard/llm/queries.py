@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridhazard.llm import sqltext
-from gridhazard.llm.common import prepare
+from gridhazard.llm.common import held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate
+from gridhazard.llm.langid import identify
 from gridhazard.plans.registry import query, table
 
 
@@ -19,3 +20,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows that are not held out."""
+    out = identify(table(prepare(spark), sf_dir, "documents"), ~held_out())
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "lang_pred", "score")
