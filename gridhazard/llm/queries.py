@@ -9,6 +9,7 @@ from gridhazard.llm import sqltext
 from gridhazard.llm.common import held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate
 from gridhazard.llm.langid import identify
+from gridhazard.llm.quality import score_quality
 from gridhazard.plans.registry import query, table
 
 
@@ -27,3 +28,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the rows that are not held out."""
     out = identify(table(prepare(spark), sf_dir, "documents"), ~held_out())
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "lang_pred", "score")
+
+
+@query("")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from labels of rows that are not held out."""
+    out = score_quality(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
