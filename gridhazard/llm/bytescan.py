@@ -69,29 +69,33 @@ def word_spans(data, offs, inside):
     return np.flatnonzero(w & first), np.flatnonzero(w & last) + 1
 
 
+class SpanHasher:
+    """64-bit hashes of any spans of a chunk's bytes, folded by a byte table: polynomial sums, mixed with the length."""
+
+    def __init__(self, data, fold=SAME_BYTES):
+        one, back = np.uint64(1), np.uint64(pow(int(BASE), -1, 1 << 64))
+        salt = mix64(np.arange(1, 257, dtype=np.uint64) * BASE)[fold]
+        power = np.full(len(data), BASE, np.uint64)
+        power[:1] = one
+        np.multiply.accumulate(power, out=power)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(salt[data] * power, out=self.sums[1:])
+        power[:] = back
+        power[:1] = one
+        self.inverse = np.multiply.accumulate(power, out=power)
+
+    def __call__(self, starts, ends) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return mix64(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def span_hashes(data, starts, ends, fold=SAME_BYTES) -> np.ndarray:
-    """64-bit hash of the bytes of each span, folded by a byte table: a polynomial sum, mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    one = np.uint64(1)
-    salt = mix64(np.arange(1, 257, dtype=np.uint64) * BASE)[fold]
-    power = np.full(len(data), BASE, np.uint64)
-    power[0] = one
-    np.multiply.accumulate(power, out=power)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(salt[data] * power, out=sums[1:])
-    back = pow(int(BASE), -1, 1 << 64)
-    inverse = np.full(len(data), back, np.uint64)
-    inverse[0] = one
-    np.multiply.accumulate(inverse, out=inverse)
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix64(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return SpanHasher(data, fold)(starts, ends)
 
 
 def words_of_rows(starts, offs):
     """Index of the first word of each row, with one more entry at the end."""
     return np.searchsorted(starts, offs, side="left")
 
-
-def spark_bytes(values) -> pa.Array:
-    return pa.array(values, type=pa.binary())

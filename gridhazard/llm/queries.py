@@ -10,6 +10,7 @@ from gridhazard.llm.common import held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate
 from gridhazard.llm.langid import identify
 from gridhazard.llm.quality import score_quality
+from gridhazard.llm.toxicity import score_toxicity
 from gridhazard.plans.registry import query, table
 
 
@@ -35,3 +36,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from labels of rows that are not held out."""
     out = score_quality(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query("")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from rows that are not held out."""
+    out = score_toxicity(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
