@@ -179,7 +179,7 @@ def margins(weights, first, slots, votes):
     return total / np.sqrt(np.maximum(np.diff(first), 1)) + votes @ weights[DIMS:-1] + weights[-1]
 
 
-def train(slot, value, at, votes, target, rounds=120, decay=(3e-4, 1e-5), rate=0.1, rare=5):
+def train(slot, value, at, votes, target, rounds=250, decay=(2e-5, 1e-5), rate=0.1, rare=12):
     """Logistic regression on soft labels by full-batch Adam; slots of fewer than ``rare`` rows keep weight 0."""
     n, flags = len(target), votes.astype(float)
     row = np.repeat(np.arange(n), np.diff(at))
