@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from gridhazard.llm import sqltext
 from gridhazard.llm.common import held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate
 from gridhazard.llm.langid import identify
+from gridhazard.llm.packing import pack
 from gridhazard.llm.quality import score_quality
 from gridhazard.llm.toxicity import score_toxicity
 from gridhazard.plans.registry import query, table
@@ -43,3 +45,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from rows that are not held out."""
     out = score_toxicity(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
