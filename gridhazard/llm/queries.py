@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridhazard.llm import sqltext
 from gridhazard.llm.common import held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate
+from gridhazard.llm.jaccard import near_copies
 from gridhazard.llm.langid import identify
 from gridhazard.llm.packing import pack
 from gridhazard.llm.quality import score_quality
@@ -51,3 +52,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("", sqltext.NEAR_COPIES)
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, links at 90 percent of three-word shingles."""
+    return near_copies(table(prepare(spark), sf_dir, "documents"), size=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")

@@ -19,3 +19,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (r) LEFT JOIN named USING (r)
 """
+
+NEAR_COPIES = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(w[k:k + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+links AS (SELECT x, y FROM (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY 1, 2) p
+          JOIN n nx ON nx.r = p.x JOIN n ny ON ny.r = p.y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, links.y FROM reach JOIN links ON links.x = reach.o)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(e.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN reach ON reach.r = d.r JOIN d e ON e.r = reach.o GROUP BY d.r, d.doc_id
+"""
