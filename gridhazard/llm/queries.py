@@ -13,6 +13,7 @@ from gridhazard.llm.jaccard import near_copies
 from gridhazard.llm.langid import identify
 from gridhazard.llm.packing import pack
 from gridhazard.llm.quality import score_quality
+from gridhazard.llm.secrets import find_secrets
 from gridhazard.llm.toxicity import score_toxicity
 from gridhazard.plans.registry import query, table
 
@@ -58,3 +59,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document, links at 90 percent of three-word shingles."""
     return near_copies(table(prepare(spark), sf_dir, "documents"), size=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+@query("", sqltext.SECRETS)
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. A source is an owner, its documents in one language are a repository."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    return find_secrets(docs, F.col("source"), F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))))

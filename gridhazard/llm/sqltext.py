@@ -31,3 +31,34 @@ reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, links.y FROM reach JOIN
 SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(e.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.r = d.r JOIN reach ON reach.r = d.r JOIN d e ON e.r = reach.o GROUP BY d.r, d.doc_id
 """
+
+SECRETS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source, lang FROM documents),
+kinds(k, kind, least) AS (VALUES (0, 'assign', 8), (1, 'access', 16), (2, 'hex', 32), (3, 'bare', 20)),
+parts AS (SELECT r, k, kind, least, m, v, g, generate_subscripts(m, 1) AS i FROM (
+   SELECT r, k, kind, least, CASE k WHEN 0 THEN regexp_extract_all(t, RE0) WHEN 1 THEN regexp_extract_all(t, RE1) WHEN 2 THEN regexp_extract_all(t, RE2) ELSE regexp_extract_all(t, RE3) END AS m,
+     CASE k WHEN 0 THEN regexp_extract_all(t, RE0, 2) WHEN 1 THEN regexp_extract_all(t, RE1) WHEN 2 THEN regexp_extract_all(t, RE2) ELSE regexp_extract_all(t, RE3) END AS v,
+     CASE k WHEN 0 THEN string_split_regex(t, RE0) WHEN 1 THEN string_split_regex(t, RE1) WHEN 2 THEN string_split_regex(t, RE2) ELSE string_split_regex(t, RE3) END AS g
+   FROM d, kinds)),
+placed AS (SELECT r, k, kind, least, m[i] AS m, v[i] AS v,
+         sum(length(g[i])) OVER w + coalesce(sum(length(m[i])) OVER (PARTITION BY r, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+       FROM parts WINDOW w AS (PARTITION BY r, k ORDER BY i)),
+found AS (SELECT r, k, kind, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e, v FROM placed WHERE length(v) >= least),
+cand AS (SELECT * FROM found WHERE k < 3 UNION ALL
+         SELECT * FROM found f WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
+           AND NOT EXISTS (SELECT 1 FROM found b WHERE b.r = f.r AND b.k < 3 AND b.s < f.e AND f.s < b.e)),
+freq AS (SELECT v, count(DISTINCT coalesce('+' || source, '-')) AS owners FROM cand JOIN d USING (r) GROUP BY v),
+told AS (SELECT r, k, s, kind || ':' || s || ':' || e AS x,
+           CASE WHEN owners >= 3 THEN 'example' WHEN len(list_distinct(string_split(v, ''))) < 8 THEN 'filler' ELSE 'specific' END AS verdict FROM cand JOIN freq USING (v)),
+agg AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+          string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k) FILTER (k < 3 OR verdict = 'specific') AS spans,
+          count(*) FILTER (verdict = 'specific') AS n_specific, count(*) FILTER (verdict = 'example' AND k < 3) AS n_example FROM told GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_specific, 0) AS n_specific, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN agg USING (r)
+"""
+for _k, _re in enumerate((
+    """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "AKIA[A-Z0-9]+", "[0-9a-f]{32,}", "[A-Za-z0-9+/_=-]{20,}",
+)):
+    SECRETS = SECRETS.replace(f"RE{_k}", f"'{_re}'")
