@@ -14,6 +14,7 @@ from gridhazard.llm.langid import identify
 from gridhazard.llm.packing import pack
 from gridhazard.llm.quality import score_quality
 from gridhazard.llm.secrets import find_secrets
+from gridhazard.llm.sharding import shard_documents
 from gridhazard.llm.toxicity import score_toxicity
 from gridhazard.plans.registry import query, table
 
@@ -66,3 +67,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document. A source is an owner, its documents in one language are a repository."""
     docs = table(prepare(spark), sf_dir, "documents")
     return find_secrets(docs, F.col("source"), F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))))
+
+
+@query("")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of documents with equal counts, equal texts together as far as they fit."""
+    return shard_documents(table(prepare(spark), sf_dir, "documents"))
