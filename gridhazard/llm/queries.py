@@ -11,6 +11,7 @@ from gridhazard.llm.common import held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate
 from gridhazard.llm.jaccard import near_copies
 from gridhazard.llm.langid import identify
+from gridhazard.llm.neighbours import nearest
 from gridhazard.llm.packing import pack
 from gridhazard.llm.quality import score_quality
 from gridhazard.llm.secrets import find_secrets
@@ -73,3 +74,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of documents with equal counts, equal texts together as far as they fit."""
     return shard_documents(table(prepare(spark), sf_dir, "documents"))
+
+
+@query("")
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth id."""
+    return nearest(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
