@@ -11,6 +11,7 @@ from gridhazard.llm.common import held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate
 from gridhazard.llm.jaccard import near_copies
 from gridhazard.llm.langid import identify
+from gridhazard.llm.licences import find_licences, licence_sql
 from gridhazard.llm.neighbours import nearest
 from gridhazard.llm.packing import pack
 from gridhazard.llm.quality import score_quality
@@ -80,3 +81,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every fiftieth id."""
     return nearest(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("", licence_sql())
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences of every document and the licences they make."""
+    return find_licences(table(prepare(spark), sf_dir, "documents"))
