@@ -182,11 +182,11 @@ def margins(weights, first, slots, votes):
 def train(slot, value, at, votes, target, rounds=250, decay=(2e-5, 1e-5), rate=0.1, rare=12):
     """Logistic regression on soft labels by full-batch Adam; slots of fewer than ``rare`` rows keep weight 0."""
     n, flags = len(target), votes.astype(float)
-    row = np.repeat(np.arange(n), np.diff(at))
     common = np.bincount(slot, minlength=DIMS) >= rare
+    used, place = np.flatnonzero(common), np.cumsum(common, dtype=np.int32) - 1
     kept = common[slot]
-    used = np.flatnonzero(common)
-    slot, value, row = np.searchsorted(used, slot[kept]), value[kept], row[kept]
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))[kept]
+    slot, value = place[slot[kept]], value[kept]
     size = len(used) + votes.shape[1] + 1
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
@@ -245,6 +245,8 @@ def learn_weights(docs: DataFrame, labels: DataFrame, learn, id_col, text_col, l
                 batch.column("pick"), pa.ListArray.from_arrays(ends, flat(slots, pa.int32())), pa.ListArray.from_arrays(ends, flat(values, pa.float32())),
             ], ["pick", "slot", "value"])
 
+    # about max_rows picks at most, so they go to the texts and no text is shuffled for the choice
+    chosen = F.broadcast(cut_lineage(chosen))
     texts = rows.select(pick.alias("pick"), "text").join(chosen.select("pick"), "pick", "left_semi").dropDuplicates(["pick"])
     sample = texts.mapInArrow(features_of, "pick long, slot array<int>, value array<float>").join(chosen, "pick").toArrow()
     if sample.num_rows == 0:
@@ -255,8 +257,8 @@ def learn_weights(docs: DataFrame, labels: DataFrame, learn, id_col, text_col, l
     at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))])
     votes, gold = unpack(np.asarray(sample.column("pattern"))), np.asarray(sample.column("gold"))
     target = np.where(gold >= 0, gold, model.posterior(votes))
-    slot = np.asarray(lists.flatten(), np.int64)
-    return train(slot, np.asarray(sample.column("value").combine_chunks().flatten(), float), at, votes, target), model
+    slot, value = np.asarray(lists.flatten()), np.asarray(sample.column("value").combine_chunks().flatten())
+    return train(slot, value, at, votes, target), model
 
 
 def row_scores(column, weights, table):
