@@ -269,7 +269,7 @@ def row_scores(column, weights, table):
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn, id_col="doc_id", text_col="text", label_id="doc_id", label_col="toxic",
-                   max_rows=8_000) -> DataFrame:
+                   max_rows=6_000) -> DataFrame:
     """One row per document: id, learn (the condition), score. Learns only from rows where ``learn`` holds."""
     weights, _ = learn_weights(docs, labels, learn, id_col, text_col, label_id, label_col, max_rows)
     shared, table = docs.sparkSession.sparkContext.broadcast(weights), lexicon_table()
@@ -285,7 +285,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn, id_col="doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, learn, threshold=0.3, id_col="doc_id", text_col="text", label_id="doc_id",
-               label_col="toxic", max_rows=8_000) -> DataFrame:
+               label_col="toxic", max_rows=6_000) -> DataFrame:
     """The documents that score below the threshold, all columns as they are."""
     weights, _ = learn_weights(docs, labels, learn, id_col, text_col, label_id, label_col, max_rows)
     shared, table = docs.sparkSession.sparkContext.broadcast(weights), lexicon_table()
