@@ -1,7 +1,7 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences: after ".", "!", "?" or ";" with white space, and at line ends, unless the next line
-goes on in lower case. Sentences are normalised (lower case, all but a-z and 0-9 as one space) and looked up among
+goes on in lower case or with a bracket; a tag line ends at its end. Sentences are normalised (lower case, all but a-z and 0-9 as one space) and looked up among
 known licence sentences. The identifiers found, in order, are matched against ordered licence rules: a rule holds
 if its identifiers occur in its order, others may stand between; of a family the first rule that holds counts.
 One pass, no shuffle. Texts without any word that every known sentence has one of are not cut.
@@ -78,7 +78,8 @@ RULES = (
 )
 #: Every known sentence holds one of these in lower case.
 ANCHORS = ("licen", "permission", "redistribut", "warrant", "software")
-LINE_END, STOP, BREAK = r"\s*\n\s*([^a-z\s])", r"([.!?;])\s+", "\x01"
+TAG = r"(SPDX-License-Identifier:[^\n]*)\n"
+LINE_END, STOP, BREAK = r"\s*\n\s*([^a-z\s(])", r"([.!?;])\s+", "\x01"
 
 
 def normalised(sentence: str) -> str:
@@ -109,7 +110,7 @@ def find_licences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     anchored = low.contains(ANCHORS[0])
     for anchor in ANCHORS[1:]:
         anchored = anchored | low.contains(anchor)
-    cut = F.regexp_replace(F.regexp_replace(F.col("text"), LINE_END, BREAK + "$1"), STOP, "$1" + BREAK)
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", TAG, "$1" + BREAK), LINE_END, BREAK + "$1"), STOP, "$1" + BREAK)
     rows = rows.select("id", F.when(anchored, F.split(cut, BREAK)).otherwise(F.array().cast("array<string>")).alias("sentences"))
     names = F.create_map(*(F.lit(x) for pair in known().items() for x in pair))
     told = F.transform("sentences", lambda s: F.try_element_at(names, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
@@ -140,7 +141,8 @@ def licence_sql() -> str:
     cases = ", ".join("CASE " + " ".join(c) + " END" for c in families.values())
     return f"""
 WITH names(s, id) AS (VALUES {values}),
-d AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\\s*\\n\\s*([^a-z\\s])', chr(1) || '\\1', 'g'),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(
+        regexp_replace(coalesce(text, ''), '(SPDX-License-Identifier:[^\\n]*)\\n', '\\1' || chr(1), 'g'), '\\s*\\n\\s*([^a-z\\s(])', chr(1) || '\\1', 'g'),
         '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS c FROM documents),
 e AS (SELECT r, unnest(c) AS s, generate_subscripts(c, 1) AS i FROM d),
 f AS (SELECT r, i, names.id FROM e JOIN names ON names.s = trim(regexp_replace(lower(e.s), '[^a-z0-9]+', ' ', 'g'))),

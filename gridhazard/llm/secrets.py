@@ -76,7 +76,7 @@ def scan(docs: DataFrame, id_col, text_col, owner, repo) -> DataFrame:
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     rows = rows.select("row_key", "id", "owner", "repo", F.array_sort(F.concat("base", F.filter(F.filter("bare", mixed), free))).alias("found"))
     digest = F.transform("found", lambda x: F.struct(
-        x["start"], x["kind"], x["end"], F.unhex(F.md5(x["value"])).alias("digest"), (F.size(F.array_distinct(F.split(x["value"], ""))) > 8).alias("varied")))
+        x["start"], x["kind"], x["end"], F.unhex(F.md5(x["value"])).alias("digest"), (F.size(F.array_distinct(F.split(x["value"], ""))) >= 8).alias("varied")))
     return rows.select("row_key", "id", "owner", "repo", digest.alias("found"))
 
 

@@ -2,9 +2,9 @@
 
 Documents with equal texts are linked; all neighbours of a document share its text, so counts by (text, shard)
 hold every neighbourhood without listing pairs. Documents start spread evenly by hash. In each round a Spark join
-gives every linked document the shard that most of its neighbours are in (ties by hash), and it moves if a quota
-allows: a shard takes linked documents up to its capacity, the others are drawn by hash in proportion. Documents
-without links have no edge to cut and make room wherever it is needed.
+gives every linked document the shard with room that most of its neighbours are in (ties by hash), if that are more
+than in its own, and it moves if the quota allows: a shard takes linked documents up to its capacity, drawn by hash
+in proportion. Documents without links have no edge to cut and make room wherever it is needed.
 
 Law ``rows``: at the end every shard gets its exact share, counts differing by one at most. Within a shard,
 linked documents stand first and together, and what exceeds the share, single documents before all, goes to
@@ -41,22 +41,26 @@ def by_shard(rows: DataFrame, shards: int) -> list[int]:
 
 def propagate(nodes: DataFrame, shards: int, capacity: list[int], rounds: int) -> DataFrame:
     """Nodes (.., text_key, mark, copies, shard) after the rounds; only nodes with copies move."""
+    linked = by_shard(nodes.filter("copies > 1"), shards)
     for turn in range(rounds):
+        roomy = F.array(*(F.lit(s) for s in range(shards) if linked[s] < capacity[s])).cast("array<int>")
         seen = nodes.filter("copies > 1").groupBy("text_key", "shard").agg(F.count("*").alias("n"))
-        best = seen.groupBy("text_key").agg(F.max_by("shard", F.struct("n", F.xxhash64("text_key", "shard"))).alias("target"))
-        wish = cut_lineage(nodes.join(best, "text_key", "left").withColumn("moves", F.coalesce(F.col("target") != F.col("shard"), F.lit(False))))
-        flows = wish.filter("copies > 1").groupBy("moves", F.when(F.col("moves"), F.col("target")).otherwise(F.col("shard")).alias("shard")).agg(F.count("*").alias("n"))
-        stay, come = [0] * shards, [0] * shards
-        for r in flows.collect():
-            (come if r.moves else stay)[r.shard] = r.n
-        if not any(come):
-            return wish.drop("target", "moves")
+        vote = F.struct("n", F.xxhash64("text_key", "shard").alias("tie"), "shard")
+        near = seen.groupBy("text_key").agg(F.collect_list(vote).alias("near"))  # at most one entry for each shard
+        wish = nodes.join(near, "text_key", "left")
+        here = F.array_max(F.filter("near", lambda x: x["shard"] == F.col("shard")))
+        best = F.array_max(F.filter("near", lambda x: F.array_contains(roomy, x["shard"])))
+        wish = cut_lineage(wish.withColumn("target", F.when(best > here, best["shard"])).drop("near"))
+        come = {r.target: r.n for r in wish.filter("target is not null").groupBy("target").agg(F.count("*").alias("n")).collect()}
+        if not come:
+            return wish.drop("target")
         scale = 1 << 30
-        open_ = [scale if c == 0 else int(scale * min(1.0, max(0, cap - s) / c)) for cap, s, c in zip(capacity, stay, come)]
-        # a text's documents come in the order of one hash, so those let in are together
-        drawn = F.pmod(F.xxhash64("text_key", F.lit(turn)) + F.when(F.col("copies") > F.lit(min(capacity) // 8), F.xxhash64("mark", F.lit(turn))).otherwise(0), F.lit(scale))
-        let_in = F.col("moves") & (drawn < looked_up(open_, F.col("target")))
-        nodes = wish.withColumn("shard", F.when(let_in, F.col("target")).otherwise(F.col("shard"))).drop("target", "moves")
+        open_ = [int(scale * min(1.0, (capacity[s] - linked[s]) / come[s])) if s in come else 0 for s in range(shards)]
+        own = F.when(F.col("copies") > min(capacity) // 8, F.col("mark"))  # a hot text's documents one by one
+        drawn = F.pmod(F.xxhash64("text_key", own, F.lit(turn)), F.lit(scale))
+        let_in = F.col("target").isNotNull() & (drawn < looked_up(open_, F.coalesce("target", F.lit(0))))
+        nodes = cut_lineage(wish.withColumn("shard", F.when(let_in, F.col("target")).otherwise(F.col("shard"))).drop("target"))
+        linked = by_shard(nodes.filter("copies > 1"), shards)
     return nodes
 
 
@@ -73,7 +77,7 @@ def ranked(nodes: DataFrame, total: int, shards: int, bucket_rows: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["shard", "bucket"]).withColumn("place", F.col("before") + F.col("rank")).drop("bucket", "before", "rank")
 
 
-def shard_documents(docs: DataFrame, shards=24, id_col="doc_id", text_col="text", rounds=4, bucket_rows=20_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards=24, id_col="doc_id", text_col="text", rounds=6, bucket_rows=20_000) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(

@@ -40,7 +40,7 @@ LEXICON = {
 }
 YOU = "you your youre du dein deine tu tú eres vous sie"
 NAMES = (*LEXICON, "several", "dense", "addressed")
-ASSUMED = (0.8, 0.02)  # share of toxic and of other texts a voter is taken to mark before anything is learnt
+ASSUMED = (0.3, 0.01)  # share of toxic and of other texts a voter is taken to mark before anything is learnt
 DIMS = 1 << 18
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word that make a feature of their own
 HIT = 8  # words on either side in which "you" counts as addressed
@@ -130,8 +130,8 @@ class LabelModel:
             ones = np.array([bin(s).count("1") for s in range(size)])
             pair = []
             for weight, rate in ((q * count, ASSUMED[0]), ((1 - q) * count, ASSUMED[1])):
-                prior = rate ** ones * (1 - rate) ** (len(group) - ones)  # worth two rows
-                pair.append((np.bincount(state, weight, size) + 2 * prior) / (weight.sum() + 2 * prior.sum()))
+                prior = rate ** ones * (1 - rate) ** (len(group) - ones)  # worth ten rows
+                pair.append((np.bincount(state, weight, size) + 10 * prior) / (weight.sum() + 10 * prior.sum()))
             self.tables.append(pair)
 
     def posterior(self, votes):
