@@ -163,38 +163,27 @@ def _product(left, right):
     return l.join(r, "k").groupBy("row", "col").agg(F.sum(F.col("la") * F.col("ra")).alias("a"))
 
 
-MATRIX_SECTORS = 500  # largest sector matrix inverted inside one task
+def sector_inverse(coefficients, tol=1e-12, doublings=40) -> DataFrame:
+    """(I - A)^-1 = (I + A)(I + A^2)(I + A^4)... as joins and sums over the entries.
 
-
-def sector_inverse(coefficients, limit=MATRIX_SECTORS) -> DataFrame:
-    """(I - A)^-1 of a sector matrix, entry by entry.
-
-    A sector matrix is a few rows (ten sectors here), checked before it is handed
-    to one task; a larger one goes through :func:`series_inverse`.
+    Doubles until what is added is at most ``tol`` of what is there, and raises if
+    that is not so after ``doublings`` rounds, as for a matrix without a convergent series.
     """
-    if coefficients.select("row").union(coefficients.select("col")).distinct().count() > limit:
-        return series_inverse(coefficients)
-
-    def invert(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf["row"], pdf["col"]]))
-        m = np.zeros((len(names), len(names)))
-        np.add.at(m, (np.searchsorted(names, pdf["row"]), np.searchsorted(names, pdf["col"])), pdf["a"].to_numpy())
-        inv = np.linalg.inv(np.eye(len(names)) - m)
-        return pd.DataFrame({"row": np.repeat(names, len(names)), "col": np.tile(names, len(names)), "a": inv.ravel()})
-
-    return coefficients.groupBy(F.lit("all").alias("_all")).applyInPandas(invert, "row string, col string, a double")
-
-
-def series_inverse(coefficients, doublings=7) -> DataFrame:
-    """(I - A)^-1 = (I + A)(I + A^2)(I + A^4)... as joins and sums over the entries."""
-    sectors = coefficients.select("row").union(coefficients.select("col")).distinct()
+    sectors = coefficients.select("row").union(coefficients.select(F.col("col").alias("row"))).distinct()
     eye = sectors.select("row", F.col("row").alias("col"), F.lit(1.0).alias("a"))
-    power = cut_lineage(coefficients.select("row", "col", "a"))
+    power = cut_lineage(coefficients.groupBy("row", "col").agg(F.sum("a").alias("a")))
     total = cut_lineage(eye.unionByName(power).groupBy("row", "col").agg(F.sum("a").alias("a")))
-    for _ in range(doublings - 1):
+    for _ in range(doublings):
         power = cut_lineage(_product(power, power))
-        total = cut_lineage(total.unionByName(_product(total, power)).groupBy("row", "col").agg(F.sum("a").alias("a")))
-    return total
+        more = _product(total, power).select("row", "col", "a", F.col("a").alias("new"))
+        grown = cut_lineage(
+            total.withColumn("new", F.lit(0.0)).unionByName(more).groupBy("row", "col").agg(F.sum("a").alias("a"), F.sum("new").alias("new"))
+        )
+        size = grown.agg(F.max(F.abs("new")).alias("new"), F.max(F.abs("a")).alias("all")).first()
+        total = grown.select("row", "col", "a")
+        if (size["new"] or 0.0) <= tol * (size["all"] or 1.0):
+            return total
+    raise RuntimeError(f"the series of the sector matrix did not settle in {doublings} doublings")
 
 
 def shock_outputs(shocks, inverse, keys) -> DataFrame:
@@ -238,7 +227,7 @@ def confidence_table(variables) -> DataFrame:
 
     key = ["scenario", "variable"]
     mean = variables.groupBy(*key).agg(F.avg("value").alias("mean"))
-    return mean.join(exact_quantiles(variables, key, "value", [0.05, 0.95], ["p5", "p95"]), key)
+    return mean.join(exact_quantiles(variables, key, "value", [0.05, 0.95], ["p5", "p95"], bounded=True), key)
 
 
 def level_table(variables) -> DataFrame:

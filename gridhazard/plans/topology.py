@@ -198,7 +198,7 @@ def max_number_in_text(spark, sf):
        SELECT vec_id, arg_min(sub, {'d': d2, 's': sub}) AS sub, round(sqrt(min(d2)), 8) AS dist FROM d GROUP BY 1""")
 def nearest_centre(spark, sf):
     pts = points(spark, sf).select("vec_id", "x", "y")
-    return G.nearest_centres(pts, spots(spark, sf), "vec_id", "sub", 0.02, 2.0).select("vec_id", "sub", F.round("dist", 8).alias("dist"))
+    return G.nearest_centres(pts, spots(spark, sf), "vec_id", "sub", 0.02).select("vec_id", "sub", F.round("dist", 8).alias("dist"))
 
 
 @query(

@@ -138,11 +138,11 @@ def test_truncated_fit_beats_its_neighbourhood():
 @pytest.mark.parametrize("cell", [0.001, 0.05, 3.0])
 def test_nearest_centre_is_exact(spark, cell):
     rnd = np.random.default_rng(8)
-    p = np.r_[rnd.normal(0, 0.02, (60, 2)), rnd.uniform(-1, 1, (40, 2))]
+    p = np.r_[rnd.normal(0, 0.02, (60, 2)), rnd.uniform(-1, 1, (38, 2)), [[50.0, 50.0], [-900.0, 3.0]]]  # two far away
     c = np.r_[rnd.normal(0, 0.02, (30, 2)), rnd.uniform(-1, 1, (5, 2))]
     pd_ = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "id int, x double, y double")
     cd = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(c)], "cid int, x double, y double")
-    got = {r.id: r.cid for r in G.nearest_centres(pd_, cd, "id", "cid", cell, 3.0).collect()}
+    got = {r.id: r.cid for r in G.nearest_centres(pd_, cd, "id", "cid", cell).collect()}
     d = ((p[:, None] - c[None]) ** 2).sum(2)
     assert got == {i: int(d[i].argmin()) for i in range(len(p))}
 
@@ -173,14 +173,20 @@ def test_stopping_point(spark):
     assert got == {0: 16, 1: 24}
 
 
-def test_inverses_agree(spark):
+def test_inverse_equals_dense(spark):
     rnd = np.random.default_rng(3)
     m = rnd.uniform(0, 0.15, (4, 4))
     d = spark.createDataFrame([(f"s{i}", f"s{j}", float(m[i, j])) for i in range(4) for j in range(4)], "row string, col string, a double")
     want = np.linalg.inv(np.eye(4) - m)
-    for inv in (EC.sector_inverse(d), EC.sector_inverse(d, limit=0)):
-        got = {(r.row, r.col): r.a for r in inv.collect()}
-        assert all(got[(f"s{i}", f"s{j}")] == pytest.approx(want[i, j], rel=1e-9) for i in range(4) for j in range(4))
+    got = {(r.row, r.col): r.a for r in EC.sector_inverse(d).collect()}
+    assert all(got[(f"s{i}", f"s{j}")] == pytest.approx(want[i, j], rel=1e-9) for i in range(4) for j in range(4))
+
+
+def test_inverse_converges_or_raises(spark):
+    one = lambda a: spark.createDataFrame([("s", "s", a)], "row string, col string, a double")
+    assert EC.sector_inverse(one(0.999)).first().a == pytest.approx(1000.0)
+    with pytest.raises(RuntimeError):
+        EC.sector_inverse(one(1.0), doublings=6)
 
 
 def test_dasymetric_keeps_totals(spark):
