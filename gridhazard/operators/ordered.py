@@ -47,13 +47,14 @@ def neighbours_known(df, keys, buckets, order, value, prefix="") -> DataFrame:
         }
     )
     kw = Window.partitionBy(*keys).orderBy(*buckets)
+    kback = Window.partitionBy(*keys).orderBy(*[F.desc(b) for b in buckets])
     ends = (
         d.groupBy(*keys, *buckets)
         .agg(F.max("_known").alias("_l"), F.min("_known").alias("_f"))
         .withColumns(
             {
                 "_pc": F.last("_l", ignorenulls=True).over(kw.rowsBetween(_UP, -1)),
-                "_nc": F.first("_f", ignorenulls=True).over(kw.rowsBetween(1, _UF)),
+                "_nc": F.last("_f", ignorenulls=True).over(kback.rowsBetween(_UP, -1)),
             }
         )
         .drop("_l", "_f")

@@ -19,7 +19,7 @@ def realization_stats(df, keys, value) -> DataFrame:
         F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
         F.min("_x").alias("min"), F.max("_x").alias("max"),
     )
-    q = exact_quantiles(d, keys, "_x", list(PERCENTILES.values()), list(PERCENTILES))
+    q = exact_quantiles(d, keys, "_x", list(PERCENTILES.values()), list(PERCENTILES), bounded=True)  # realizations
     return base.join(q, list(keys), "left")
 
 

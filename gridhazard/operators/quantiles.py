@@ -1,11 +1,11 @@
 """Exact percentiles (linear interpolation) for groups of any size.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation
-buffer. That is the cheapest plan while groups are small, and the wrong one for
-a group that holds a third of a huge table. ``exact_quantiles`` checks the
-largest group first and, beyond the limit, narrows down by counting: each level
-splits the value range of a group into cells, counts them with map-side partial
-sums and keeps only the cells that hold a wanted rank.
+buffer. That is the cheapest plan where something else bounds the groups, such as
+the number of realizations, and the wrong one for a group that holds a third of a
+huge table. The caller says which it is. Groups without a bound are narrowed down by
+counting: each level splits the value range of a group into cells, counts them with
+map-side partial sums and keeps only the cells that hold a wanted rank.
 """
 
 from __future__ import annotations
@@ -13,29 +13,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_LIMIT = 1_000_000
-CELLS = 1024
+from gridhazard.session import cut_lineage
 
+CELLS = 1024
 
-def largest_group(df: DataFrame, keys) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return row["m"] or 0
 
+def exact_quantiles(df, keys, value, probs, names=None, bounded=False, levels=2):
+    """One row per key with a column per probability; nulls and NaN are ignored.
 
-def exact_quantiles(df, keys, value, probs, names=None, group_limit=GROUP_LIMIT, levels=2):
-    """One row per key with a column per probability; nulls and NaN are ignored."""
+    ``bounded``: the groups are known to fit an aggregation buffer.
+    """
     keys = list(keys)
     names = list(names or [f"p{int(round(p * 100)):02d}" for p in probs])
     d = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    if largest_group(d, keys) <= group_limit:
+    if bounded:
         q = d.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q"))
         return q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     return _by_counting(d, keys, probs, names, levels)
 
 
 def _by_counting(d, keys, probs, names, levels):
+    d = cut_lineage(d)  # every level reads it twice
     stats = d.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")
     )

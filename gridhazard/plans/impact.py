@@ -392,7 +392,7 @@ def ratio_to_base(spark, sf):
 
     m = currents(spark, sf).groupBy("transformer", "scenario").agg(F.max(F.abs("gic")).alias("g"))
     r = ratio_to(m, "transformer", "g", "A")
-    q = exact_quantiles(r, ["scenario"], "ratio", [0.02, 0.5, 0.98], ["p02", "p50", "p98"])
+    q = exact_quantiles(r, ["scenario"], "ratio", [0.02, 0.5, 0.98], ["p02", "p50", "p98"], bounded=True)  # transformers
     n = r.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"))
     return n.join(q, "scenario").select("scenario", "n", *[F.round(c, 6).alias(c) for c in ("p02", "p50", "p98")])
 

@@ -190,7 +190,7 @@ sm AS (SELECT storm, t, (coalesce(lag(s) OVER w, s) + s + coalesce(lead(s) OVER
 def activity(spark, sf):
     """Network activity per hour: median over sites; storm windows of 240 hours."""
     sh = E.gridded(readings(spark, sf), ["site"], "t", v=F.max("value"))
-    med = exact_quantiles(sh, ["t"], "v", [0.5], ["s"])
+    med = exact_quantiles(sh, ["t"], "v", [0.5], ["s"], bounded=True)  # sites
     return med.withColumn("storm", F.floor(F.col("t") / 240))
 
 

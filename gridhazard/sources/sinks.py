@@ -12,8 +12,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_by_scenario(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """Parquet partitioned by scenario. Rows are spread over writers inside a scenario
-    by realization, so a scenario with most of the rows is not one task's work."""
-    writer = df.repartition("scenario", "gic_realization") if "gic_realization" in df.columns else df
+    by realization, or by a hash of the row where it has none, so a scenario with most
+    of the rows is not one task's work."""
+    named = [c for c in ("gic_realization", "realization") if c in df.columns]
+    spread = [F.col(c) for c in named[:1]] or [F.pmod(F.xxhash64(*df.columns), F.lit(32))]
+    writer = df.repartition("scenario", *spread)
     out = writer.write.mode("overwrite").partitionBy("scenario").option("compression", "snappy")
     if rows_per_file:
         out = out.option("maxRecordsPerFile", rows_per_file)

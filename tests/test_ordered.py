@@ -36,14 +36,14 @@ def test_fill_lag_islands_across_buckets(spark, width):
             assert pos[(k, t)] == i + 1
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_exact_quantiles_both_paths(spark, limit):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_exact_quantiles_both_ways(spark, bounded):
     rnd = np.random.default_rng(3)
     rows = [("hot", 7.0)] * 400 + [("hot", float(x)) for x in rnd.lognormal(0, 2, 500)]
     rows += [("small", float(x)) for x in rnd.normal(size=6)] + [("one", 5.0), ("small", float("nan")), ("one", None)]
     d = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.05, 0.5, 0.77, 1.0]
-    out = Q.exact_quantiles(d, ["k"], "v", probs, group_limit=limit)
+    out = Q.exact_quantiles(d, ["k"], "v", probs, bounded=bounded)
     for r in out.collect():
         vals = [v for k, v in rows if k == r.k and v is not None and v == v]
         assert list(r)[1:] == pytest.approx(list(np.percentile(vals, [p * 100 for p in probs])), rel=1e-12)
