@@ -144,7 +144,9 @@ def electric_field(field, impedance, dt=60.0) -> DataFrame:
     """E(t) of each (storm, site) by filtering (bx, by) with the site impedance.
 
     ``impedance(site, period, element, z_re, z_im)`` with element xx, xy, yx, yy.
-    One group is one site in one storm window: some thousand samples.
+    One group is one site in one storm window: some thousand samples. The impedance
+    meets it once, not once for each sample. Series are padded with zeros to twice
+    their length, so the filter does not carry one end into the other.
     """
     tensor = impedance.groupBy("site").agg(
         F.array_sort(F.collect_list(F.struct("element", "period", "z_re", "z_im"))).alias("z")
@@ -152,25 +154,28 @@ def electric_field(field, impedance, dt=60.0) -> DataFrame:
     key = field.schema["site"].dataType.simpleString()
     storm = field.schema["storm"].dataType.simpleString()
 
-    def filtered(pdf: pd.DataFrame) -> pd.DataFrame:
+    def filtered(pdf: pd.DataFrame, bands: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or bands.empty:
+            return pd.DataFrame({"storm": [], "site": [], "t": [], "ex": [], "ey": []})
         pdf = pdf.sort_values("t")
-        freq = np.fft.rfftfreq(len(pdf), dt)
+        n = len(pdf)
+        freq = np.fft.rfftfreq(2 * n, dt)
         z = {e: np.zeros(len(freq), complex) for e in ("xx", "xy", "yx", "yy")}
-        rows = pdf["z"].iloc[0]
+        rows = bands["z"].iloc[0]
         for e in z:
             pts = [(1.0 / r["period"], r["z_re"], r["z_im"]) for r in rows if r["element"] == e]
             if pts:
                 f, re, im = map(np.asarray, zip(*sorted(pts)))
                 z[e] = np.interp(freq, f, re, 0.0, 0.0) + 1j * np.interp(freq, f, im, 0.0, 0.0)
-        fx, fy = np.fft.rfft(pdf["bx"].to_numpy()), np.fft.rfft(pdf["by"].to_numpy())
-        n = len(pdf)
+        fx, fy = np.fft.rfft(pdf["bx"].to_numpy(), 2 * n), np.fft.rfft(pdf["by"].to_numpy(), 2 * n)
         return pd.DataFrame({
             "storm": pdf["storm"], "site": pdf["site"], "t": pdf["t"],
-            "ex": np.fft.irfft(z["xx"] * fx + z["xy"] * fy, n),
-            "ey": np.fft.irfft(z["yx"] * fx + z["yy"] * fy, n),
+            "ex": np.fft.irfft(z["xx"] * fx + z["xy"] * fy, 2 * n)[:n],
+            "ey": np.fft.irfft(z["yx"] * fx + z["yy"] * fy, 2 * n)[:n],
         })
 
-    return field.join(tensor, "site").groupBy("storm", "site").applyInPandas(
+    groups = field.select("storm", "site").distinct().join(tensor, "site").select(*[F.col(c).alias(c) for c in ("storm", "site", "z")])
+    return field.groupBy("storm", "site").cogroup(groups.groupBy("storm", "site")).applyInPandas(
         filtered, f"storm {storm}, site {key}, t bigint, ex double, ey double"
     )
 

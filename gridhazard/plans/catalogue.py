@@ -54,7 +54,7 @@ def sessions(spark, sf):
 
 
 @query(
-    "ST02 S03",
+    "ST02",
     f"""WITH {SESSIONS_SQL} SELECT {X.stamp('start_t')} AS start_ts, {X.stamp('end_t')} AS end_ts,
         duration_h FROM storms""",
 )
@@ -256,7 +256,7 @@ def event_overlap(spark, sf):
 
 
 @query(
-    "ST10 FV14",
+    "ST10",
     f"""WITH {SESSIONS_SQL}, {NAMED_SQL},
         ranked AS (SELECT *, row_number() OVER (ORDER BY start_t) - 1 AS k FROM storms)
         SELECT {X.stamp('start_t')} AS start_ts, CASE WHEN min(name) IS NULL THEN 0 ELSE 1 END AS special,

@@ -120,7 +120,7 @@ def sample_units(spark, sf):
     return d.select(F.col("realization").cast("bigint").alias("realization"), "sub_id", "name", "type", "lv_bus")
 
 
-@query("N02 G26", f"WITH {SAMPLE} SELECT CAST(realization AS BIGINT) AS realization, type, count(*) AS n, sum({_w_sql(0)}) / count(*) AS w1, min({_w_sql(1)}) AS w2 FROM sm GROUP BY 1, 2")
+@query("N02", f"WITH {SAMPLE} SELECT CAST(realization AS BIGINT) AS realization, type, count(*) AS n, sum({_w_sql(0)}) / count(*) AS w1, min({_w_sql(1)}) AS w2 FROM sm GROUP BY 1, 2")
 def winding_values(spark, sf):
     d = N.with_windings(N.sampled_transformers(sample_stations(spark, sf), REAL))
     return d.groupBy(F.col("realization").cast("bigint").alias("realization"), "type").agg(
@@ -213,7 +213,7 @@ def solve_residual(spark, sf):
     return res.select("realization", "scenario", (F.col("residual") <= 1e-3 * F.col("size")).cast("int").alias("ok"))
 
 
-@query("N10 N13 N14 N16 N32", f"WITH {STATIONS} SELECT realization, s.scenario, count(*) AS n, 1 AS balanced FROM sg, (VALUES ('A'), ('N'), ('R')) s(scenario) GROUP BY 1, 2")
+@query("N10 N13 N14 N16", f"WITH {STATIONS} SELECT realization, s.scenario, count(*) AS n, 1 AS balanced FROM sg, (VALUES ('A'), ('N'), ('R')) s(scenario) GROUP BY 1, 2")
 def ground_balance(spark, sf):
     """Ground currents of all substations; their sum per realization and scenario vanishes."""
     sg, earth, _, _, v = solved(spark, sf)

@@ -131,7 +131,7 @@ def synthesised(spark, sf):
     return V.synthesised_field(obs, V.transfer_weights(stations, sites))
 
 
-@query("FV02 FV04 K05")
+@query("FV02 FV04")
 def field_synthesis(spark, sf):
     """Highest horizontal field per storm and site from current-system interpolation (SVD, no SQL)."""
     from gridhazard.functions.scalar import magnitude
@@ -144,13 +144,13 @@ def field_synthesis(spark, sf):
 
 @query("FV05 FV07")
 def electric_field_maxima(spark, sf):
-    """Highest electric field per storm and site after impedance filtering (FFT, no SQL)."""
+    """Highest electric field per storm and site, without the 1.2 days at either end, after impedance filtering (FFT, no SQL)."""
     from gridhazard.functions.scalar import finite_or, magnitude
 
     element = F.element_at(F.array(*[F.lit(e) for e in ("xx", "xy", "yx", "yy")]), (F.col("l_linenumber") % 4 + 1))
     z = table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("site"), (F.col("l_quantity") * 3600).alias("period"), element.alias("element")
     ).agg(F.avg("l_discount").alias("z_re"), F.avg("l_tax").alias("z_im"))
-    e = V.electric_field(synthesised(spark, sf), z, dt=3600.0)
+    e = R.trimmed(V.electric_field(synthesised(spark, sf), z, dt=3600.0), "storm", "site", int(1.2 * 24))  # 1.2 days of hours
     size = magnitude(finite_or(F.col("ex"), 0.0), finite_or(F.col("ey"), 0.0))
     return e.groupBy("storm", "site").agg(F.round(F.max(size), 6).alias("max_e"))

@@ -130,7 +130,7 @@ wide AS (SELECT transformer, scenario, arg_min(gic, seq) FILTER (winding = 'HV')
   arg_min(gic, seq) FILTER (winding = 'Series') AS se, arg_min(gic, seq) FILTER (winding = 'Common') AS co FROM w GROUP BY 1, 2)"""
 
 
-@query("N15 PP02", f"WITH {WIND} SELECT transformer, scenario, hv AS HV, lv AS LV, se AS Series, co AS Common FROM wide")
+@query("PP02", f"WITH {WIND} SELECT transformer, scenario, hv AS HV, lv AS LV, se AS Series, co AS Common FROM wide")
 def winding_pivot(spark, sf):
     return P.winding_table(windings(spark, sf), ["transformer", "scenario"])
 
