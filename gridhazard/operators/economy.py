@@ -172,15 +172,16 @@ def sector_inverse(coefficients, tol=1e-12, doublings=40) -> DataFrame:
     sectors = coefficients.select("row").union(coefficients.select(F.col("col").alias("row"))).distinct()
     eye = sectors.select("row", F.col("row").alias("col"), F.lit(1.0).alias("a"))
     power = cut_lineage(coefficients.groupBy("row", "col").agg(F.sum("a").alias("a")))
-    total = cut_lineage(eye.unionByName(power).groupBy("row", "col").agg(F.sum("a").alias("a")))
+    total = last = cut_lineage(eye.unionByName(power).groupBy("row", "col").agg(F.sum("a").alias("a")))
     for _ in range(doublings):
-        power = cut_lineage(_product(power, power))
+        power = cut_lineage(_product(power, power), replaces=power)
         more = _product(total, power).select("row", "col", "a", F.col("a").alias("new"))
         grown = cut_lineage(
-            total.withColumn("new", F.lit(0.0)).unionByName(more).groupBy("row", "col").agg(F.sum("a").alias("a"), F.sum("new").alias("new"))
+            total.withColumn("new", F.lit(0.0)).unionByName(more).groupBy("row", "col").agg(F.sum("a").alias("a"), F.sum("new").alias("new")),
+            replaces=last,
         )
         size = grown.agg(F.max(F.abs("new")).alias("new"), F.max(F.abs("a")).alias("all")).first()
-        total = grown.select("row", "col", "a")
+        total, last = grown.select("row", "col", "a"), grown
         if (size["new"] or 0.0) <= tol * (size["all"] or 1.0):
             return total
     raise RuntimeError(f"the series of the sector matrix did not settle in {doublings} doublings")

@@ -15,7 +15,7 @@ from gridhazard.functions import rng
 from gridhazard.functions.fixed_values import INF, VARIANT, WINDING_OHM
 from gridhazard.functions.scalar import finite_or
 from gridhazard.operators.ordered import dense_position
-from gridhazard.session import cut_lineage
+from gridhazard.session import cut_lineage, drop_scratch
 
 GROUP_ENTRIES = 4_000_000  # largest system (matrix entries of a realization) solved inside one group
 SINGLE = ("GSU", "GY-D", "GSU w/ GIC BD")
@@ -156,7 +156,7 @@ def components(edges, keys=("realization",), max_rounds=60) -> DataFrame:
     both = cut_lineage(
         edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
-    labels = cut_lineage(both.groupBy(*keys, F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
+    labels = last = cut_lineage(both.groupBy(*keys, F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
     for _ in range(max_rounds):
         near = (
             both.join(labels.withColumnRenamed("node", "b"), keys + ["b"])
@@ -169,11 +169,13 @@ def components(edges, keys=("realization",), max_rounds=60) -> DataFrame:
         nxt = cut_lineage(
             step.join(jump, keys + ["new"], "left").select(
                 *keys, "node", "old", F.least("new", F.coalesce("far", "new")).alias("label")
-            )
+            ),
+            replaces=last,
         )
         changed = not nxt.filter(F.col("old") != F.col("label")).isEmpty()
-        labels = nxt.drop("old")
+        labels, last = nxt.drop("old"), nxt
         if not changed:
+            drop_scratch(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -295,12 +297,13 @@ def _solve_distributed(system, rhs, tol, max_iter):
         F.sum(F.col("r") * F.col("r")).alias("bb"), F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz")
     )
     norms = cut_lineage(norms)
+    both = moved = last_sums = None
     for _ in range(max_iter):
         ap = (
             system.join(state.select(*key, F.col("i").alias("j"), "p"), ["realization", "j"])
             .groupBy(*node).agg(F.sum(F.col("y") * F.col("p")).alias("ap"))
         )
-        both = cut_lineage(state.join(ap, node))
+        both = cut_lineage(state.join(ap, node), replaces=both)
         alpha = both.groupBy(*key).agg(F.sum(F.col("p") * F.col("ap")).alias("pap")).join(norms, key).select(
             *key, F.when(F.col("pap") > 0, F.col("rz") / F.col("pap")).otherwise(0.0).alias("alpha"), "rz", "bb"
         )
@@ -308,13 +311,14 @@ def _solve_distributed(system, rhs, tol, max_iter):
             both.join(alpha, key).select(
                 *node, "d", "p", "rz", "bb", (F.col("x") + F.col("alpha") * F.col("p")).alias("x"),
                 (F.col("r") - F.col("alpha") * F.col("ap")).alias("r"),
-            )
+            ),
+            replaces=moved,
         )
         sums = moved.groupBy(*key).agg(
             F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz2"), F.sum(F.col("r") * F.col("r")).alias("rr"),
             F.first("rz").alias("rz"), F.first("bb").alias("bb"),
         )
-        sums = cut_lineage(sums)
+        sums = last_sums = cut_lineage(sums, replaces=last_sums)
         done = sums.filter(F.col("rr") > tol * tol * F.col("bb")).isEmpty()
         if done:
             return moved.select(*node, F.col("x").alias("v"))

@@ -46,16 +46,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write to the shared folder and read back: survives the loss of any executor.
 
+    ``replaces``: an earlier result of this function that nothing reads any more once
+    this one is written, as in a loop; its files are deleted.
+
     A written table also carries its true size. A checkpoint inside a loop keeps
     the size estimate of the plan before it, which every further join multiplies
     until planning itself fails.
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if replaces is not None:
+        drop_scratch(replaces)
+    return out
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the files behind a result of :func:`cut_lineage`."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
