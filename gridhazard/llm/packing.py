@@ -56,7 +56,7 @@ def load(path):
         stops = np.array(sorted(vocab[w] for w in SENTENCE_ENDS if w in vocab), np.uint32)
         special = tuple(t.content.encode() for t in tok.get_added_tokens_decoder().values())
         kept[path] = {"tok": tok, "ends": ends, "stops": stops, "special": special, "hash": np.zeros(0, np.uint64),
-                      "from": np.zeros(1, np.int64), "ids": np.zeros(0, np.uint32)}
+                      "at": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32)}
     return kept[path]
 
 
@@ -74,46 +74,45 @@ def encode_words(held, words):
         if len(stop) != len(run):  # not one word each after all
             others += run
             continue
-        for k, part in zip(run, np.split(ids, stop[:-1])):
-            out[k] = part
+        begin = 0
+        for k, end in zip(run, stop.tolist()):
+            out[k] = ids[begin:end]
+            begin = end
     for k, coded in zip(others, tok.encode_batch_fast([texts[k] for k in others], add_special_tokens=False)):
         out[k] = np.array(coded.ids, np.uint32)
     return out
 
 
-def gather(held, hashes):
-    """Ids and counts of words that are all known, in order."""
-    at = np.searchsorted(held["hash"], hashes)
-    start, size = held["from"][at], held["size"][at]
+def known_places(held, data, hashes, starts, ends):
+    """Place of each word among the worker's known words; unknown ones are encoded first."""
+    unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    if len(held["hash"]) > KNOWN_WORDS:
+        held.update(hash=np.zeros(0, np.uint64), at=np.zeros(0, np.int64), size=np.zeros(0, np.int64), ids=np.zeros(0, np.uint32))
+    place = np.searchsorted(held["hash"], unique)
+    new = np.ones(len(unique), bool)
+    inside = place < len(held["hash"])
+    new[inside] = held["hash"][place[inside]] != unique[inside]
+    if new.any():
+        raw, first = data.tobytes(), first[new]
+        coded = encode_words(held, [raw[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist())])
+        size = np.array([len(c) for c in coded], np.int64)
+        at = len(held["ids"]) + np.cumsum(size) - size
+        where = place[new]
+        held.update(
+            hash=np.insert(held["hash"], where, unique[new]), at=np.insert(held["at"], where, at), size=np.insert(held["size"], where, size),
+            ids=np.concatenate([held["ids"], *coded]).astype(np.uint32, copy=False))
+        place = np.searchsorted(held["hash"], unique)
+    return place[inverse]
+
+
+def gather(held, places):
+    """Ids and counts of known words, in order."""
+    start, size = held["at"][places], held["size"][places]
     total = np.cumsum(size)
     index = np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
     return held["ids"][index], size
 
 
-def learn(held, data, hashes, starts, ends):
-    """Adds the unknown words of a chunk to the worker's known words, which are dropped when too many."""
-    unique, first = np.unique(hashes, return_index=True)
-    if len(held["hash"]) > KNOWN_WORDS:
-        held.update({"hash": np.zeros(0, np.uint64), "from": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32)})
-    if len(held["hash"]):
-        at = np.searchsorted(held["hash"], unique)
-        at[at == len(held["hash"])] = 0
-        new = held["hash"][at] != unique
-        unique, first = unique[new], first[new]
-    if not len(unique):
-        return
-    raw = data.tobytes()
-    coded = encode_words(held, [raw[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist())])
-    size = np.array([len(c) for c in coded], np.int64)
-    base = len(held["ids"])
-    ids = np.concatenate([held["ids"], *coded]).astype(np.uint32)
-    start = np.concatenate([held["from"][:len(held["hash"])], base + np.cumsum(size) - size])
-    sizes = np.concatenate([held.get("size", np.zeros(0, np.int64)), size])
-    every = np.concatenate([held["hash"], unique])
-    order = np.argsort(every)
-    held.update({"hash": every[order], "from": start[order], "size": sizes[order], "ids": ids})
-
-
 def token_rows(column, held, end_id):
     """Token ids of each text with the end token, in order.
 
@@ -130,11 +129,13 @@ def token_rows(column, held, end_id):
         starts, ends = word_spans(data, offs, PIECE)
         letter, mark = ASCII_LETTER[data], ASCII_MARK[data]
         cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1 if len(data) else np.zeros(0, np.int64)
-        cut = cut[~np.isin(cut, starts)]  # a border of a text is one already
-        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-        hashes = SpanHasher(data)(starts, ends)
-        learn(held, data, hashes, starts, ends)
-        ids, size = gather(held, hashes) if len(hashes) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        heads, tails = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        heads[starts] = tails[ends] = True
+        cut = cut[~heads[cut]]  # a border of a text is one already
+        heads[cut] = tails[cut] = True
+        starts, ends = np.flatnonzero(heads), np.flatnonzero(tails)
+        places = known_places(held, data, SpanHasher(data)(starts, ends), starts, ends)
+        ids, size = gather(held, places)
         edge = np.concatenate([[0], np.cumsum(size)])[words_of_rows(starts, offs)]
         for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
             yield np.append(ids[a:z], np.uint32(end_id))
@@ -155,25 +156,31 @@ def cut_places(ids, doc_ends, stops, length, fine_from):
 
 def best_cuts(places, prices, length):
     """Ends of the sequences of least padding plus prices, with a monotone queue over the last ``length`` tokens."""
-    at, price = places.tolist(), prices.tolist()
-    where = {p: k for k, p in enumerate(at)}
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
+    index = np.full(int(places[-1]) + 1, -1, np.int64)
+    index[places] = np.arange(len(places))
+    powers = places[:, None] - np.array([1 << k for k in range(length.bit_length()) if 1 << k < length])
+    exact = np.where(powers >= 0, index[np.maximum(powers, 0)], -1)  # cuts a power of two before
+    row, column = np.nonzero(exact >= 0)
+    begin = np.searchsorted(row, np.arange(len(places) + 1)).tolist()
+    source_of, at, price = exact[row, column].tolist(), places.tolist(), (prices + SEQUENCE_PRICE).tolist()
     cost, back = [0] * len(at), [0] * len(at)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + place, index): ascending in cost + place
+    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (cost + place, place, index): ascending in cost + place
     for j in range(1, len(at)):
         end = at[j]
-        while at[queue[0][1]] < end - length:
+        first = end - length
+        while queue[0][1] < first:
             queue.popleft()
-        best, source = queue[0][0] + length - end, queue[0][1]
-        for p in powers:
-            i = where.get(end - p)
-            if i is not None and cost[i] < best:
+        key, _, source = queue[0]
+        best = key - first
+        for i in source_of[begin[j]:begin[j + 1]]:
+            if cost[i] < best:
                 best, source = cost[i], i
-        cost[j], back[j] = best + price[j] + SEQUENCE_PRICE, source
-        key = cost[j] + end
+        best += price[j]
+        cost[j], back[j] = best, source
+        key = best + end
         while queue and queue[-1][0] >= key:
             queue.pop()
-        queue.append((key, j))
+        queue.append((key, end, j))
     cuts, j = [], len(at) - 1
     while j:
         cuts.append(at[j])
