@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to Python; texts are long, so batches are kept well below the default.
-BATCH_ROWS = "2000"
+from gridhazard.session import configure
+
+#: Rows and bytes of an Arrow batch sent to Python; texts are long, so batches are kept well below the defaults.
+BATCH_ROWS, BATCH_BYTES = "2000", "16m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
+    """The library's settings and smaller Arrow batches. Functions for tasks travel with the jobs."""
+    configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
