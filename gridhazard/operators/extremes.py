@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -80,46 +82,68 @@ def fitted_closed(draws) -> DataFrame:
 
 
 def truncated_fit(values: np.ndarray) -> tuple[float, float, float, int]:
-    """Maximum-likelihood (mu, sigma, xmin, points kept) of a lognormal cut off below xmin.
+    """Maximum-likelihood (mu, sigma, xmin, points kept) of a lognormal cut off below xmin."""
+    return tuple(v[0] for v in truncated_fits([values]))
+
+
+def truncated_fits(samples) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mu, sigma, xmin, points kept) of many samples at once.
 
-    xmin is the larger of the minimum and the 1st percentile. Newton steps on
-    (mu, ln sigma) with a numerical Hessian and step halving.
+    xmin is the larger of the minimum and the 1st percentile. The likelihood needs the
+    count, two moments of the logarithm and xmin alone; Newton steps on (mu, ln sigma)
+    with a numerical Hessian and step halving run over all samples together.
     """
-    from math import erfc, log, sqrt
-
-    x = np.abs(values[np.isfinite(values)])
-    x = x[x > 0]
-    if x.size < 5:
-        return np.nan, np.nan, np.nan, 0
-    xmin = max(x.min(), np.percentile(x, 1.0))
-    y = np.log(x[x >= xmin])
-    a, n, m, q = log(xmin), y.size, y.mean(), (y**2).mean()
-
-    def loss(p):
-        mu, s = p[0], np.exp(p[1])
-        z = (a - mu) / s
-        tail = 0.5 * erfc(z / sqrt(2.0))
-        log_tail = log(tail) if tail > 1e-300 else -0.5 * z * z - log(max(z, 1.0) * 2.5066)
-        return (q - 2 * mu * m + mu * mu) / (2 * s * s) + p[1] + log_tail
-
-    p = np.array([m, log(max(y.std(), 1e-6))])
+    stats = np.full((len(samples), 5), np.nan)  # ln xmin, points, mean and mean square of the logarithm, its deviation
+    low = np.full(len(samples), np.nan)
+    for k, values in enumerate(samples):
+        x = np.abs(values[np.isfinite(values)])
+        x = x[x > 0]
+        if x.size >= 5:
+            low[k] = max(x.min(), np.percentile(x, 1.0))
+            y = np.log(x[x >= low[k]])
+            stats[k] = np.log(low[k]), y.size, y.mean(), (y**2).mean(), y.std()
+    count = np.nan_to_num(stats[:, 1]).astype(int)
+    rows = np.flatnonzero(count)
+    mu, sigma = np.full(len(samples), np.nan), np.full(len(samples), np.nan)
+    p = np.stack([stats[rows, 2], np.log(np.maximum(stats[rows, 4], 1e-6))])
+    live = np.arange(len(rows))
     h = 1e-4
     for _ in range(60):
-        e = np.eye(2) * h
-        g = np.array([(loss(p + e[i]) - loss(p - e[i])) / (2 * h) for i in range(2)])
-        hess = np.array([[
-            (loss(p + e[i] + e[j]) - loss(p + e[i] - e[j]) - loss(p - e[i] + e[j]) + loss(p - e[i] - e[j])) / (4 * h * h)
-            for j in range(2)] for i in range(2)])
-        w, v = np.linalg.eigh(hess)
-        step = v @ ((v.T @ g) / np.maximum(np.abs(w), 1e-4))
-        step *= min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
-        t, base = 1.0, loss(p)
-        while loss(p - t * step) > base and t > 1e-6:
-            t /= 2
-        p = p - t * step
-        if np.abs(t * step).max() < 1e-9:
+        if not len(live):
             break
-    return float(p[0]), float(np.exp(p[1])), float(xmin), int(n)
+        a, m, q = (stats[rows[live], c] for c in (0, 2, 3))
+        at = p[:, live]
+        loss = lambda i, j: _truncated_loss(at[0] + i, at[1] + j, a, m, q)  # noqa: B023
+        base = loss(0, 0)
+        g = np.stack([(loss(h, 0) - loss(-h, 0)) / (2 * h), (loss(0, h) - loss(0, -h)) / (2 * h)], axis=1)
+        hess = np.empty((len(live), 2, 2))
+        hess[:, 0, 0] = (loss(2 * h, 0) - 2 * base + loss(-2 * h, 0)) / (4 * h * h)
+        hess[:, 1, 1] = (loss(0, 2 * h) - 2 * base + loss(0, -2 * h)) / (4 * h * h)
+        hess[:, 0, 1] = hess[:, 1, 0] = (loss(h, h) - loss(h, -h) - loss(-h, h) + loss(-h, -h)) / (4 * h * h)
+        w, v = np.linalg.eigh(hess)
+        step = np.einsum("nij,nj->ni", v, np.einsum("nji,nj->ni", v, g) / np.maximum(np.abs(w), 1e-4))
+        step *= np.minimum(1.0, 1.0 / np.maximum(np.abs(step).max(axis=1), 1e-12))[:, None]
+        t = np.ones(len(live))
+        for _ in range(20):
+            worse = loss(-t * step[:, 0], -t * step[:, 1]) > base
+            if not worse.any():
+                break
+            t[worse] /= 2
+        p[:, live] = at - t * step.T
+        live = live[np.abs(t[:, None] * step).max(axis=1) >= 1e-9]
+    mu[rows], sigma[rows] = p[0], np.exp(p[1])
+    return mu, sigma, low, count
+
+
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def _truncated_loss(mu, ln_sigma, a, m, q):
+    s = np.exp(ln_sigma)
+    z = (a - mu) / s
+    tail = 0.5 * _erfc(z / np.sqrt(2.0)).astype(float)
+    log_tail = np.where(tail > 1e-300, np.log(np.maximum(tail, 1e-300)), -0.5 * z * z - np.log(np.maximum(z, 1.0) * 2.5066))
+    return (q - 2 * mu * m + mu * mu) / (2 * s * s) + ln_sigma + log_tail
 
 
 def fitted_truncated(draws) -> DataFrame:
@@ -130,8 +154,8 @@ def fitted_truncated(draws) -> DataFrame:
 
     @F.pandas_udf("mu double, sigma double, xmin double, n bigint")
     def fit(xs: pd.Series) -> pd.DataFrame:
-        rows = [truncated_fit(np.asarray(v, float)) for v in xs]
-        return pd.DataFrame(rows, columns=["mu", "sigma", "xmin", "n"])
+        fits = truncated_fits([np.asarray(v, float) for v in xs])
+        return pd.DataFrame(dict(zip(("mu", "sigma", "xmin", "n"), fits)))
 
     out = packed.select("entity", "attempt", "sgn", fit("xs").alias("f"))
     ok = S.finite(F.col("f.mu")) & S.finite(F.col("f.sigma")) & (F.col("f.sigma") > 0)
