@@ -206,8 +206,10 @@ def nearest_centre(spark, sf):
     f"""WITH {PTS}, g AS (SELECT iy * 40 + ix AS cell_id, -0.35e0 + ix * {X.num(0.7 / 39)} AS gx, -0.35e0 + iy * {X.num(0.7 / 19)} AS gy FROM range(40) a(ix), range(20) b(iy)),
         w AS (SELECT cell_id, x, 1 / greatest((gx - p.x) * (gx - p.x) + (gy - p.y) * (gy - p.y), 1e-12) AS w, label FROM g, p WHERE (gx - p.x) * (gx - p.x) + (gy - p.y) * (gy - p.y) <= 0.01),
         i AS (SELECT cell_id, sum(w * label) / sum(w) AS value, count(*) AS n FROM w GROUP BY 1),
-        k AS (SELECT DISTINCT cell_id FROM g JOIN dm ON abs(gx - mx) / sx + abs(gy - my) / sy < 1)
-        SELECT CAST(cell_id AS BIGINT) AS cell_id, round(value, 6) AS value, n FROM i WHERE cell_id IN (SELECT cell_id FROM k)""",
+        k AS (SELECT DISTINCT cell_id FROM g JOIN dm ON abs(gx - mx) / sx + abs(gy - my) / sy < 1),
+        f AS (SELECT cell_id, min(struct_pack(d := (gx - p.x) * (gx - p.x) + (gy - p.y) * (gy - p.y), l := label)).l AS value, 0 AS n
+              FROM g, p WHERE cell_id NOT IN (SELECT cell_id FROM i) GROUP BY 1)
+        SELECT CAST(cell_id AS BIGINT) AS cell_id, round(CAST(value AS DOUBLE), 6) AS value, n FROM (SELECT * FROM i UNION ALL SELECT * FROM f) WHERE cell_id IN (SELECT cell_id FROM k)""",
 )
 def idw_grid(spark, sf):
     cells = G.lattice(spark, -0.35, 0.35, 40, -0.35, 0.35, 20)

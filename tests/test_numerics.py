@@ -200,3 +200,10 @@ def test_allocation_keeps_state_totals(spark):
     gdp = spark.createDataFrame([("S", "11", 100.0), ("S", "92", 50.0)], "state string, naics string, gdp double")
     got = {r.naics: r.g for r in EC.allocated_output(est, gdp).groupBy("naics").agg(F.sum("gdp").alias("g")).collect()}
     assert got == {"11": pytest.approx(100.0), "UNCLFD": pytest.approx(50.0)}
+
+
+def test_inverse_distance_keeps_every_point(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 10.0)], "id int, x double, y double")
+    sites = spark.createDataFrame([(0.05, 0.0, 3.0), (0.0, 0.05, 5.0), (-3.0, 0.0, 9.0)], "sx double, sy double, v double")
+    got = {r.id: (r.value, r.n) for r in G.inverse_distance(pts, sites, "id", "v", 0.1).collect()}
+    assert got == {1: (pytest.approx(4.0), 2), 2: (3.0, 0)}
