@@ -1,10 +1,15 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences: after ".", "!", "?" or ";" with white space, and at line ends, unless the next line
-goes on in lower case or with a bracket; a tag line ends at its end. Sentences are normalised (lower case, all but a-z and 0-9 as one space) and looked up among
-known licence sentences. The identifiers found, in order, are matched against ordered licence rules: a rule holds
-if its identifiers occur in its order, others may stand between; of a family the first rule that holds counts.
-One pass, no shuffle. Texts without any word that every known sentence has one of are not cut.
+A text is cut after ".", "!", "?" or ";" with white space, and around SPDX tags. The pieces are normalised (lower
+case, all but a-z and 0-9 as one space), so comment markers go; a line end stays as a mark. A known licence sentence
+is found where it begins and ends at a cut or a line end, with any line ends inside it: wrapped and commented texts
+are read like unbroken ones, and a notice on a line of its own needs no stop around it. Of two that begin together
+the longer one counts. A tag gives every licence identifier of its expression, known or not; exceptions after WITH
+are no licences.
+
+The identifiers found, in order, are matched against ordered licence rules: a rule holds if its identifiers occur
+in its order, others may stand between; of a family the first rule that holds counts. A tag of a licence without
+rules counts as written. One pass, no shuffle. Texts without any word that every known sentence has one of are not cut.
 
 Null and empty texts have no sentences. Repeated rows are judged one by one. Extra columns are not read.
 """
@@ -50,6 +55,11 @@ SENTENCES = {
     "ccbync.work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "ccbysa.work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }
+#: The parts of a sentence that licence texts break in two; tried before the unbroken form.
+PARTS = {
+    "mit.grant": SENTENCES["mit.grant"].partition(": The above")[0],
+    "mit.condition": "The above" + SENTENCES["mit.grant"].partition(": The above")[2],
+}
 #: (family, licence, identifiers in order), the first of a family that holds counts.
 RULES = (
     ("mit", "MIT", ("mit.grant", "mit.warranty")),
@@ -78,8 +88,11 @@ RULES = (
 )
 #: Every known sentence holds one of these in lower case.
 ANCHORS = ("licen", "permission", "redistribut", "warrant", "software")
-TAG = r"(SPDX-License-Identifier:[^\n]*)\n"
-LINE_END, STOP, BREAK = r"\s*\n\s*([^a-z\s(])", r"([.!?;])\s+", "\x01"
+STOP, BREAK, TAGGED = r"([.!?;])\s+", "\x01", "\x02"
+SPDX = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+EXPRESSION = rf"(?i)SPDX-License-Identifier[ \t]*:[ \t]*([( \t]*{SPDX}(?:[) \t]+(?:and|or|with)[( \t]+{SPDX})*)"
+NO_LICENCE = r"(?i)(?<![^\s(])with[ \t]+[A-Za-z0-9.+-]+|(?<![^\s(])(?:and|or|none|noassertion)(?![^\s)])"
+COMMENT_WORD = r"(?im)^[ \t]*@?(?:dnl|rem|comment)[ \t]+"  # markers that are words
 
 
 def normalised(sentence: str) -> str:
@@ -92,6 +105,16 @@ def known() -> dict[str, str]:
     return {normalised(s): name for name, s in SENTENCES.items()} | {normalised(s): name for s, name in tags.items()}
 
 
+def told_sentences() -> dict[str, str]:
+    """Normalised sentence -> identifier in the order in which they are tried: parts, then longer ones first."""
+    return {normalised(s): name for name, s in PARTS.items()} | dict(sorted(known().items(), key=lambda x: -len(x[0])))
+
+
+def sentence_pattern() -> str:
+    """A known sentence between line marks, with a space or a line mark between its words."""
+    return "(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in told_sentences()) + ")(?=\n)"
+
+
 def rules():
     """The ordered rules; a tag is the last rule of its family for that licence."""
     tags = dict.fromkeys((family, licence, (f"spdx.{licence.lower()}",)) for family, licence, _ in RULES)
@@ -110,22 +133,33 @@ def find_licences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     anchored = low.contains(ANCHORS[0])
     for anchor in ANCHORS[1:]:
         anchored = anchored | low.contains(anchor)
-    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", TAG, "$1" + BREAK), LINE_END, BREAK + "$1"), STOP, "$1" + BREAK)
-    rows = rows.select("id", F.when(anchored, F.split(cut, BREAK)).otherwise(F.array().cast("array<string>")).alias("sentences"))
-    names = F.create_map(*(F.lit(x) for pair in known().items() for x in pair))
-    told = F.transform("sentences", lambda s: F.try_element_at(names, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
-    rows = rows.select("id", F.filter(told, lambda x: x.isNotNull()).alias("ids"))
-    rows = rows.select("id", "ids", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")).alias("sequence"))
+    cut = F.regexp_replace(F.regexp_replace(F.translate("text", TAGGED, " "), COMMENT_WORD, " "), EXPRESSION, BREAK + TAGGED + "$1" + BREAK)
+    cut = F.split(F.regexp_replace(cut, STOP, "$1" + BREAK), BREAK)
+    rows = rows.select("id", F.when(anchored, cut).otherwise(F.array().cast("array<string>")).alias("pieces"))
+    names = F.create_map(*(F.lit(x) for pair in told_sentences().items() for x in pair))
+    ruled = {f"spdx.{licence.lower()}" for _, licence, _ in RULES}
+    # line marks around each piece, and one for each run of other characters that holds a line end
+    lined = lambda s: F.regexp_replace(
+        F.concat(F.lit("\n"), F.regexp_replace(F.lower(s), r"[^a-z0-9\n\r]+", " "), F.lit("\n")), r" ?[\n\r][ \n\r]*", "\n")
+    sentences = lambda s: F.transform(F.regexp_extract_all(lined(s), F.lit(sentence_pattern()), F.lit(0)), lambda x: F.struct(
+        F.try_element_at(names, F.translate(x, "\n", " ")).alias("name"), F.lit(None).cast("string").alias("own")))
+    tags = lambda s: F.transform(F.regexp_extract_all(F.regexp_replace(s, NO_LICENCE, " "), F.lit(SPDX), F.lit(0)), lambda x: F.struct(
+        F.concat(F.lit("spdx."), F.lower(x)).alias("name"), F.when(~F.concat(F.lit("spdx."), F.lower(x)).isin(*sorted(ruled)), x).alias("own")))
+    found = F.flatten(F.transform("pieces", lambda s: F.when(s.startswith(TAGGED), tags(F.substring(s, 2, 1 << 30))).otherwise(sentences(s))))
+    rows = rows.select("id", found.alias("found"))
+    rows = rows.select("id", F.col("found.name").alias("ids"), F.array_compact(F.col("found.own")).alias("own"))
+    first = F.filter("own", lambda x, i: F.array_position(F.transform("own", F.lower), F.lower(x)) == i + 1)
+    rows = rows.select("id", "ids", first.alias("own"), F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")).alias("sequence"))
     families: dict[str, list] = {}
     for family, licence, identifiers in rules():
         families.setdefault(family, []).append((licence, rule_pattern(identifiers)))
-    found = []
+    held = []
     for options in families.values():
         choice = F.when(F.col("sequence").rlike(options[0][1]), options[0][0])
         for licence, pattern in options[1:]:
             choice = choice.when(F.col("sequence").rlike(pattern), licence)
-        found.append(choice)
-    licences = F.array_join(F.array_sort(F.array_compact(F.array(*found))), ",")
+        held.append(choice)
+    licences = F.array_join(F.array_sort(F.concat(F.array_compact(F.array(*held)), "own")), ",")
     return rows.select(
         F.col("id").alias(id_col), F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"),
         F.when(F.size("ids") > 0, licences).otherwise("").alias("licences"))

@@ -443,6 +443,73 @@ def test_licences(spark):
     assert all(any(a in s for a in ANCHORS) for s in known())
 
 
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution."""
+
+
+def test_wrapped_and_commented_licences(spark):
+    whole = [(MIT, "mit.grant,mit.condition,mit.warranty", "MIT"), (GPL3, "gpl.free", "GPL-3.0-or-later"), (LGPL, "lgpl.free,lgpl.terms,lgpl.version", "LGPL-2.1-or-later"),
+             (MPL, "mpl.terms", "MPL-2.0"), (APACHE, "apache.header,apache.compliance,apache.basis", "Apache-2.0"), (BSD, "bsd.head,bsd.source,bsd.binary", "BSD-2-Clause")]
+    marked = lambda t, m: "\n".join(f"{m} {x}".rstrip() for x in t.split("\n"))
+    forms = (lambda t: t, lambda t: marked(t, "#"), lambda t: marked(t, "//"), lambda t: f"/*\n{marked(t, ' *')}\n */", lambda t: marked(t, "dnl"),
+             lambda t: t.replace("\n", "\r\n"), lambda t: f"Heading\n{t}\nint main", lambda t: "é" * 30_000 + f"\n{t}")
+    want = [(form(t), ids, licences) for t, ids, licences in whole for form in forms]
+    one_line = SENTENCES["mit.grant"] + "."
+    want += [
+        (one_line, "mit.grant", "MIT"), ("Copyright Some One\nReleased under the MIT License\nAll of it", "mit.notice", "MIT"), ("Released under\nthe MIT License. x", "mit.notice", "MIT"),
+        ("// SPDX-License-Identifier: Zlib\nint x;", "spdx.zlib", "Zlib"), ("/* SPDX-License-Identifier: (MIT OR BSL-1.0) */ x", "spdx.mit,spdx.bsl-1.0", "BSL-1.0,MIT"),
+        ("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nx", "spdx.gpl-2.0-only", "GPL-2.0-only"), ("SPDX-License-Identifier: NONE", "", ""),
+        ("SPDX-License-Identifier: 0BSD. Released under the MIT License.\nSPDX-License-Identifier: 0bsd", "spdx.0bsd,mit.notice,spdx.0bsd", "0BSD,MIT"),
+        ("we say: Released under the MIT License of ours.", "", ""),
+    ]
+    rows = [(k, t, None, None) for k, (t, *_) in enumerate(want)]
+    got = {r.doc_id: (r.sentence_ids, r.licences, r.n_sentences) for r in find_licences(frame(spark, rows)).collect()}
+    assert got == {k: (ids, licences, len([i for i in ids.split(",") if i])) for k, (_, ids, licences) in enumerate(want)}
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x", "y", "z")]).limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
