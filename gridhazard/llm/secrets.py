@@ -6,8 +6,9 @@ base spans. ``bare`` are long mixed tokens outside these, which alone prove noth
 
 Only digests of the candidate values leave the scan. They are counted over the corpus by distinct repository and
 owner, in steps, so a value copied into a third of all rows is summed before it is shuffled. A value held by at
-least ``copied_owners`` owners is a widely copied example; one of less than eight different characters is a
-filler; any other is specific to its owners and looks live. Bare tokens become spans only if they are specific.
+least ``copied_owners`` owners is a widely copied example; a filler has two different characters at most, or, where
+it is longer, one for every eight of its characters, but never more than four; any other is specific to its owners
+and looks live. Bare tokens become spans only if they are specific.
 
 Nulls: a null text is empty; a null owner or repository counts as one of its own; a null id stays null. Rows that
 are alike get alike results. Empty tables give no rows. Extra columns are not read, or kept by ``redact``.
@@ -75,8 +76,9 @@ def scan(docs: DataFrame, id_col, text_col, owner, repo) -> DataFrame:
     mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[a-z]")
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     rows = rows.select("row_key", "id", "owner", "repo", F.array_sort(F.concat("base", F.filter(F.filter("bare", mixed), free))).alias("found"))
+    plain = lambda v: F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.length(v) / 8)))
     digest = F.transform("found", lambda x: F.struct(
-        x["start"], x["kind"], x["end"], F.unhex(F.md5(x["value"])).alias("digest"), (F.size(F.array_distinct(F.split(x["value"], ""))) >= 8).alias("varied")))
+        x["start"], x["kind"], x["end"], F.unhex(F.md5(x["value"])).alias("digest"), (F.size(F.array_distinct(F.split(x["value"], ""))) > plain(x["value"])).alias("varied")))
     return rows.select("row_key", "id", "owner", "repo", digest.alias("found"))
 
 

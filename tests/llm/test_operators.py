@@ -235,6 +235,18 @@ def test_redaction_masks_specific_secrets_only(spark):
     assert by_id[10] == " ".join(["[secret]"] * 700) and by_id[2].startswith("é [secret]\" ünd P")
 
 
+def test_short_secrets_of_one_owner_are_masked(spark):
+    live = ["password=hunter22", "passwd: passw0rd", "token=1122334455", "secret=aabbccdd", "api_key=" + "deadbeef" * 4]
+    plain = ["password=xxxxxxxx", "token=xxxx-xxxx-xxxx", "secret=" + "0" * 40, "key " + "0123" * 16, "password=aaaabbbbccccaaaabbbbcccc"]
+    rows = [(k, f"a {t} b", "en", f"o{k}") for k, t in enumerate(live + plain)]
+    rows += [(50 + k, "password=changeme", "en", f"o{k}") for k in range(3)]
+    out = {r.doc_id: r.text for r in redact(frame(spark, rows), F.col("source"), F.lit("r")).collect()}
+    assert [out[k] for k in range(len(live))] == ["a [secret] b"] * len(live)
+    assert all(out[k] == t for k, t, *_ in rows[len(live):])
+    told = {r.doc_id: r.n_specific for r in find_secrets(frame(spark, rows), F.col("source"), F.lit("r")).collect()}
+    assert all((told[k] > 0) == (k < len(live)) for k in told)
+
+
 def test_packing_is_whole_and_tight(spark, corpus):
     rows = corpus + [(70, "a <|endoftext|> b. C'est d'accord, it's (fine)…no?! 12.5% naïve İstanbul été ﬁ", "en", "s")]
     got = pack(frame(spark, rows), TOKENIZER).collect()
