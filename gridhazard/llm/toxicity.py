@@ -8,7 +8,9 @@ label hold their class fixed. The posterior of each pattern then labels a bounde
 model on votes, hashed words and hashed word beginnings is trained on these posterior labels; it scores every
 whole text.
 
-The sample holds at most about ``max_rows`` rows, taken by a hash of the row; all counts cover all rows. Null and
+The sample holds at most about ``max_rows`` rows, taken by a hash of the row: half of them with a known label, four
+tenths without one but marked by a voter, a tenth of others, however large the input is. Known rows are trained on
+their labels, all others on the posterior of the label model. All counts cover all rows. Null and
 empty texts have no words: their score is that of a text without votes. Null ids, labels and unknown ids teach
 nothing beyond their votes; of repeated labels of an id the largest counts. With nothing to learn from, voters
 keep their assumed accuracies. Repeated rows get equal scores. Extra columns are not read, or kept by the filter.
@@ -43,6 +45,8 @@ NAMES = (*LEXICON, "several", "dense", "addressed")
 ASSUMED = (0.3, 0.01)  # share of toxic and of other texts a voter is taken to mark before anything is learnt
 DIMS = 1 << 18
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word that make a feature of their own
+#: Shares of the sample: rows with a known label, rows without one that some voter marks, other rows.
+SHARES = {"known": 0.5, "marked": 0.4, "other": 0.1}
 HIT = 8  # words on either side in which "you" counts as addressed
 
 
@@ -203,6 +207,17 @@ def train(slot, value, at, votes, target, rounds=250, decay=(2e-5, 1e-5), rate=0
     return out
 
 
+def sample_sizes(size, max_rows):
+    """Rows to take of each kind: ``SHARES`` of ``max_rows``, or more where a kind has less than its share."""
+    most = {kind: share * max_rows for kind, share in SHARES.items()}
+    take = {kind: min(size[kind], most[kind]) for kind in SHARES}
+    for kind, partner in (("known", "marked"), ("marked", "known")):
+        take[kind] = min(size[kind], most["known"] + most["marked"] - take[partner])
+    if take["known"] + take["marked"] < most["other"]:  # hardly anything else to learn from
+        take["other"] = min(size["other"], max_rows - take["known"] - take["marked"])
+    return take
+
+
 def learn_weights(docs: DataFrame, labels: DataFrame, learn, id_col, text_col, label_id, label_col, max_rows):
     """(weights, label model) from the rows where ``learn`` holds."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), learn.alias("learn")).filter("learn")
@@ -221,13 +236,10 @@ def learn_weights(docs: DataFrame, labels: DataFrame, learn, id_col, text_col, l
     counted = voted.groupBy("pattern", "gold").agg(F.count("*").alias("n")).toPandas()
     votes, gold = unpack(counted["pattern"].to_numpy(dtype=np.int64)), counted["gold"].to_numpy()
     model = LabelModel(votes, gold, counted["n"].to_numpy(dtype=float))
-    # a bounded sample: known rows first, then rows that some voter marks, then a tenth of others
+    # a bounded sample with the same shares at every size; what known or marked rows do not fill goes to the other of the two
     kinds = {"known": gold >= 0, "marked": (gold < 0) & votes.any(axis=1), "other": (gold < 0) & ~votes.any(axis=1)}
-    room, scale, rates = float(max_rows), 1 << 20, {}
-    for kind_of, rows_of in kinds.items():
-        n = float(counted["n"][rows_of].sum())
-        take = min(n, room if kind_of != "other" or room > 0.9 * max_rows else max_rows / 10)
-        rates[kind_of], room = int(scale * take / max(n, 1.0)), room - take
+    size = {kind_of: float(counted["n"][rows_of].sum()) for kind_of, rows_of in kinds.items()}
+    scale, rates = 1 << 20, {kind_of: int((1 << 20) * take / max(size[kind_of], 1.0)) for kind_of, take in sample_sizes(size, max_rows).items()}
     rate = F.when(F.col("gold") >= 0, rates["known"]).when(F.col("pattern") != 0, rates["marked"]).otherwise(rates["other"])
     chosen = voted.filter(F.pmod("pick", F.lit(scale)) < rate).groupBy("pick").agg(F.max("pattern").alias("pattern"), F.max("gold").alias("gold"))
 

@@ -22,7 +22,7 @@ from gridhazard.llm.packing import LENGTH, SEQUENCE_PRICE, best_cuts, pack
 from gridhazard.llm.quality import pool_adjacent, score_quality
 from gridhazard.llm.secrets import find_secrets, redact
 from gridhazard.llm.sharding import shard_documents
-from gridhazard.llm.toxicity import NAMES, LabelModel, drop_toxic, score_toxicity, unpack
+from gridhazard.llm.toxicity import NAMES, LabelModel, drop_toxic, sample_sizes, score_toxicity, unpack
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Names that operators use for their own columns.
@@ -440,6 +440,35 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.score for r in bare if r.doc_id in (5, 15, 25, 35)]) > np.mean([r.score for r in bare if r.doc_id % 5])
 
 
+def test_voted_rows_teach_beside_many_labels(spark):
+    rng = np.random.default_rng(15)
+    rows, labels = [], []
+    for k in range(1200):
+        w = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in rng.integers(0, 300, 60)]
+        if k < 700:  # known: toxic by words of the lexicon
+            if k % 5 == 0:
+                w[20], w[30] = "idiot", "scum"
+            labels.append((k, int(k % 5 == 0)))
+        elif k < 1000 and k % 2:  # marked by voters: with a family of words that no label shows
+            w[20], w[30] = "idiot", "scum"
+            w[::8] = [f"zzgrub{x[-1]}" for x in w[::8]]
+        elif k >= 1000 and k % 2:  # to be scored: that family alone
+            w[::8] = [f"zzgrub{x[-1]}" for x in w[::8]]
+        rows.append((k, " ".join(w), "en", "s"))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in score_toxicity(frame(spark, rows), lab, F.col("doc_id") < 1000, max_rows=300).collect()}
+    family, plain = [got[k] for k in range(1001, 1200, 2)], [got[k] for k in range(1000, 1200, 2)]
+    assert np.mean(np.array(family) >= 0.3) > 0.9 and np.mean(np.array(plain) >= 0.3) < 0.1
+
+
+def test_sample_has_the_same_shares_at_every_size():
+    for factor in (1, 10, 1000):
+        assert sample_sizes({"known": 4000.0 * factor, "marked": 4000.0 * factor, "other": 9000.0 * factor}, 8000) == {"known": 4000, "marked": 3200, "other": 800}
+    assert sample_sizes({"known": 100.0, "marked": 9e6, "other": 9e6}, 8000) == {"known": 100, "marked": 7100, "other": 800}
+    assert sample_sizes({"known": 9e6, "marked": 10.0, "other": 9e6}, 8000) == {"known": 7190, "marked": 10, "other": 800}
+    assert sample_sizes({"known": 0.0, "marked": 0.0, "other": 500.0}, 8000) == {"known": 0, "marked": 0, "other": 500}
+
+
 def test_licences(spark):
     header = "\n".join(SENTENCES[i] + e for i, e in (("apache.header", ";"), ("apache.compliance", "."), ("apache.basis", ".")))
     gpl = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
