@@ -1,6 +1,7 @@
 """Operators against brute force on small rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import inspect
 import itertools
 import re
 import zlib
@@ -561,3 +562,8 @@ def test_empty_tables(spark):
                drop_near_copies(none), drop_contaminated(none, items), redact(none, F.col("source"), F.col("lang")), drop_toxic(none, labels, learn)):
         assert df.count() == 0
     assert decontaminate(frame(spark, [(1, "a b", None, None)]), items).first().n_hit == 0
+
+
+def test_toxicity_sample_is_whole():
+    for operator in (score_toxicity, drop_toxic):
+        assert inspect.signature(operator).parameters["max_rows"].default == 8_000
