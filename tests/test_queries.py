@@ -44,3 +44,8 @@ def test_entry_runs(spark):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ratios_are_ranked_without_a_buffer_of_a_scenario(spark):
+    plan = entry.queries()["ratio_to_base"](spark, SF)._jdf.queryExecution().toString()
+    assert "percentile(" not in plan
