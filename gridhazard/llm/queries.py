@@ -12,6 +12,7 @@ from gridhazard.llm.decontaminate import decontaminate
 from gridhazard.llm.jaccard import near_copies
 from gridhazard.llm.langid import identify
 from gridhazard.llm.licences import find_licences, licence_sql
+from gridhazard.llm.merkle import verified
 from gridhazard.llm.neighbours import nearest
 from gridhazard.llm.packing import pack
 from gridhazard.llm.quality import score_quality
@@ -87,3 +88,14 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences of every document and the licences they make."""
     return find_licences(table(prepare(spark), sf_dir, "documents"))
+
+
+@query("", sqltext.MERKLE)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that a changed row folds up to."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    longer = F.col("n_chars") + F.when(crc % 7 == 0, 1).otherwise(0)
+    out = verified(table(prepare(spark), sf_dir, "documents"), {"n_chars": longer})
+    return out.select(
+        F.col("id").alias("doc_id"), *[F.lower(F.hex(c)).alias(n) for c, n in (
+            ("digest", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof_digest", "proof_sha256"), ("folded", "folded_root"))], "verified")

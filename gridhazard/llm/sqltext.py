@@ -1,5 +1,7 @@
 """DuckDB equivalents of the operators' queries, where SQL can express them."""
 
+import re
+
 DECONTAMINATE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -62,3 +64,31 @@ for _k, _re in enumerate((
     "AKIA[A-Z0-9]+", "[0-9a-f]{32,}", "[A-Za-z0-9+/_=-]{20,}",
 )):
     SECRETS = SECRETS.replace(f"RE{_k}", f"'{_re}'")
+
+MERKLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, F(doc_id) || F(source) || F(lang) AS head, n_chars, F(text) AS tail,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii((doc_id::VARCHAR)[k])::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc FROM documents),
+leaf AS (SELECT r, doc_id, coalesce('+' || lang, '') AS b, sha256(head || F(n_chars) || tail) AS h,
+    sha256(head || F(n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END) || tail) AS h2 FROM d),
+placed AS (SELECT r, doc_id, b, h, h2, row_number() OVER (PARTITION BY b ORDER BY doc_id NULLS FIRST, h) - 1 AS p, count(*) OVER (PARTITION BY b) AS n FROM leaf),
+low(b, l, p, n, h) AS (SELECT b, 0::BIGINT, p, n, h FROM placed UNION ALL
+  SELECT b, l + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM low WHERE n > 1 GROUP BY b, l, p // 2, n),
+tops AS (SELECT b, h, row_number() OVER (ORDER BY b) - 1 AS p, count(*) OVER () AS n FROM low WHERE n = 1),
+high(l, p, n, h) AS (SELECT 0::BIGINT, p, n, h FROM tops UNION ALL
+  SELECT l + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM high WHERE n > 1 GROUP BY l, p // 2, n),
+sides AS (SELECT a.r, 0 AS part, s.l, s.h FROM placed a JOIN low s ON s.b = a.b AND s.p = xor(a.p >> s.l, 1) UNION ALL
+  SELECT a.r, 1, s.l, s.h FROM placed a JOIN tops t ON t.b = a.b JOIN high s ON s.p = xor(t.p >> s.l, 1)),
+told AS (SELECT r, sha256(string_agg(h, '' ORDER BY part, l)) AS x FROM sides GROUP BY r),
+fold(r, b, l, p, n, h) AS (SELECT r, b, 0::BIGINT, p, n, h2 FROM placed UNION ALL
+  SELECT f.r, f.b, f.l + 1, f.p // 2, (f.n + 1) // 2, sha256(CASE WHEN f.p % 2 = 1 THEN s.h ELSE '' END || f.h || CASE WHEN f.p % 2 = 0 THEN coalesce(s.h, '') ELSE '' END)
+  FROM fold f LEFT JOIN low s ON s.b = f.b AND s.l = f.l AND s.p = xor(f.p, 1) WHERE f.n > 1),
+rise(r, l, p, n, h) AS (SELECT f.r, 0::BIGINT, t.p, t.n, f.h FROM fold f JOIN tops t ON t.b = f.b WHERE f.n = 1 UNION ALL
+  SELECT f.r, f.l + 1, f.p // 2, (f.n + 1) // 2, sha256(CASE WHEN f.p % 2 = 1 THEN s.h ELSE '' END || f.h || CASE WHEN f.p % 2 = 0 THEN coalesce(s.h, '') ELSE '' END)
+  FROM rise f LEFT JOIN high s ON s.l = f.l AND s.p = xor(f.p, 1) WHERE f.n > 1),
+root AS (SELECT h FROM high WHERE n = 1)
+SELECT a.doc_id, a.h AS leaf, t.h AS subroot, root.h AS root, coalesce(told.x, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+FROM placed a JOIN tops t ON t.b = a.b JOIN rise f ON f.r = a.r AND f.n = 1 LEFT JOIN told ON told.r = a.r CROSS JOIN root
+"""
+MERKLE = re.sub(r"\bF\(([^()]*(?: CASE [^()]*)?)\)", r"coalesce(strlen((\1)::VARCHAR)::VARCHAR || ':' || (\1)::VARCHAR, '-')", MERKLE)
