@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridhazard.llm import sqltext
+from gridhazard.llm.bpe import decode, encode
 from gridhazard.llm.common import held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate
 from gridhazard.llm.jaccard import near_copies
@@ -99,3 +100,12 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.col("id").alias("doc_id"), *[F.lower(F.hex(c)).alias(n) for c, n in (
             ("digest", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof_digest", "proof_sha256"), ("folded", "folded_root"))], "verified")
+
+
+@query("")
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text that they are decoded to, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    out = decode(encode(docs, path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

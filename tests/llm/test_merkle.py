@@ -59,7 +59,7 @@ def brute(rows, changed):
 
 
 def longer(row):
-    return {**row, "n_chars": None if row["n_chars"] is None else row["n_chars"] + (row["doc_id"] or 0) % 3}
+    return {**row, "n_chars": None if row["n_chars"] is None else row["n_chars"] + (row["doc_id"] or 0) % 2}
 
 
 def rows_of(n, langs):
@@ -76,11 +76,11 @@ def test_manifest_equals_a_tree_in_memory(spark, n, langs, every):
     rows = rows_of(n, langs)
     kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
     docs = spark.createDataFrame([(*[r[k] for k in ("doc_id", "text", "lang", "source", "n_chars")], *CLASH) for r in rows], kind).repartition(3)
-    more = F.col("n_chars") + F.coalesce(F.col("doc_id"), F.lit(0)) % 3
+    more = F.col("n_chars") + F.coalesce(F.col("doc_id"), F.lit(0)) % 2
     found = verified(docs, {"n_chars": more}, every=every).collect()
     texts = [(r["id"], *(bytes(r[c]).hex() for c in ("digest", "subroot", "root", "proof_digest", "folded")), r["verified"]) for r in found]
     assert sorted(texts, key=str) == brute(rows, longer)
-    assert {r["verified"] for r in found} == {True, False}
+    assert any(r["verified"] for r in found) and not all(r["verified"] for r in found)
 
 
 def test_proofs_fold_and_stand_alone(spark):
