@@ -14,6 +14,7 @@ from gridhazard.llm.jaccard import near_copies
 from gridhazard.llm.langid import identify
 from gridhazard.llm.licences import find_licences, licence_sql
 from gridhazard.llm.merkle import verified
+from gridhazard.llm.negatives import mine
 from gridhazard.llm.neighbours import nearest
 from gridhazard.llm.packing import pack
 from gridhazard.llm.quality import score_quality
@@ -109,3 +110,11 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     out = decode(encode(docs, path), path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("", sqltext.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every fiftieth id; the label of every seventh moves on by one."""
+    rows = table(prepare(spark), sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)

@@ -92,3 +92,16 @@ SELECT a.doc_id, a.h AS leaf, t.h AS subroot, root.h AS root, coalesce(told.x, s
 FROM placed a JOIN tops t ON t.b = a.b JOIN rise f ON f.r = a.r AND f.n = 1 LEFT JOIN told ON told.r = a.r CROSS JOIN root
 """
 MERKLE = re.sub(r"\bF\(([^()]*(?: CASE [^()]*)?)\)", r"coalesce(strlen((\1)::VARCHAR)::VARCHAR || ':' || (\1)::VARCHAR, '-')", MERKLE)
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY rank <= 3
+"""
