@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-KNOWN_PIECES = 1 << 19
+KNOWN_PIECES = 1 << 18
 
 
 def byte_letters():
@@ -38,6 +38,13 @@ def byte_letters():
     return {**{b: chr(b) for b in printable}, **{b: chr(256 + k) for k, b in enumerate(others)}}
 
 
+def token_names(path):
+    """Token of each id of a tokenizer file."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    return {i: token for token, i in [*told["model"]["vocab"].items(), *((t["content"], t["id"]) for t in told["added_tokens"])]}
+
+
 class Numbering(dict):
     """Numbers new keys in the order in which they come."""
 
@@ -226,7 +233,7 @@ class Encoder:
         return ids, np.diff(ends)
 
 
-def runs_of(column, limit=4 << 20):
+def runs_of(column, limit=1 << 20):
     """Texts of a column in runs of about ``limit`` bytes, so that temporaries stay small."""
     run, size = [], 0
     for value in column.cast(pa.binary()):
@@ -264,7 +271,7 @@ def decode(rows: DataFrame, path, ids_col="ids", text_col="text") -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches):
-        token = WordBPE(path).names
+        token = token_names(path)
         for batch in batches:
             texts = []
             for value in batch.column(ids_col):

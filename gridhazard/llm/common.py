@@ -22,3 +22,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def held_out(id_col="doc_id"):
     """Rows never learnt from: crc32 of the id as text leaves 2 modulo 4. A null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def draw(column):
+    """A number from 0 up to 1 out of 53 bits of a hash, even enough for rates of one in 1e12 rows."""
+    return F.shiftrightunsigned(column, 11).cast("double") * F.lit(2.0 ** -53)

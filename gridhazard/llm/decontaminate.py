@@ -8,7 +8,8 @@ is searched for the window's hash, and the words' bytes are compared directly.
 
 All documents of a chunk are searched in step, cut into segments of equal length, so one very long text does
 not leave the others waiting. The test strings are split into groups of at most ``group_bytes`` of item text;
-each group is one narrow pass over the documents, so what is broadcast at once is bounded.
+their tables are built in tasks and written, and each group is one narrow pass over the documents, so what the driver
+holds and what is broadcast at once is bounded.
 
 Nulls and empty texts have no words: nothing is hit. A null ``item_id`` hits words but is not listed among
 the items. Repeated rows are judged alike, one by one. An empty item table contaminates nothing. Extra
@@ -17,12 +18,16 @@ columns are not read by ``decontaminate``, and are kept as they are by ``drop_co
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridhazard.llm.bytescan import ASCII_LOWER, byte_class, mix64, span_hashes, text_chunks, word_spans, words_of_rows
+from gridhazard.session import cut_lineage
 
 WORD = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)], inside=False)
 WORD[0x41:0x5B] = True  # upper case is folded before words are taken
@@ -70,6 +75,12 @@ class Tables:
         order = np.argsort(full)
         self.full, self.which = full[order], order
 
+    @classmethod
+    def of(cls, state):
+        self = cls.__new__(cls)
+        self.__dict__.update(state)
+        return self
+
     def search(self, lowered, words, starts, ends, first):
         """(end word, test string) of every occurrence; ``first``: first word of each row."""
         m = self.m
@@ -171,32 +182,63 @@ def merged(old, new):
     return out
 
 
-def item_groups(items: DataFrame, item_id: str, text: str, group_bytes: int):
-    """Lists of (item id as text, text), each of at most about ``group_bytes`` of text."""
+def group_tables(items: DataFrame, item_id: str, text: str, group_bytes: int, n: int) -> DataFrame:
+    """(group, tables): pickled search tables of groups of at most about ``group_bytes`` of text, made in tasks and written once."""
     kept = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
-    group, size = [], 0
-    for row in kept.toLocalIterator():  # one partition of the item table at a time
-        need = len(row.text or "")
-        if group and size + need > group_bytes:
-            yield group
-            group, size = [], 0
-        group.append((row.item, row.text))
-        size += need
-    yield group
+
+    def build(batches):
+        group, size, made = [], 0, 0
+
+        def row():
+            at = TaskContext.get().partitionId() << 32 | made
+            return pa.RecordBatch.from_pydict({"group": pa.array([at], pa.int64()), "tables": pa.array([pickle.dumps([vars(t) for t in tables_of(group, n)])], pa.binary())})
+
+        for batch in batches:
+            for item, value in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                need = len((value or "").encode())
+                if group and size + need > group_bytes:
+                    yield row()
+                    group, size, made = [], 0, made + 1
+                group.append((item, value))
+                size += need
+        if group:
+            yield row()
+
+    return cut_lineage(kept.mapInArrow(build, "group long, tables binary"))
+
+
+def broadcasts(items: DataFrame, item_id, text, group_bytes, n):
+    """The groups' tables, shared with the tasks one after another; the driver holds one group at a time."""
+    tables = group_tables(items, item_id, text, group_bytes, n)
+    sc = items.sparkSession.sparkContext
+    for group in sorted(r["group"] for r in tables.select("group").collect()):
+        yield sc.broadcast(bytes(tables.filter(F.col("group") == group).first()["tables"]))
+
+
+class Loaded:
+    """Unpickles a group's tables once in a task."""
+
+    def __init__(self, shared):
+        self.shared, self.tables = shared, None
+
+    def __call__(self):
+        if self.tables is None:
+            self.tables = [Tables.of(state) for state in pickle.loads(self.shared.value)] if self.shared is not None else []
+        return self.tables
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n=10, id_col="doc_id", text_col="text", item_id="item_id",
                   item_text="text", group_bytes=8 << 20) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items (ids as sorted strings), hits (word ranges)."""
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    groups = list(item_groups(items, item_id, item_text, group_bytes))
-    sc = docs.sparkSession.sparkContext
+    groups = list(broadcasts(items, item_id, item_text, group_bytes, n)) or [None]
     for k, group in enumerate(groups):
-        shared, start, end = sc.broadcast(tables_of(group, n)), k == 0, k == len(groups) - 1
+        start, end = k == 0, k == len(groups) - 1
 
-        def search(batches, shared=shared, start=start, end=end):
+        def search(batches, group=group, start=start, end=end):
+            tables = Loaded(group)
             for batch in batches:
-                words, ranges, found = scan(batch.column("text"), shared.value)
+                words, ranges, found = scan(batch.column("text"), tables())
                 if not start:
                     ranges = [merged(a, b) for a, b in zip(batch.column("hits").to_pylist(), ranges)]
                     found = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), found)]
@@ -220,13 +262,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, n=10, id_col="doc_id", text
 def drop_contaminated(docs: DataFrame, items: DataFrame, n=10, text_col="text", item_id="item_id", item_text="text",
                       group_bytes=8 << 20) -> DataFrame:
     """The documents without any test string, all columns as they are."""
-    sc, df = docs.sparkSession.sparkContext, docs
-    for group in item_groups(items, item_id, item_text, group_bytes):
-        shared = sc.broadcast(tables_of(group, n))
+    df = docs
+    for group in broadcasts(items, item_id, item_text, group_bytes, n):
 
-        def clean(batches, shared=shared):
+        def clean(batches, group=group):
+            tables = Loaded(group)
             for batch in batches:
-                _, ranges, _ = scan(batch.column(batch.schema.get_field_index(text_col)), shared.value)
+                _, ranges, _ = scan(batch.column(batch.schema.get_field_index(text_col)), tables())
                 yield batch.filter(pa.array([not r for r in ranges], pa.bool_()))
 
         df = df.mapInArrow(clean, docs.schema)

@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Tasks count hashed n-grams of their learning rows by language; the counts are summed by Spark. What the driver
-gathers is at most ``DIMS`` counts for each of at most ``MAX_LANGUAGES`` languages, turned into a matrix of
+gathers at once is at most ``DIMS`` counts for each language of a block of ``LANGUAGES``, turned into a matrix of
 log probabilities and broadcast. Each text is scored whole, as the product of its sparse n-gram counts with
-that matrix.
+that matrix. More languages are more blocks: the texts are written with the best language so far and the sum of likelihoods
+relative to it, and the next block goes on from there, so there is no limit to their number.
 
 A text that is null or has no letter is ``und`` with score 0. Rows with a null language or text are not learnt
 from. Without anything to learn from, every text is ``und``. Ties go to the least language name. Repeated rows
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridhazard.llm.bytescan import byte_class, text_chunks
+from gridhazard.session import cut_lineage
 
 DIMS = 1 << 16
 ORDERS = (2, 3)
-MAX_LANGUAGES = 512
+LANGUAGES = 64
 LETTER = byte_class([(0x41, 0x5A), (0x61, 0x7A)])
 #: Code points below U+0250 in lower case, ASCII characters that are no letters as a space.
 FOLD = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(0x250)], np.uint32)
@@ -74,63 +76,88 @@ def count_grams(batches):
         })
 
 
-def fit(rows: DataFrame, alpha=0.5):
-    """(languages in order, DIMS x languages log probabilities) from rows of (text, lang)."""
-    kept = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n_langs = kept.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if n_langs > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: their matrix is not bounded")
-    counted = kept.mapInArrow(count_grams, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counted["lang"].unique())
+def fit(kept: DataFrame, langs, alpha=0.5):
+    """DIMS x languages log probabilities of the given languages from rows of (text, lang)."""
+    rows = kept.filter(F.col("lang").isin(langs))
+    counted = rows.mapInArrow(count_grams, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    place = F.array_position(F.array(*[F.lit(name) for name in langs]), F.col("lang")) - 1
+    counted = counted.select(place.cast("int").alias("place"), "slot", "n").toArrow()
     counts = np.zeros((DIMS, len(langs)))
-    place = {name: k for k, name in enumerate(langs)}
-    counts[counted["slot"].to_numpy(), counted["lang"].map(place).to_numpy(dtype=int)] = counted["n"].to_numpy()
-    return langs, np.log(counts + alpha) - np.log((counts + alpha).sum(axis=0, keepdims=True))
+    counts[np.asarray(counted["slot"]), np.asarray(counted["place"])] = np.asarray(counted["n"])
+    counts += alpha
+    return np.log(counts) - np.log(counts.sum(axis=0, keepdims=True))
 
 
-def score_texts(column, langs, table):
-    """Best language and its posterior probability of each text."""
-    names, scores = [], []
+def score_texts(column, table):
+    """Log-likelihood of each text under each language of a block."""
+    out = []
     for row, data, offs in text_chunks(column):
         points, at = code_points(data, offs)
-        n = len(at) - 1
-        total = np.zeros((n, len(langs)))
+        total = np.zeros((len(at) - 1, len(table)))
         for order in ORDERS:
             slots = gram_slots(points, order)
             stop = np.minimum(np.maximum(at[1:] - order + 1, at[:-1]), len(slots))
             start = np.minimum(at[:-1], len(slots))
-            for k in range(len(langs)):
+            for k in range(len(table)):
                 sums = np.concatenate([[0.0], np.cumsum(table[k][slots])])
                 total[:, k] += sums[stop] - sums[start]
+        out.append(total)
+    return np.concatenate(out) if out else np.zeros((0, len(table)))
+
+
+def has_letter(column):
+    """Whether each text has a letter."""
+    out = []
+    for row, data, offs in text_chunks(column):
         letters = np.concatenate([[0], np.cumsum(LETTER[data])])
         plain = letters[offs[1:]] > letters[offs[:-1]]
-        for i in range(n):
-            known = plain[i] or any(c.isalpha() for c in column[row + i].as_py() or "")
-            if not known or not langs:
-                names.append("und")
-                scores.append(0.0)
-                continue
-            best = int(np.argmax(total[i]))
-            names.append(langs[best])
-            scores.append(float(1.0 / np.exp(total[i] - total[i][best]).sum()))
-    return names, scores
-
-
-def identify(docs: DataFrame, learn, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """One row per document: id, learn (the condition), lang_pred, score. Learns from the rows where ``learn`` holds."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), learn.alias("learn"))
-    langs, logs = fit(rows.filter("learn").select("text", "lang"))
-    shared = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T)))
+        out += [p or any(c.isalpha() for c in column[row + i].as_py() or "") for i, p in enumerate(plain.tolist())]
+    return np.array(out, bool)
 
-    def score(batches):
-        langs, table = shared.value
-        for batch in batches:
-            names, scores = score_texts(batch.column("text"), langs, table)
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id"), "learn": batch.column("learn"),
-                "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()),
-            })
 
+def identify(docs: DataFrame, learn, id_col="doc_id", text_col="text", lang_col="lang", block=LANGUAGES) -> DataFrame:
+    """One row per document: id, learn (the condition), lang_pred, score. Learns from the rows where ``learn`` holds.
+
+    Languages are scored ``block`` at a time, each block in a pass over the texts that keeps the best so far and the sum
+    of all likelihoods relative to it.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), learn.alias("learn"))
+    kept = rows.filter("learn and lang is not null and text is not null").select("text", "lang")
+    langs = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.drop("lang").mapInArrow(score, f"id {kind}, learn boolean, lang_pred string, score double")
+    state = "best string, top double, rest double"
+    passes = [langs[k:k + block] for k in range(0, len(langs), block)]
+    scored = rows.select("id", "learn", "text", F.lit("und").alias("best"), F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("rest"))
+    for turn, names in enumerate(passes):
+        shared = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(fit(kept, names).T)))
+
+        def score(batches, shared=shared):
+            names, table = shared.value
+            for batch in batches:
+                total = score_texts(batch.column("text"), table)
+                at = total.argmax(axis=1)
+                top = total[np.arange(len(at)), at]
+                rest = np.exp(total - top[:, None]).sum(axis=1)
+                old_top, old_rest = np.asarray(batch.column("top")), np.asarray(batch.column("rest"))
+                best = np.where(top > old_top, np.array(names, object)[at], np.array(batch.column("best").to_pylist(), object))
+                most = np.maximum(top, old_top)
+                rest = rest * np.exp(top - most) + old_rest * np.exp(old_top - most)
+                columns = [batch.column(c) for c in ("id", "learn", "text")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(most, pa.float64()), pa.array(rest, pa.float64())],
+                                                 ["id", "learn", "text", "best", "top", "rest"])
+
+        scored = scored.mapInArrow(score, f"id {kind}, learn boolean, text string, {state}")
+        if turn < len(passes) - 1:
+            scored = cut_lineage(scored)
+
+    def tell(batches):
+        for batch in batches:
+            known, rest = has_letter(batch.column("text")), np.asarray(batch.column("rest"))
+            known &= rest > 0
+            names = np.where(known, np.array(batch.column("best").to_pylist(), object), "und")
+            scores = np.where(known, 1.0 / np.maximum(rest, 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("learn"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                                             ["id", "learn", "lang_pred", "score"])
+
+    out = scored.mapInArrow(tell, f"id {kind}, learn boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

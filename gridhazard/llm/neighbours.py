@@ -11,7 +11,8 @@ bucket in a join; each task keeps the best few of each query it has seen.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids. Vectors are
 compared with those of their own length only. A row is no candidate of a query of its own id; rows that are
-alike count once. Ties go to the smaller id. A query with fewer candidates has fewer rows. Empty tables give no rows.
+alike count once. Ties go to the smaller id. A query whose probed buckets hold fewer than k other vectors is compared with all
+vectors, block by block, so it has fewer rows only where there are fewer candidates. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -175,6 +176,23 @@ def nearest(vectors: DataFrame, is_query, k=5, tables=16, probes=6, axes=1, id_c
     index = packed(index.repartition(*keys, "salt").drop("salt"), "x")
     asked = packed(filed(rows.filter("asks").select("id", "vector"), tables, axes, probes, seed).repartition(*keys), "q")
     found = index.join(asked, keys).mapInArrow(lambda batches: rank_blocks(batches, k), "query_id long, vec_id long, score double")
+    ranked = cut_lineage(best_rows(cut_lineage(found), k))
+    enough = ranked.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    short = cut_lineage(rows.filter("asks").select("id", "vector").join(enough, "id", "left_anti"))
+    if short.isEmpty():
+        return ranked
+    # too few vectors in the probed buckets: these queries meet all vectors, block by block
+    shards = max(1, min(1024, total // (8 * BLOCK)))
+    every = filed(rows.select("id", "vector"), 1, axes, 1, seed).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    every = packed(every.repartition(*keys, "salt").drop("salt"), "x").withColumn("shard", F.pmod(F.xxhash64("bucket", "x_ids"), F.lit(shards)))
+    few = packed(filed(short, 1, axes, 1, seed).repartition(*keys), "q").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    whole = every.drop("tab", "bucket").join(few.drop("tab", "bucket"), ["dim", "shard"]).drop("shard")
+    whole = best_rows(cut_lineage(whole.mapInArrow(lambda batches: rank_blocks(batches, k), "query_id long, vec_id long, score double")), k)
+    return ranked.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(whole)
+
+
+def best_rows(found: DataFrame, k) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k best rows, alike ones once."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = cut_lineage(found).distinct().withColumn("rank", F.row_number().over(best))
+    ranked = found.distinct().withColumn("rank", F.row_number().over(best))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridhazard.llm.bytescan import ASCII_LOWER, byte_class, span_hashes, text_chunks, word_spans, words_of_rows
+from gridhazard.llm.common import draw
 from gridhazard.session import cut_lineage
 
 SPACE = [(0x09, 0x0D), (0x20, 0x20)]
@@ -130,17 +131,19 @@ def fit(rows: DataFrame, max_labelled, ridge=1.0, width=5.0, seed=17) -> Model:
     pick = F.xxhash64("id", "stats")
     kept = rows.withColumn("pick", pick)
     if n > max_labelled:
-        kept = kept.filter(F.pmod("pick", F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
+        kept = kept.filter(draw("pick") < max_labelled / n)
     kept = cut_lineage(kept.select("stats", F.col("label").cast("double").alias("label"), (F.pmod(F.col("pick").bitwiseXOR(F.lit(0x5BD1E995)), F.lit(4)) == 0).alias("aside")))
     spark = rows.sparkSession
 
     def moments(batches):
+        n, y, a, b = 0, 0.0, np.zeros(STATS), np.zeros(STATS)
         for batch in batches:
             s = stack(batch.column("stats"))
-            y = np.asarray(batch.column("label"))
-            yield pa.RecordBatch.from_pydict({"n": [len(s)], "y": [float(y.sum())], "a": [s.sum(axis=0).tolist()], "b": [(s ** 2).sum(axis=0).tolist()]})
+            n, y = n + len(s), y + float(np.asarray(batch.column("label")).sum())
+            a, b = a + s.sum(axis=0), b + (s ** 2).sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"n": [n], "y": [y], "a": [a.tolist()], "b": [b.tolist()]})
 
-    parts = kept.mapInArrow(moments, "n long, y double, a array<double>, b array<double>").toPandas()
+    parts = kept.coalesce(8).mapInArrow(moments, "n long, y double, a array<double>, b array<double>").toPandas()
     total = int(parts["n"].sum()) if len(parts) else 0
     positive = float(parts["y"].sum()) if len(parts) else 0.0
     if total == 0 or positive in (0.0, float(total)):

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridhazard.llm.bytescan import ASCII_LOWER, SpanHasher, byte_class, span_hashes, text_chunks, word_spans, words_of_rows
+from gridhazard.llm.common import draw
 from gridhazard.session import cut_lineage
 
 LETTERS = byte_class([(0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
@@ -191,15 +192,23 @@ def train(slot, value, at, votes, target, rounds=250, decay=(2e-5, 1e-5), rate=0
     kept = common[slot]
     row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))[kept]
     slot, value = place[slot[kept]], value[kept]
+    cuts = range(0, n, 500)  # rows taken at once: temporaries of doubles stay small
+    runs = [(lo, min(lo + 500, n), slice(*np.searchsorted(row, [lo, lo + 500]))) for lo in cuts]
     size = len(used) + votes.shape[1] + 1
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     w[-1] = np.log(share / (1 - share))
     penalty = np.concatenate([np.full(len(used), decay[0]), np.full(votes.shape[1], decay[1]), [0.0]])
     for t in range(1, rounds + 1):
-        linear = np.bincount(row, w[slot] * value, n) + flags @ w[len(used):-1] + w[-1]
+        linear = flags @ w[len(used):-1] + w[-1]
+        grad = np.zeros(size)
+        for lo, hi, own in runs:
+            linear[lo:hi] += np.bincount(row[own] - lo, w[slot[own]] * value[own], hi - lo)
         error = 1 / (1 + np.exp(-np.clip(linear, -40, 40))) - target
-        grad = np.concatenate([np.bincount(slot, error[row] * value, len(used)), error @ flags, [error.sum()]]) / n + penalty * w
+        for _, _, own in runs:
+            grad[:len(used)] += np.bincount(slot[own], error[row[own]] * value[own], len(used))
+        grad[len(used):] = [*(error @ flags), error.sum()]
+        grad = grad / n + penalty * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     out = np.zeros(DIMS + votes.shape[1] + 1)
@@ -239,9 +248,9 @@ def learn_weights(docs: DataFrame, labels: DataFrame, learn, id_col, text_col, l
     # a bounded sample with the same shares at every size; what known or marked rows do not fill goes to the other of the two
     kinds = {"known": gold >= 0, "marked": (gold < 0) & votes.any(axis=1), "other": (gold < 0) & ~votes.any(axis=1)}
     size = {kind_of: float(counted["n"][rows_of].sum()) for kind_of, rows_of in kinds.items()}
-    scale, rates = 1 << 20, {kind_of: int((1 << 20) * take / max(size[kind_of], 1.0)) for kind_of, take in sample_sizes(size, max_rows).items()}
-    rate = F.when(F.col("gold") >= 0, rates["known"]).when(F.col("pattern") != 0, rates["marked"]).otherwise(rates["other"])
-    chosen = voted.filter(F.pmod("pick", F.lit(scale)) < rate).groupBy("pick").agg(F.max("pattern").alias("pattern"), F.max("gold").alias("gold"))
+    rates = {kind_of: take / max(size[kind_of], 1.0) for kind_of, take in sample_sizes(size, max_rows).items()}
+    rate = F.when(F.col("gold") >= 0, F.lit(rates["known"])).when(F.col("pattern") != 0, rates["marked"]).otherwise(rates["other"])
+    chosen = voted.filter(draw("pick") < rate).groupBy("pick").agg(F.max("pattern").alias("pattern"), F.max("gold").alias("gold"))
 
     def features_of(batches):
         for batch in batches:

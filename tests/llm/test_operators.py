@@ -3,8 +3,10 @@
 import hashlib
 import inspect
 import itertools
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,8 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridhazard.llm import bytescan
-from gridhazard.llm.common import held_out, prepare
+from gridhazard.llm import bytescan, jaccard, langid
+from gridhazard.llm.common import draw, held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate, drop_contaminated
 from gridhazard.llm.jaccard import Bands, drop_near_copies, near_copies
 from gridhazard.llm.langid import identify
@@ -106,6 +108,54 @@ def test_random_edits_lose_no_link(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows, 3, 90, 100)))
 
 
+def edited(rng, base, edits):
+    own = list(base)
+    for at in rng.choice(len(own), edits, replace=False):
+        own[at] = f"y{rng.integers(0, 10 ** 9)}"
+    return " ".join(own)
+
+
+def test_chain_of_near_copies_and_all_blocks(spark):
+    """Each text links with its neighbours alone, so that no hub reaches the chain's ends; sets have more than JOINED blocks."""
+    rng = np.random.default_rng(3)
+    own, rows = words(rng, 700, 10 ** 6).split(), []
+    for k in range(30):
+        rows.append((k, " ".join(own), "en", "s"))
+        for at in range(k * 11, k * 11 + 11):
+            own[(at * 3) % 700] = f"z{k}-{at}"
+    for joined in (64, None):
+        got = near_copies(frame(spark, rows), 3, 90, 100, joined=joined).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows, 3, 90, 100)))
+
+
+def test_links_of_a_dense_group_grow_in_proportion(spark, monkeypatch):
+    """Copies of one text that is not there, three edits each: tests and links per document stay as they are when there are more."""
+    found = {}
+    for n in (100, 400):
+        rng = np.random.default_rng(5)
+        base = words(rng, 200, 10 ** 6).split()
+        rows = [(k, edited(rng, base, 3), "en", "s") for k in range(n)]
+        counted = []
+        test, link = jaccard.Join.test, jaccard.Join.link
+        monkeypatch.setattr(jaccard.Join, "test", lambda self, pairs: counted.append(pairs.count()) or test(self, pairs))
+        monkeypatch.setattr(jaccard.Join, "link", lambda self, links: (more := link(self, links), counted.append(more))[0])
+        got = near_copies(frame(spark, rows), 3, 90, 100).select("doc_id", "n_shingles", "component_id").collect()
+        monkeypatch.undo()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows, 3, 90, 100)))
+        found[n] = sum(counted) / n
+    assert found[400] < 1.5 * found[100] + 2
+
+
+def test_many_unlinked_members_of_a_key_are_compared_in_blocks(spark):
+    """More than BLOCK texts that share keys though few of them link, so that the blocks' own comparison has to find links."""
+    rng = np.random.default_rng(9)
+    base = words(rng, 120, 10 ** 6).split()
+    rows = [(k, edited(rng, base, 6 + k % 3), "en", "s") for k in range(150)]
+    rows += [(150 + k, edited(rng, rows[k * 10][1].split(), 1), "en", "s") for k in range(15)]
+    got = near_copies(frame(spark, rows), 3, 85, 100).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows, 3, 85, 100)))
+
+
 def test_drop_near_copies_keeps_one_of_each(spark, corpus):
     kept = drop_near_copies(frame(spark, corpus), 5, 80, 100)
     assert kept.columns == frame(spark, corpus).columns
@@ -346,6 +396,25 @@ def test_neighbours_reach_recall(spark):
     assert hits >= 0.9 * total
 
 
+def test_all_candidates_are_met_where_buckets_hold_few(spark):
+    """Eight vectors spread over 128 axes: a query's buckets hold one other vector or none."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(8, 64)))] + [(8, [1.0, 0.0]), (9, [0.0, 0.0]), (50, [float("nan")] * 64)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    x = np.array([v for i, v in rows[:8]])
+    cos = x[1:] @ x[0] / np.linalg.norm(x[1:], axis=1) / np.linalg.norm(x[0])
+    order = np.argsort(-cos)[:5]
+    assert [r.vec_id for r in got] == (order + 1).tolist() and [r.rank for r in got] == [1, 2, 3, 4, 5] and np.allclose([r.score for r in got], cos[order])
+
+
+def test_rates_of_bounded_samples_hold_at_any_size(spark):
+    at = spark.range(1_000_000).select(draw(F.xxhash64("id")).alias("at"))
+    got = at.agg(F.countDistinct("at").alias("n"), F.avg("at").alias("mean"), F.sum((F.col("at") < 1e-3).cast("int")).alias("few")).first()
+    assert got.n == 1_000_000 and abs(got.mean - 0.5) < 0.002 and 850 < got.few < 1150
+    size = {"known": 5e9, "marked": 1e10, "other": 1e11}
+    assert all(1e9 * take / size[kind] > 0.1 for kind, take in sample_sizes(size, 8_000).items())  # far above 2 ** -53
+
+
 def test_few_candidates_and_empty_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in nearest(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1)]
@@ -391,6 +460,34 @@ def accuracy(got, labels, column, limit):
     return np.mean(tested)
 
 
+@pytest.mark.parametrize("block", [64, 2, 1])
+def test_languages_equal_a_counter(spark, block):
+    """Naive Bayes from counters, with ties, repeated rows, a very long text and languages in blocks."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        letters = ["abcde", "bcdef", "vwxyz", "mnopq", "éèàçq"][k % 5]
+        rows.append((k, "".join(rng.choice(list(letters + " ")) for _ in range(80)), ["l1", "l2", "l3", "l4", "l2"][k % 5], "s"))
+    rows += rows[:7] + [(97, "abc " * 50_000, "l1", "s"), (98, None, "l9", "s"), (99, "", "l3", "s"), (100, "12 -", None, "s"), (101, "Xyz", None, "s")]
+    counts = {}
+    grams = lambda text: [int(s) for o in langid.ORDERS for s in langid.gram_slots(langid.code_points(
+        np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0], o)]
+    for i, text, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    want = []
+    for i, text, *_ in rows:
+        if text is None or not any(c.isalpha() for c in text):
+            want.append((i, "und", 0.0))
+            continue
+        seen = Counter(grams(text))
+        logs = {lang: sum(n * math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * langid.DIMS)) for g, n in seen.items()) for lang, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        want.append((i, best, round(1 / sum(math.exp(v - logs[best]) for v in logs.values()), 6)))
+    got = [(r.doc_id, r.lang_pred, round(r.score, 6)) for r in identify(frame(spark, rows), ~held_out(), block=block).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_quality_held_out_accuracy(spark):
     rows, labels = graded()
     extra = [(None, None, None, None), (500, None, None, None), (501, "", None, None), rows[0]]
