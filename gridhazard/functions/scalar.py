@@ -61,7 +61,7 @@ def _horner(x: Column, coeffs) -> Column:
     return out
 
 
-def _norm_cdf_parts(x: Column, a: Column, e: Column) -> Column:
+def norm_cdf_parts(x: Column, a: Column, e: Column) -> Column:
     core = e * _horner(a, PHI_NUM) / _horner(a, PHI_DEN)
     frac = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))
     tail = e / frac / F.lit(PHI_TAIL)
@@ -71,7 +71,7 @@ def _norm_cdf_parts(x: Column, a: Column, e: Column) -> Column:
 
 def norm_cdf(x: Column) -> Column:
     """Standard normal CDF of a plain column (see :func:`with_norm_cdf` for expressions)."""
-    return _norm_cdf_parts(x, F.abs(x), F.exp(-x * x / 2.0))
+    return norm_cdf_parts(x, F.abs(x), F.exp(-x * x / 2.0))
 
 
 def erf(x: Column) -> Column:
@@ -106,7 +106,7 @@ def with_norm_cdf(df: DataFrame, x: Column, out: str) -> DataFrame:
     return (
         df.withColumn("_x", x)
         .withColumns({"_a": F.abs("_x"), "_e": F.exp(-F.col("_x") * F.col("_x") / 2.0)})
-        .withColumn(out, _norm_cdf_parts(F.col("_x"), F.col("_a"), F.col("_e")))
+        .withColumn(out, norm_cdf_parts(F.col("_x"), F.col("_a"), F.col("_e")))
         .drop("_x", "_a", "_e")
     )
 

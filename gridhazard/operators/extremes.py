@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,9 @@ from gridhazard.functions.rng import uniform
 from gridhazard.operators.ordered import running_sum
 from gridhazard.session import cut_lineage
 
+#: Cut of a truncated fit in standard deviations, and halvings of that range.
+CUT_RANGE, HALVINGS = (-40.0, 30.0), 60
+
 
 def sampling_pool(maxima, entity, value, scale=1.0, min_points=5) -> DataFrame:
     """Usable values per entity, copies collapsed to (value, copies)."""
@@ -81,85 +82,67 @@ def fitted_closed(draws) -> DataFrame:
     )
 
 
-def truncated_fit(values: np.ndarray) -> tuple[float, float, float, int]:
-    """Maximum-likelihood (mu, sigma, xmin, points kept) of a lognormal cut off below xmin."""
-    return tuple(v[0] for v in truncated_fits([values]))
+def _let(value, then):
+    """``then`` of a value that is computed once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
-def truncated_fits(samples) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(mu, sigma, xmin, points kept) of many samples at once.
+def _tail(z):
+    """Upper tail of the standard normal."""
+    return _let(-z, lambda x: _let(F.abs(x), lambda a: S.norm_cdf_parts(x, a, F.exp(-a * a / 2.0))))
 
-    xmin is the larger of the minimum and the 1st percentile. The likelihood needs the
-    count, two moments of the logarithm and xmin alone; Newton steps on (mu, ln sigma)
-    with a numerical Hessian and step halving run over all samples together.
-    """
-    stats = np.full((len(samples), 5), np.nan)  # ln xmin, points, mean and mean square of the logarithm, its deviation
-    low = np.full(len(samples), np.nan)
-    for k, values in enumerate(samples):
-        x = np.abs(values[np.isfinite(values)])
-        x = x[x > 0]
-        if x.size >= 5:
-            low[k] = max(x.min(), np.percentile(x, 1.0))
-            y = np.log(x[x >= low[k]])
-            stats[k] = np.log(low[k]), y.size, y.mean(), (y**2).mean(), y.std()
-    count = np.nan_to_num(stats[:, 1]).astype(int)
-    rows = np.flatnonzero(count)
-    mu, sigma = np.full(len(samples), np.nan), np.full(len(samples), np.nan)
-    p = np.stack([stats[rows, 2], np.log(np.maximum(stats[rows, 4], 1e-6))])
-    live = np.arange(len(rows))
-    h = 1e-4
-    for _ in range(60):
-        if not len(live):
-            break
-        a, m, q = (stats[rows[live], c] for c in (0, 2, 3))
-        at = p[:, live]
-        loss = lambda i, j: _truncated_loss(at[0] + i, at[1] + j, a, m, q)  # noqa: B023
-        base = loss(0, 0)
-        g = np.stack([(loss(h, 0) - loss(-h, 0)) / (2 * h), (loss(0, h) - loss(0, -h)) / (2 * h)], axis=1)
-        hess = np.empty((len(live), 2, 2))
-        hess[:, 0, 0] = (loss(2 * h, 0) - 2 * base + loss(-2 * h, 0)) / (4 * h * h)
-        hess[:, 1, 1] = (loss(0, 2 * h) - 2 * base + loss(0, -2 * h)) / (4 * h * h)
-        hess[:, 0, 1] = hess[:, 1, 0] = (loss(h, h) - loss(h, -h) - loss(-h, h) + loss(-h, -h)) / (4 * h * h)
-        w, v = np.linalg.eigh(hess)
-        step = np.einsum("nij,nj->ni", v, np.einsum("nji,nj->ni", v, g) / np.maximum(np.abs(w), 1e-4))
-        step *= np.minimum(1.0, 1.0 / np.maximum(np.abs(step).max(axis=1), 1e-12))[:, None]
-        t = np.ones(len(live))
-        for _ in range(20):
-            worse = loss(-t * step[:, 0], -t * step[:, 1]) > base
-            if not worse.any():
-                break
-            t[worse] /= 2
-        p[:, live] = at - t * step.T
-        live = live[np.abs(t[:, None] * step).max(axis=1) >= 1e-9]
-    mu[rows], sigma[rows] = p[0], np.exp(p[1])
-    return mu, sigma, low, count
-
-
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
-
-def _truncated_loss(mu, ln_sigma, a, m, q):
-    s = np.exp(ln_sigma)
-    z = (a - mu) / s
-    tail = 0.5 * _erfc(z / np.sqrt(2.0)).astype(float)
-    log_tail = np.where(tail > 1e-300, np.log(np.maximum(tail, 1e-300)), -0.5 * z * z - np.log(np.maximum(z, 1.0) * 2.5066))
-    return (q - 2 * mu * m + mu * mu) / (2 * s * s) + ln_sigma + log_tail
 
+def _above(z):
+    """Mean above the cut, less the cut, of a standard normal cut off below z."""
+    return F.exp(-z * z / 2.0) / (math.sqrt(2.0 * math.pi) * _tail(z)) - z
 
-def fitted_truncated(draws) -> DataFrame:
-    """Truncated fit per attempt. An attempt is one row with a short array (n_years values)."""
-    packed = draws.groupBy("entity", "attempt").agg(
-        F.sort_array(F.collect_list("x")).alias("xs"), F.signum(F.avg("x")).alias("sgn")
-    )
 
-    @F.pandas_udf("mu double, sigma double, xmin double, n bigint")
-    def fit(xs: pd.Series) -> pd.DataFrame:
-        fits = truncated_fits([np.asarray(v, float) for v in xs])
-        return pd.DataFrame(dict(zip(("mu", "sigma", "xmin", "n"), fits)))
+def _excess_ratio(z):
+    """Mean square over squared mean of what a normal cut off below z has above z; rises from 1 to 2."""
+    return _let(_above(z), lambda above: (1.0 - z * above) / (above * above))
+
 
-    out = packed.select("entity", "attempt", "sgn", fit("xs").alias("f"))
-    ok = S.finite(F.col("f.mu")) & S.finite(F.col("f.sigma")) & (F.col("f.sigma") > 0)
-    return out.filter(ok).select("entity", "attempt", "f.mu", "f.sigma", "f.xmin", "f.n", "sgn")
+def _at_share(sorted_values, share):
+    """Linear percentile of a sorted array."""
+    at = share * (F.size(sorted_values) - 1)
+    low = F.floor(at).cast("int")
+    below, above = F.get(sorted_values, low), F.get(sorted_values, F.least(low + 1, F.size(sorted_values) - 1))
+    return below + (above - below) * (at - low)
+
+
+def fitted_truncated(draws) -> DataFrame:
+    """Maximum-likelihood lognormal cut off below xmin, per attempt: (mu, sigma, xmin, n, sgn).
+
+    xmin is the larger of the least value and the 1st percentile. The likelihood needs the count and two moments of the
+    logarithms above ln xmin alone. At its maximum mean and mean square equal the model's, so their ratio gives the cut in
+    standard deviations, by bisection, and this gives sigma and mu. A ratio of 2 or more has no maximum, nor has one value
+    repeated; such attempts, those of fewer than five values and those whose distribution function is not finite at eight
+    points up to the 99th percentile give no fit. An attempt is a short array of n_years values.
+    """
+    size = F.abs("x")
+    packed = draws.groupBy("entity", "attempt").agg(
+        F.array_sort(F.collect_list(F.when(S.finite(F.col("x")) & (size > 0), size))).alias("xs"), F.signum(F.avg("x")).alias("sgn"))
+    d = packed.filter(F.size("xs") >= 5).withColumns({"xmin": _at_share(F.col("xs"), 0.01), "top": _at_share(F.col("xs"), 0.99)})
+    d = d.withColumn("es", F.transform(F.filter("xs", lambda x: x >= F.col("xmin")), lambda x: F.ln(x) - F.ln("xmin"))).drop("xs")
+    total = lambda f: F.aggregate("es", F.lit(0.0), lambda acc, e: acc + f(e))
+    d = d.withColumn("n", F.size("es").cast("bigint")).withColumns({"m1": total(lambda e: e) / F.col("n"), "m2": total(lambda e: e * e) / F.col("n")})
+    d = d.filter("m1 > 0").withColumn("ratio", F.col("m2") / (F.col("m1") * F.col("m1"))).filter(F.col("ratio") < 2.0 - 1e-3)
+    d = cut_lineage(d.drop("es"))  # a row per attempt: what follows is long arithmetic on plain columns
+
+    def halve(span, _):
+        return _let((span["lo"] + span["hi"]) / 2.0, lambda mid: F.when(
+            _excess_ratio(mid) < F.col("ratio"), F.struct(mid.alias("lo"), span["hi"].alias("hi"))).otherwise(F.struct(span["lo"].alias("lo"), mid.alias("hi"))))
+
+    span = F.struct(F.lit(CUT_RANGE[0]).alias("lo"), F.lit(CUT_RANGE[1]).alias("hi"))
+    d = d.withColumn("span", F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), span, halve))
+    d = cut_lineage(d.withColumn("z", (F.col("span.lo") + F.col("span.hi")) / 2.0).drop("span"))  # the search runs once
+    d = d.withColumn("sigma", F.col("m1") / _above(F.col("z"))).withColumn("mu", F.ln("xmin") - F.col("z") * F.col("sigma"))
+    step = (F.col("top") - F.col("xmin")) / 7.0
+    at = lambda k: (F.ln(F.col("xmin") + k * step) - F.col("mu")) / F.col("sigma")
+    cdf = lambda k: 1.0 - F.try_divide(_tail(at(k)), _tail(F.col("z")))
+    sound = F.forall(F.sequence(F.lit(0), F.lit(7)), lambda k: _let(cdf(k.cast("double")), S.finite))
+    ok = S.finite(F.col("mu")) & S.finite(F.col("sigma")) & (F.col("sigma") > 0)
+    return d.filter(ok).filter(sound).select("entity", "attempt", "mu", "sigma", "xmin", "n", "sgn")
 
 
 def return_levels(fits, periods, n_years=39) -> DataFrame:

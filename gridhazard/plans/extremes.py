@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridhazard.operators import extremes as P
@@ -56,12 +58,13 @@ fit AS (SELECT entity, attempt, avg(ln(abs(x))) AS mu, stddev_pop(ln(abs(x))) AS
   CAST(count(*) AS DOUBLE) AS n, sign(avg(x)) AS sgn FROM draws GROUP BY 1, 2)"""
 
 _A = f"least(greatest(q * y - y + 1e0, -1e0 + 1e-12), 1e0 - 1e-12)"
-LEVEL_SQL = f"""{FIT_SQL},
+LEVELS_OF = f"""
 per AS (SELECT fit.*, p.period, least(greatest({YEARS}e0 / (p.period * n), 1e-12), 1e0 - 1e-12) AS y,
    (ln(greatest(xmin, 1e-12)) - mu) / sigma AS z FROM fit, (VALUES {', '.join(f'({p})' for p in PERIODS)}) p(period)),
 qq AS (SELECT *, least(greatest(2e0 * {X.norm_cdf('z')} - 1e0, -1e0 + 1e-12), 1e0 - 1e-12) AS q FROM per),
 aa AS (SELECT *, ({_A} + 1e0) / 2e0 AS pp FROM qq),
 levels AS (SELECT entity, attempt, period, sgn * exp(mu + sigma * {X.probit('pp')}) AS value FROM aa)"""
+LEVEL_SQL = f"{FIT_SQL},{LEVELS_OF}"
 
 
 def levels(spark, sf):
@@ -127,9 +130,38 @@ def event_maxima(spark, sf):
     return E.in_windows(ev, hits).groupBy("name", "site").agg(F.max("value").alias("max_b"))
 
 
-@query("SX03")
+_MID = "((s.lo + s.hi) / 2e0)"
+
+
+def _mills_sql(z):
+    return f"(exp(-({z}) * ({z}) / 2e0) / ({X.num(math.sqrt(2 * math.pi))} * {X.norm_cdf(f'(-({z}))')}))"
+
+
+def _ratio_sql(z):
+    above = f"({_mills_sql(z)} - {z})"
+    return f"((1e0 - {z} * {above}) / ({above} * {above}))"
+
+
+TRUNCATED_SQL = f"""{DRAW_SQL},
+cut AS (SELECT entity, attempt, sign(avg(x)) AS sgn, quantile_cont(abs(x), 0.01) AS xmin, quantile_cont(abs(x), 0.99) AS top FROM draws GROUP BY 1, 2 HAVING count(*) >= 5),
+moments AS (SELECT entity, attempt, sgn, xmin, top, CAST(count(*) AS DOUBLE) AS n, avg(ln(abs(x)) - ln(xmin)) AS m1, avg(pow(ln(abs(x)) - ln(xmin), 2)) AS m2
+  FROM draws JOIN cut USING (entity, attempt) WHERE abs(x) >= xmin GROUP BY ALL),
+ratios AS (SELECT *, m2 / (m1 * m1) AS ratio FROM moments WHERE m1 > 0),
+spans AS (SELECT *, list_reduce(list_prepend({{'lo': {P.CUT_RANGE[0]}e0, 'hi': {P.CUT_RANGE[1]}e0}}, list_transform(range({P.HALVINGS}), lambda k: {{'lo': 0e0, 'hi': 0e0}})),
+  lambda s, k: CASE WHEN {_ratio_sql(_MID)} < ratio THEN {{'lo': {_MID}, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': {_MID}}} END) AS s FROM ratios WHERE ratio < 2e0 - 1e-3),
+cuts AS (SELECT *, {_MID} AS z FROM spans),
+scaled AS (SELECT *, m1 / ({_mills_sql('z')} - z) AS sigma FROM cuts),
+located AS (SELECT *, ln(xmin) - z * sigma AS mu FROM scaled),
+fit AS (SELECT entity, attempt, mu, sigma, xmin, n, sgn FROM located WHERE isfinite(mu) AND isfinite(sigma) AND sigma > 0
+  AND len(list_filter(range(8), lambda k: NOT coalesce(isfinite(1e0 - {X.norm_cdf('(-((ln(xmin + k * (top - xmin) / 7e0) - mu) / sigma))')} / nullif({X.norm_cdf('(-z)')}, 0e0)), false))) = 0),
+{LEVELS_OF},
+turn AS (SELECT *, dense_rank() OVER (PARTITION BY entity ORDER BY attempt) - 1 AS sample FROM levels),
+ci AS (SELECT entity, period, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM turn WHERE sample < {SAMPLES} GROUP BY 1, 2)"""
+
+
+@query("SX03", f"WITH {TRUNCATED_SQL} SELECT entity, CAST(period AS BIGINT) AS period, round(p05, 4) AS p05, round(p50, 4) AS p50, round(p95, 4) AS p95 FROM ci")
 def truncated_levels(spark, sf):
-    """Return levels from the truncated maximum-likelihood fit (iterative, no SQL)."""
+    """Return levels from the truncated maximum-likelihood fit."""
     fits = P.fitted_truncated(draws(spark, sf))
     ci = P.level_intervals(P.first_valid(P.return_levels(fits, PERIODS, YEARS), SAMPLES))
-    return ci.select("entity", "period", *[F.round(c, 4).alias(c) for c in ("p05", "p50", "p95")])
+    return ci.select("entity", F.col("period").cast("bigint").alias("period"), *[F.round(c, 4).alias(c) for c in ("p05", "p50", "p95")])

@@ -118,21 +118,42 @@ def test_bootstrap_draws_follow_the_sorted_pool(spark):
     assert all(r.x == s[int(us[(r.attempt, r.k)] * len(s))] for r in got)
 
 
-def test_truncated_fit_beats_its_neighbourhood():
+def test_truncated_fit_beats_its_neighbourhood(spark):
     from math import erfc, log, sqrt
 
-    x = np.random.default_rng(4).lognormal(1.0, 0.6, 400)
-    mu, sigma, xmin, n = X.truncated_fit(x)
-    y = np.log(x[x >= xmin])
-
-    def loss(m, s):
-        return ((y - m) ** 2).mean() / (2 * s * s) + log(s) + log(0.5 * erfc((log(xmin) - m) / (s * sqrt(2))))
-
-    best = loss(mu, sigma)
-    assert n == len(y) and sigma > 0
-    for dm in (-0.02, 0.02):
-        for ds in (-0.02, 0.02):
-            assert loss(mu + dm, sigma + ds) > best
+    rng = np.random.default_rng(4)
+    samples = {"a": rng.lognormal(1.0, 0.6, 400), "b": -rng.lognormal(-3.0, 1.5, 60), "c": rng.uniform(5, 9, 39)}
+    rows = [(e, 0, float(v)) for e, x in samples.items() for v in x]
+    rows += [("few", 0, 1.0 + k) for k in range(4)] + [("flat", 0, 2.0)] * 9 + [("heavy", 0, float(10.0 ** k)) for k in range(12)]
+    rows += [("odd", 0, v) for v in (float("nan"), float("inf"), 0.0)]
+    fits = {r.entity: r for r in X.fitted_truncated(spark.createDataFrame(rows, "entity string, attempt int, x double")).collect()}
+    assert set(samples) <= set(fits) and not {"few", "flat", "odd"} & set(fits)
+    for e, x in samples.items():
+        mu, sigma, xmin, n = fits[e].mu, fits[e].sigma, fits[e].xmin, fits[e].n
+        assert xmin == pytest.approx(max(abs(x).min(), np.percentile(abs(x), 1.0))) and fits[e].sgn == np.sign(x.mean())
+        y = np.log(abs(x)[abs(x) >= xmin])
+
+        def loss(m, s):
+            return ((y - m) ** 2).mean() / (2 * s * s) + log(s) + log(0.5 * erfc((log(xmin) - m) / (s * sqrt(2))))
+
+        best = loss(mu, sigma)
+        assert n == len(y) and sigma > 0
+        for dm in (-0.02, 0.02):
+            for ds in (-0.02, 0.02):
+                assert loss(mu + dm * sigma, sigma * (1 + ds)) > best
+
+
+def test_truncated_fit_stays_native(spark):
+    plan = X.fitted_truncated(spark.createDataFrame([("a", 0, 1.0)], "entity string, attempt int, x double"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_points_and_centres_without_a_place_take_no_part(spark):
+    inf, nan = float("inf"), float("nan")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, inf, 0.0), (3, nan, 0.0), (4, None, 1.0), (5, 1e9, -inf)], "id long, x double, y double")
+    centres = spark.createDataFrame([(7, 3.0, 4.0), (8, nan, nan), (9, inf, 0.0), (10, None, 0.0)], "cid long, x double, y double")
+    assert [tuple(r) for r in G.nearest_centres(points, centres, "id", "cid", 0.5).collect()] == [(1, 7, 5.0)]
+    assert G.nearest_centres(points, centres.filter("cid > 7"), "id", "cid", 0.5).collect() == []
 
 
 @pytest.mark.parametrize("cell", [0.001, 0.05, 3.0])
