@@ -45,6 +45,8 @@ YOU = "you your youre du dein deine tu tú eres vous sie"
 NAMES = (*LEXICON, "several", "dense", "addressed")
 ASSUMED = (0.3, 0.01)  # share of toxic and of other texts a voter is taken to mark before anything is learnt
 DIMS = 1 << 18
+#: Bytes of text that are hashed at once.
+CHUNK = 1 << 20
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word that make a feature of their own
 #: Shares of the sample: rows with a known label, rows without one that some voter marks, other rows.
 SHARES = {"known": 0.5, "marked": 0.4, "other": 0.1}
@@ -86,7 +88,7 @@ def votes_of(words, first, table):
 
 def parsed(column):
     """For each chunk of texts: (word hashes, first word of each row, feature slots and the word of each)."""
-    for _, data, offs in text_chunks(column):
+    for _, data, offs in text_chunks(column, CHUNK):
         starts, ends = word_spans(data, offs, LETTERS)
         hashed = SpanHasher(data, ASCII_LOWER)
         words = hashed(starts, ends)
