@@ -125,8 +125,8 @@ def fitted_truncated(draws) -> DataFrame:
     d = packed.filter(F.size("xs") >= 5).withColumns({"xmin": _at_share(F.col("xs"), 0.01), "top": _at_share(F.col("xs"), 0.99)})
     d = d.withColumn("es", F.transform(F.filter("xs", lambda x: x >= F.col("xmin")), lambda x: F.ln(x) - F.ln("xmin"))).drop("xs")
     total = lambda f: F.aggregate("es", F.lit(0.0), lambda acc, e: acc + f(e))
-    d = d.withColumn("n", F.size("es").cast("bigint")).withColumns({"m1": total(lambda e: e) / F.col("n"), "m2": total(lambda e: e * e) / F.col("n")})
-    d = d.filter("m1 > 0").withColumn("ratio", F.col("m2") / (F.col("m1") * F.col("m1"))).filter(F.col("ratio") < 2.0 - 1e-3)
+    d = d.withColumn("n", F.size("es").cast("bigint")).withColumns({"m1": F.try_divide(total(lambda e: e), "n"), "m2": F.try_divide(total(lambda e: e * e), "n")})
+    d = d.filter("m1 > 0").withColumn("ratio", F.try_divide(F.col("m2"), F.col("m1") * F.col("m1"))).filter(F.col("ratio") < 2.0 - 1e-3)
     d = cut_lineage(d.drop("es"))  # a row per attempt: what follows is long arithmetic on plain columns
 
     def halve(span, _):
