@@ -7,22 +7,22 @@ from pyspark.sql import DataFrame
 from gridhazard.session import scratch_path
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process all available input; state and result live in the shared folder.
+def drain(stream: DataFrame, name: str, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Process all available input; state and result live in ``folder`` (a fresh one in the shared folder by default).
 
-    Each micro-batch replaces (``complete``) or adds to (``append``) the result, so
-    a restarted query continues from its checkpoint.
+    A query that is started again with the same folder continues from its checkpoint. ``complete``: each micro-batch
+    replaces the result. ``append``: each batch is a folder of its own, named by its id, so a repeated batch replaces itself.
     """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
-    save = "overwrite" if mode == "complete" else "append"
+    folder = folder or scratch_path(spark, name)
+    out = f"{folder}/result"
 
-    def write(batch: DataFrame, _id: int) -> None:
-        batch.write.mode(save).parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     q = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)

@@ -131,8 +131,44 @@ def test_streams_equal_batch(spark, tmp_path):
     got = {r.sub: (r.n, round(r.mean, 9), round(r.std, 9)) for r in drain(running_moment_stream(st, ["sub"], "x"), "m").collect()}
     want = d.groupBy("sub").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     assert got == {r.sub: (r.n, round(r.mean, 9), round(r.std, 9)) for r in want.collect()}
-    ts = spark.createDataFrame([("a", h) for h in (0, 6, 13, 19)], "k string, h int").select("k", F.timestamp_seconds(F.col("h") * 3600).alias("ts"))
-    ts.repartition(4).write.parquet(str(tmp_path / "t"))
-    st = spark.readStream.schema(ts.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
-    out = drain(storm_session_stream(st, "k", "ts", 6), "s").collect()
-    assert sorted(r.n for r in out) == [2, 2]  # exactly six hours apart still joins
+
+
+def hours(spark, rows, folder):
+    """Adds a file of (key, hour) rows to a folder and gives the stream of the folder."""
+    d = spark.createDataFrame(rows, "k string, h double").select("k", F.timestamp_seconds(F.col("h") * 3600).alias("ts"))
+    d.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def ended(out):
+    return sorted((r.k, r.first_ts.timestamp() / 3600, r.last_ts.timestamp() / 3600, r.n) for r in out.collect())
+
+
+def test_sessions_close_by_the_watermark_and_go_on_after_a_restart(spark, tmp_path):
+    files, work = str(tmp_path / "t"), str(tmp_path / "w")
+    run = lambda st: ended(drain(storm_session_stream(st, "k", "ts", 6), "s", mode="append", folder=work))
+    first = run(hours(spark, [("a", 0.0), ("a", 6.0), ("a", 13.0), ("a", 13.0), (None, 1.0), ("b", 100.0)], files))
+    assert first == [("a", 0.0, 6.0, 2), ("a", 13.0, 13.0, 2)]  # exactly six hours apart still joins; b may still grow
+    # a new query on the same folder: hour 9.5 would join a's sessions but is behind the watermark, hour 94 is on time and out of order
+    again = run(hours(spark, [("a", 9.5), ("b", 106.0), ("b", 94.0), ("c", 300.0)], files))
+    assert again == first + [("b", 94.0, 106.0, 3)]
+    st = hours(spark, [("c", 305.0), ("d", 305.0), ("d", 311.1)], files)
+    assert run(st) == again and run(st) == again  # nothing new is ended, and a run without input repeats nothing
+    left = spark.read.format("statestore").option("stateVarName", "open").load(f"{work}/state")
+    assert {r.key[0] for r in left.select("key").collect()} == {"c", "d"}  # ended sessions are forgotten
+    assert run(hours(spark, [("e", 1000.0)], files)) == again + [("c", 300.0, 305.0, 2), ("d", 305.0, 305.0, 1), ("d", 311.1, 311.1, 1)]
+
+
+def test_repeated_batches_replace_themselves(spark, tmp_path):
+    from pyspark.sql.streaming import DataStreamWriter
+
+    writes = []
+    each = DataStreamWriter.foreachBatch
+    try:
+        DataStreamWriter.foreachBatch = lambda self, f: each(
+            self, lambda batch, number: (kept := batch.persist(), f(kept, number), f(kept, number), kept.unpersist(), writes.append(number)) and None)
+        st = hours(spark, [("a", 0.0), ("b", 100.0)], str(tmp_path / "t"))
+        assert ended(drain(storm_session_stream(st, "k", "ts", 6), "s", mode="append", folder=str(tmp_path / "w"))) == [("a", 0.0, 0.0, 1)]
+    finally:
+        DataStreamWriter.foreachBatch = each
+    assert writes
