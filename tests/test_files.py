@@ -167,8 +167,8 @@ def test_repeated_batches_replace_themselves(spark, tmp_path):
     try:
         DataStreamWriter.foreachBatch = lambda self, f: each(
             self, lambda batch, number: (kept := batch.persist(), f(kept, number), f(kept, number), kept.unpersist(), writes.append(number)) and None)
-        st = hours(spark, [("a", 0.0), ("b", 100.0)], str(tmp_path / "t"))
-        assert ended(drain(storm_session_stream(st, "k", "ts", 6), "s", mode="append", folder=str(tmp_path / "w"))) == [("a", 0.0, 0.0, 1)]
+        st = hours(spark, [("a", 1.0), ("b", 100.0)], str(tmp_path / "t"))
+        assert ended(drain(storm_session_stream(st, "k", "ts", 6), "s", mode="append", folder=str(tmp_path / "w"))) == [("a", 1.0, 1.0, 1)]
     finally:
         DataStreamWriter.foreachBatch = each
     assert writes
