@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridhazard.functions.rng import uniform, uniform_between
 from gridhazard.functions.scalar import with_norm_cdf
 from gridhazard.functions.fixed_values import GROUND_SCENARIO
+from gridhazard.session import cut_lineage, drop_scratch
 
 THETA0, AGEING = 75.0, 0.4
 SEED = 11
@@ -37,13 +38,13 @@ def ground_units(wide, coords, columns=None) -> DataFrame:
     return long.join(coords, "sub_id", "left")
 
 
-def with_draws(units, n_draws, alpha_beta=False, seed=SEED) -> DataFrame:
-    """Every unit once per draw, with fragility, ageing and penalty parameters.
+def with_draws(units, n_draws, alpha_beta=False, seed=SEED, first=0) -> DataFrame:
+    """Every unit once per draw (numbers from ``first``), with fragility, ageing and penalty parameters.
 
     Parameters shared by all units of a draw are a function of the draw key
     alone, so no join is needed to share them.
     """
-    d = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    d = units.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + n_draws - 1))))
     shared, own = ("realization", "scenario", "draw"), ("realization", "scenario", "draw", "sub_id")
     old = uniform_between(33.0, 50.0, F.col("_ua"))
     young = uniform_between(1.0, 32.0, F.col("_ua"))
@@ -85,31 +86,42 @@ def draw_totals(failures, metrics) -> DataFrame:
     )
 
 
-def stopping_point(totals, metric, batch, minimum, give_up, tolerance, cap) -> DataFrame:
-    """Number of draws after which sampling may stop, per (realization, scenario).
+def settled(run, metric, minimum, give_up, tolerance):
+    """Whether sampling may stop after the draws of ``run`` (n, sum and sum of squares of the metric)."""
+    n, mean = F.col("n"), F.col(metric) / F.col("n")
+    var = F.try_divide(F.greatest(F.lit(0.0), F.col("squares") - n * mean * mean), n - 1)
+    half = 1.96 * F.sqrt(var) / F.sqrt(n)
+    return (n >= minimum) & F.when(mean != 0, F.try_divide(half, mean) < tolerance).otherwise(n > give_up)
 
-    Batches are summed first; the running window sees one row per batch.
+
+def stopped_means(units, metrics, metric, batch=2_000, minimum=5_000, give_up=10_000, tolerance=0.1, cap=20_000, alpha_beta=False, seed=SEED) -> DataFrame:
+    """(realization, scenario, n_stop, metrics): mean affected amounts over as many draws as the stopping rule asks for.
+
+    Draws are made batch by batch for the (realization, scenario) pairs that are still open, so none past a pair's stop is
+    ever made. A pair stops with ``minimum`` draws or more once the half width of its 95 percent interval is below
+    ``tolerance`` of the mean, with more than ``give_up`` if nothing was affected yet, and at ``cap``. What is carried from round
+    to round, and written, is one row of sums per pair; a lost executor repeats one batch.
     """
     key = ["realization", "scenario"]
-    per_batch = totals.groupBy(*key, F.floor(F.col("draw") / batch).alias("b")).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(metric).alias("s"), F.sum(F.col(metric) * F.col(metric)).alias("s2")
-    )
-    w = Window.partitionBy(*key).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    run = per_batch.select(
-        *key, F.sum("c").over(w).alias("n"), F.sum("s").over(w).alias("s"), F.sum("s2").over(w).alias("s2")
-    ).withColumn("mean", F.col("s") / F.col("n"))
-    var = F.greatest(F.lit(0.0), (F.col("s2") - F.col("n") * F.col("mean") * F.col("mean"))) / (F.col("n") - 1)
-    half = 1.96 * F.sqrt(var) / F.sqrt(F.col("n"))
-    stop = (F.col("n") >= minimum) & F.when(
-        F.col("mean") != 0, F.try_divide(half, F.col("mean")) < tolerance
-    ).otherwise(F.col("n") > give_up)
-    return run.groupBy(*key).agg(F.coalesce(F.min(F.when(stop, F.col("n"))), F.lit(cap)).alias("n_stop"))
-
-
-def scenario_means(totals, stops, metrics) -> DataFrame:
-    """Mean of each metric over the draws up to the stopping point."""
-    kept = totals.join(stops, ["realization", "scenario"]).filter(F.col("draw") < F.col("n_stop"))
-    return kept.groupBy("realization", "scenario").agg(*[F.avg(m).alias(m) for m in metrics])
+    rows = cut_lineage(units)
+    run = cut_lineage(rows.select(*key).distinct().select(*key, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("squares"), *[F.lit(0.0).alias(m) for m in metrics]))
+    done = None
+    for first in range(0, cap, batch):
+        count = min(batch, cap - first)
+        drawn = with_draws(rows.join(run.select(*key), key, "left_semi"), count, alpha_beta, seed, first)
+        totals = draw_totals(with_failures(with_failure_chance(drawn), seed), metrics)
+        more = totals.groupBy(*key).agg(
+            F.count("*").alias("n"), F.sum(F.col(metric) * F.col(metric)).alias("squares"), *[F.sum(m).alias(m) for m in metrics])
+        sums = run.unionByName(more).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", "squares", *metrics)])
+        stop = settled(sums, metric, minimum, give_up, tolerance) if first + count < cap else F.lit(True)
+        sums = cut_lineage(sums.withColumn("stop", F.coalesce(stop, F.lit(False))))
+        drop_scratch(run)
+        ended = sums.filter("stop").drop("stop")
+        done = ended if done is None else done.union(ended)
+        run = cut_lineage(sums.filter("not stop").drop("stop"))
+        if run.isEmpty():
+            break
+    return done.select(*key, F.col("n").alias("n_stop"), *[(F.col(m) / F.col("n")).alias(m) for m in metrics])
 
 
 def failure_probability(failures) -> DataFrame:

@@ -261,9 +261,13 @@ ch AS (SELECT *, {X.norm_cdf('z')} AS pf FROM zz),
 fl AS (SELECT *, CASE WHEN {X.uniform(14, *_OWN)} < pf THEN 1 ELSE 0 END AS fails FROM ch)"""
 
 
+def units(spark, sf):
+    found = L.unit_maxima(currents(spark, sf)).select("realization", "scenario", "sub_id", "gic")
+    return found.join(economics(spark, sf), "sub_id")
+
+
 def chances(spark, sf):
-    units = L.unit_maxima(currents(spark, sf)).select("realization", "scenario", "sub_id", "gic")
-    return L.with_failure_chance(L.with_draws(units.join(economics(spark, sf), "sub_id"), DRAWS))
+    return L.with_failure_chance(L.with_draws(units(spark, sf), DRAWS))
 
 
 @query("R03 R04 R05 SF03", f"WITH {DRAW} SELECT realization, scenario, sub_id, round(avg(pf), 6) AS pf, round(avg(age), 6) AS age FROM ch GROUP BY 1, 2, 3")
@@ -299,12 +303,11 @@ st AS (SELECT realization, scenario, CAST(coalesce(min(CASE WHEN n >= 16 AND (CA
         WHERE draw < n_stop GROUP BY 1, 2, 3""",
 )
 def mc_stopping(spark, sf):
-    t = totals(spark, sf).select("realization", "scenario", "draw", "pop")
-    stops = L.stopping_point(t, "pop", 8, 16, 32, 0.1, DRAWS)
-    means = L.scenario_means(t, stops, ["pop"]).join(stops, ["realization", "scenario"])
+    means = L.stopped_means(units(spark, sf), ["pop"], "pop", batch=8, minimum=16, give_up=32, cap=DRAWS)
     return means.select("realization", "scenario", F.col("n_stop").cast("bigint").alias("n_stop"), F.round("pop", 3).alias("pop"))
 
 
+
 FP = f"{DRAW},\nfp AS (SELECT realization, scenario, sub_id, avg(fails) AS failure_prob FROM fl GROUP BY 1, 2, 3)"
 
 

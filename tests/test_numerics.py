@@ -187,11 +187,33 @@ def test_referencing_along_a_line(spark):
     assert got["a"] == (pytest.approx(0.01), pytest.approx(1.0)) and got["b"] == (pytest.approx(0.02), pytest.approx(5.0)) and "c" not in got
 
 
-def test_stopping_point(spark):
-    rows = [(0, "s", d, 10.0) for d in range(40)] + [(1, "s", d, 0.0) for d in range(40)]
-    t = spark.createDataFrame(rows, "realization int, scenario string, draw int, pop double")
-    got = {r.realization: r.n_stop for r in L.stopping_point(t, "pop", 8, 16, 20, 0.1, 40).collect()}
-    assert got == {0: 16, 1: 24}
+def test_stopping_rule_in_batches_equals_the_rule_over_all_draws(spark, monkeypatch):
+    rows = [(1, "s", u, 500.0, 10.0 + u) for u in range(3)] + [(2, "s", u, 0.0, 5.0) for u in range(2)] + [(3, "s", 0, 60.0, 7.0), (3, "t", 0, 20.0, 7.0), (4, "s", 0, 1.0, 0.0)]
+    units = spark.createDataFrame(rows, "realization int, scenario string, sub_id int, gic double, pop double")
+    made = []
+    drawn = L.with_draws
+    monkeypatch.setattr(L, "with_draws", lambda d, n, *a: (out := drawn(d, n, *a), made.append(out.select("realization", "scenario", "draw").distinct().count()))[0])
+    rule = {"batch": 50, "minimum": 100, "give_up": 220, "tolerance": 0.1, "cap": 380}
+    got = {(r.realization, r.scenario): (r.n_stop, round(r.pop, 9)) for r in L.stopped_means(units, ["pop"], "pop", **rule).collect()}
+    monkeypatch.undo()
+    totals = L.draw_totals(L.with_failures(L.with_failure_chance(L.with_draws(units, 380))), ["pop"]).toPandas().sort_values("draw")
+    want = {}
+    for key, d in totals.groupby(["realization", "scenario"]):
+        x = d["pop"].to_numpy()
+        for n in (*range(50, 380, 50), 380):
+            m = x[:n].mean()
+            if n >= 100 and ((1.96 * x[:n].std(ddof=1) / np.sqrt(n) / m < 0.1) if m else n > 220):
+                break
+        want[key] = (n, round(x[:n].mean(), 9))
+    assert got == want and len({n for n, _ in got.values()}) >= 3
+    assert sum(made) == sum(n for n, _ in got.values())  # no draw past a stop
+
+
+def test_stopping_rule_defaults():
+    import inspect
+
+    told = inspect.signature(L.stopped_means).parameters
+    assert [told[k].default for k in ("batch", "minimum", "give_up", "tolerance", "cap")] == [2000, 5000, 10000, 0.1, 20000]
 
 
 def test_inverse_equals_dense(spark):
