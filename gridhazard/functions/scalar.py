@@ -196,3 +196,8 @@ def east_north_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column):
     east = 6371.0 * F.cos(F.radians(lat1)) * (F.radians(lon2) - F.radians(lon1))
     north = 6371.0 * (F.radians(lat2) - F.radians(lat1))
     return east, north
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), then), 0)

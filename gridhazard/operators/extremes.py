@@ -82,14 +82,9 @@ def fitted_closed(draws) -> DataFrame:
     )
 
 
-def _let(value, then):
-    """``then`` of a value that is computed once, however often the expression names it."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def _tail(z):
     """Upper tail of the standard normal."""
-    return _let(-z, lambda x: _let(F.abs(x), lambda a: S.norm_cdf_parts(x, a, F.exp(-a * a / 2.0))))
+    return S.let(-z, lambda x: S.let(F.abs(x), lambda a: S.norm_cdf_parts(x, a, F.exp(-a * a / 2.0))))
 
 
 def _above(z):
@@ -99,7 +94,7 @@ def _above(z):
 
 def _excess_ratio(z):
     """Mean square over squared mean of what a normal cut off below z has above z; rises from 1 to 2."""
-    return _let(_above(z), lambda above: (1.0 - z * above) / (above * above))
+    return S.let(_above(z), lambda above: (1.0 - z * above) / (above * above))
 
 
 def _at_share(sorted_values, share):
@@ -130,7 +125,7 @@ def fitted_truncated(draws) -> DataFrame:
     d = cut_lineage(d.drop("es"))  # a row per attempt: what follows is long arithmetic on plain columns
 
     def halve(span, _):
-        return _let((span["lo"] + span["hi"]) / 2.0, lambda mid: F.when(
+        return S.let((span["lo"] + span["hi"]) / 2.0, lambda mid: F.when(
             _excess_ratio(mid) < F.col("ratio"), F.struct(mid.alias("lo"), span["hi"].alias("hi"))).otherwise(F.struct(span["lo"].alias("lo"), mid.alias("hi"))))
 
     span = F.struct(F.lit(CUT_RANGE[0]).alias("lo"), F.lit(CUT_RANGE[1]).alias("hi"))
@@ -140,7 +135,7 @@ def fitted_truncated(draws) -> DataFrame:
     step = (F.col("top") - F.col("xmin")) / 7.0
     at = lambda k: (F.ln(F.col("xmin") + k * step) - F.col("mu")) / F.col("sigma")
     cdf = lambda k: 1.0 - F.try_divide(_tail(at(k)), _tail(F.col("z")))
-    sound = F.forall(F.sequence(F.lit(0), F.lit(7)), lambda k: _let(cdf(k.cast("double")), S.finite))
+    sound = F.forall(F.sequence(F.lit(0), F.lit(7)), lambda k: S.let(cdf(k.cast("double")), S.finite))
     ok = S.finite(F.col("mu")) & S.finite(F.col("sigma")) & (F.col("sigma") > 0)
     return d.filter(ok).filter(sound).select("entity", "attempt", "mu", "sigma", "xmin", "n", "sgn")
 

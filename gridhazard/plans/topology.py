@@ -63,6 +63,31 @@ def point_in_polygon(spark, sf):
     return G.points_in_rings(points(spark, sf).select("vec_id", "x", "y"), diamonds(spark, sf), 0.1).select("vec_id", "region")
 
 
+def short_lines(spark, sf):
+    """A line of four vertices around each point."""
+    e = table(spark, sf, "embeddings")
+    at = lambda k: F.col("embedding")[k].cast("double")
+    vertex = lambda k: F.struct((at(0) + 0.3 * at(2 * k)).alias("x"), (at(1) + 0.3 * at(2 * k + 1)).alias("y"))
+    return e.select(F.col("vec_id").alias("line"), F.array(*[vertex(k) for k in range(1, 5)]).alias("vertices"))
+
+
+@query(
+    "G03",
+    f"""WITH {PTS},
+        v AS (SELECT vec_id AS line, k, embedding[1]::DOUBLE + 0.3e0 * embedding[2 * k + 1]::DOUBLE AS x, embedding[2]::DOUBLE + 0.3e0 * embedding[2 * k + 2]::DOUBLE AS y
+              FROM embeddings, range(1, 5) r(k)),
+        sg AS (SELECT a.line, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.line = b.line AND b.k = a.k + 1),
+        ed AS (SELECT region, unnest([{{'a': mx - sx, 'b': my, 'c': mx, 'd': my + sy}}, {{'a': mx, 'b': my + sy, 'c': mx + sx, 'd': my}},
+                 {{'a': mx + sx, 'b': my, 'c': mx, 'd': my - sy}}, {{'a': mx, 'b': my - sy, 'c': mx - sx, 'd': my}}]) AS e FROM dm),
+        o AS (SELECT line, region, (x2 - x1) * (e.b - y1) - (y2 - y1) * (e.a - x1) AS o1, (x2 - x1) * (e.d - y1) - (y2 - y1) * (e.c - x1) AS o2,
+                (e.c - e.a) * (y1 - e.b) - (e.d - e.b) * (x1 - e.a) AS o3, (e.c - e.a) * (y2 - e.b) - (e.d - e.b) * (x2 - e.a) AS o4 FROM sg, ed)
+        SELECT DISTINCT line, region FROM o WHERE sign(o1) * sign(o2) <= 0 AND sign(o3) * sign(o4) <= 0
+        UNION SELECT line, region FROM v JOIN dm ON k = 1 AND abs(x - mx) / sx + abs(y - my) / sy < 1""",
+)
+def lines_in_regions(spark, sf):
+    return G.lines_meeting_rings(short_lines(spark, sf), diamonds(spark, sf), "line", "region", 0.1)
+
+
 @query(
     "E05",
     f"""WITH {PTS} SELECT vec_id, arg_min(region, {{'a': 2 * sx * sy, 'r': region}}) AS region FROM p JOIN dm ON abs(x - mx) / sx + abs(y - my) / sy < 1 GROUP BY 1""",
@@ -146,6 +171,34 @@ def line_pairs(spark, sf):
     return T.consecutive(d, "line", ["_s"], ["pos", "sub"], "sub").select("line", "a", "b")
 
 
+PIECES = f"""{NEAR},
+pp AS (SELECT * FROM (SELECT line, sub AS a, pos AS pos_a, lead(sub) OVER w AS b, lead(pos) OVER w AS pos_b FROM nr WINDOW w AS (PARTITION BY line ORDER BY pos, sub)) WHERE b IS NOT NULL),
+al AS (SELECT line, seg, x1 + (p - bef) / len * (x2 - x1) AS x, y1 + (p - bef) / len * (y2 - y1) AS y, p FROM bf JOIN (SELECT DISTINCT line, unnest([pos_a, pos_b]) AS p FROM pp) USING (line)
+  WHERE p >= bef AND p <= bef + len QUALIFY row_number() OVER (PARTITION BY line, p ORDER BY seg) = 1),
+pv AS (SELECT line, a, b, pos_a AS place, x, y FROM pp JOIN al USING (line) WHERE p = pos_a UNION ALL SELECT line, a, b, pos_b, x, y FROM pp JOIN al USING (line) WHERE p = pos_b
+  UNION ALL SELECT line, a, b, bef, x1, y1 FROM pp JOIN bf USING (line) WHERE bef > pos_a + 1e-9 AND bef < pos_b - 1e-9),
+ln AS (SELECT line, a, b, place, x, y, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM pv WINDOW w AS (PARTITION BY line, a, b ORDER BY place))"""
+
+
+@query(
+    "G12",
+    f"""WITH {PIECES} SELECT line, a, b, CASE WHEN count(*) OVER (PARTITION BY line) > 1 THEN line || '_' || a || '_' || b ELSE CAST(line AS VARCHAR) END AS line_id,
+          vertices, length, x_sum, y_sum FROM (SELECT line, a, b, count(*) AS vertices, round(coalesce(sum(d), 0), 6) AS length, round(sum(x), 5) AS x_sum, round(sum(y), 5) AS y_sum FROM ln GROUP BY 1, 2, 3)""",
+)
+def line_geometry(spark, sf):
+    """Pieces of lines between neighbouring substations: their vertices, in number, length and sums."""
+    d = near(spark, sf).withColumn("_s", F.floor("pos"))
+    stops = d.withColumn("node", F.struct("sub", "pos"))
+    pairs = T.consecutive(stops, "line", ["_s"], ["pos", "sub"], "node").select(
+        "line", F.col("a.sub").alias("a"), F.col("b.sub").alias("b"), F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"))
+    pieces = G.line_pieces(polylines(spark, sf), T.segment_ids(pairs, "line"), "line")
+    straight = lambda x1, y1, x2, y2: F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+    total = lambda k: F.round(F.aggregate("vertices", F.lit(0.0), lambda n, v: n + v[k]), 5)
+    return pieces.select(
+        "line", "a", "b", "line_id", F.size("vertices").cast("bigint").alias("vertices"), F.round(G.length_of(F.col("vertices"), straight), 6).alias("length"),
+        total("x").alias("x_sum"), total("y").alias("y_sum"))
+
+
 @query(
     "G11 G12",
     f"""WITH {PAIRS} SELECT line, a, b, CASE WHEN count(*) OVER (PARTITION BY line) > 1 THEN line || '_' || a || '_' || b ELSE CAST(line AS VARCHAR) END AS line_id FROM ps""",

@@ -250,3 +250,44 @@ def test_inverse_distance_keeps_every_point(spark):
     sites = spark.createDataFrame([(0.05, 0.0, 3.0), (0.0, 0.05, 5.0), (-3.0, 0.0, 9.0)], "sx double, sy double, v double")
     got = {r.id: (r.value, r.n) for r in G.inverse_distance(pts, sites, "id", "v", 0.1).collect()}
     assert got == {1: (pytest.approx(4.0), 2), 2: (3.0, 0)}
+
+
+def polyline(points):
+    return [{"x": float(x), "y": float(y)} for x, y in points]
+
+
+VERTICES = "vertices array<struct<x:double,y:double>>"
+
+
+def test_lines_meet_regions_without_a_vertex_inside(spark):
+    square = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    rings = spark.createDataFrame([("r", polyline(square)), ("far", polyline([(x + 50, y) for x, y in square]))], "region string, ring array<struct<x:double,y:double>>")
+    lines = {
+        "crosses": [(-9, 1), (9, 2)], "inside": [(1, 1), (2, 2), (1, 3)], "around": [(-1, -1), (-1, 5), (5, 5), (5, -1)], "touches": [(-3, 4), (9, 4)],
+        "corner": [(-1, 1), (1, -1)], "at a corner": [(4, 4), (9, 9)], "out": [(5, 0), (9, 9)], "along": [(1, 0), (3, 0)], "misses": [(-1, 6), (6, -1)], "point": [(1, 1)], "both": [(-5, 2), (60, 2)]}
+    d = spark.createDataFrame([(k, polyline(v)) for k, v in lines.items()] + [("empty", [])], f"line string, {VERTICES}")
+    for cell in (0.7, 3.0, 500.0):
+        got = {(r.line, r.region) for r in G.lines_meeting_rings(d, rings, "line", "region", cell).collect()}
+        want = {"crosses", "inside", "touches", "at a corner", "along", "point", "both", "misses"}
+        assert got == {(k, "r") for k in want | {"corner"}} | {("both", "far")}
+
+
+def test_pieces_of_a_line_sum_to_its_length(spark):
+    rng = np.random.default_rng(5)
+    walk = np.cumsum(rng.normal(size=(300, 2)), axis=0)
+    steps = np.hypot(*np.diff(walk, axis=0).T)
+    at = np.append(0, np.cumsum(steps))
+    cuts = np.sort(np.concatenate([[0, at[-1], at[100]], rng.uniform(0, at[-1], 20)]))
+    pairs = spark.createDataFrame([(1, k, float(a), float(b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], "line int, piece int, pos_b double, pos_a double")
+    line = spark.createDataFrame([(1, polyline(walk))], f"line int, {VERTICES}")
+    total = 0.0
+    for r in G.line_pieces(line, pairs, "line").collect():
+        x = np.array([(v["x"], v["y"]) for v in r.vertices])
+        low, high = sorted((r.pos_a, r.pos_b))
+        assert np.hypot(*np.diff(x, axis=0).T).sum() == pytest.approx(high - low)
+        for end, p in ((x[0], low), (x[-1], high)):
+            assert end == pytest.approx([np.interp(p, at, walk[:, 0]), np.interp(p, at, walk[:, 1])])
+        total += high - low
+    assert total == pytest.approx(at[-1])
+    seg = G.line_segments(line, "line").orderBy("seg").toPandas()
+    assert seg["before"].to_numpy() == pytest.approx(at[:-1]) and seg["len"].to_numpy() == pytest.approx(steps)
