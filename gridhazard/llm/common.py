@@ -9,13 +9,15 @@ from gridhazard.session import configure
 
 #: Rows and bytes of an Arrow batch sent to Python; texts are long, so batches are kept well below the defaults.
 BATCH_ROWS, BATCH_BYTES = "2000", "16m"
+#: For operators whose tasks hold what they make of a whole batch.
+SMALL_BATCH_BYTES = "4m"
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, batch_bytes=BATCH_BYTES) -> SparkSession:
     """The library's settings and smaller Arrow batches. Functions for tasks travel with the jobs."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
     return spark
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridhazard.llm import sqltext
 from gridhazard.llm.bpe import decode, encode
-from gridhazard.llm.common import held_out, prepare
+from gridhazard.llm.common import SMALL_BATCH_BYTES, held_out, prepare
 from gridhazard.llm.decontaminate import decontaminate
 from gridhazard.llm.jaccard import near_copies
 from gridhazard.llm.langid import identify
@@ -64,7 +64,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("", sqltext.NEAR_COPIES)
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document, links at 90 percent of three-word shingles."""
-    return near_copies(table(prepare(spark), sf_dir, "documents"), size=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+    return near_copies(table(prepare(spark, SMALL_BATCH_BYTES), sf_dir, "documents"), size=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 @query("", sqltext.SECRETS)
