@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridhazard.llm.common import held_out, prepare
+from gridhazard.llm.common import SMALL_BATCH_BYTES, held_out, prepare
 from gridhazard.llm.decontaminate import drop_contaminated
 from gridhazard.llm.jaccard import drop_near_copies
 from gridhazard.llm.packing import pack
@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 80 percent of five-word shingles join."""
-    prepare(spark)
+    prepare(spark, SMALL_BATCH_BYTES)
     return drop_near_copies(docs)
 
 
