@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-KNOWN_PIECES = 1 << 18
+KNOWN_PIECES = 1 << 19
 
 
 def byte_letters():
@@ -233,7 +233,7 @@ class Encoder:
         return ids, np.diff(ends)
 
 
-def runs_of(column, limit=1 << 20):
+def runs_of(column, limit=2 << 20):
     """Texts of a column in runs of about ``limit`` bytes, so that temporaries stay small."""
     run, size = [], 0
     for value in column.cast(pa.binary()):
