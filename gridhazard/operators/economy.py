@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,6 +201,78 @@ def impact_table(shocks, inverse, keys) -> DataFrame:
     return d.withColumn("multiplier_effect", F.col("total_impact") - F.col("direct_shock"))
 
 
+def demand_outputs(coefficients, demand, keys, tol=1e-12, steps=6, max_rounds=200) -> DataFrame:
+    """Output per (keys, sector) that a change in final demand ``(keys, sector, shock)`` calls for: x = Ax + f.
+
+    No inverse is formed. All shocks go through x <- Ax + f together, ``steps`` products a
+    round; a shock leaves once the largest term of its last product is at most ``tol`` of its
+    largest output, so late rounds carry only the slow ones. A series that has not settled
+    after ``max_rounds`` rounds raises, as for coefficients without a convergent series.
+    """
+    keys = list(keys)
+    entries = coefficients.filter(F.col("a") != 0).select(F.col("col").alias("sector"), F.col("row").alias("_to"), F.col("a").alias("_a"), F.lit(0.0).alias("_same"))
+    # A sector's own output so far travels through the same join as one more entry.
+    same = coefficients.select(F.col("row").alias("sector")).union(coefficients.select("col")).distinct().select(
+        "sector", F.col("sector").alias("_to"), F.lit(0.0).alias("_a"), F.lit(1.0).alias("_same")
+    )
+    a = cut_lineage(entries.unionByName(same).groupBy("sector", "_to").agg(F.sum("_a").alias("_a"), F.max("_same").alias("_same")))
+    f = demand.groupBy(*keys, "sector").agg(F.sum("shock").alias("x"))
+    # x: output so far; d: the newest term A^n f, which the next product starts from.
+    state = cut_lineage(f.select(*keys, "sector", "x", F.col("x").alias("d"), F.lit(True).alias("_open")))
+    done = []
+    for _ in range(max_rounds):
+        step = state.filter("_open").drop("_open")
+        for _ in range(steps):
+            moved = step.join(a, "sector", "left").select(
+                *keys, F.coalesce("_to", "sector").alias("sector"), (F.coalesce("_same", F.lit(1.0)) * F.col("x")).alias("x"),
+                (F.coalesce("_a", F.lit(0.0)) * F.col("d")).alias("d"),
+            )
+            step = moved.groupBy(*keys, "sector").agg(F.sum("x").alias("x"), F.sum("d").alias("d")).withColumn("x", F.col("x") + F.col("d"))
+        step = cut_lineage(step)
+        size = step.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(F.abs("d")).alias("_d"), F.max(F.abs("x")).alias("_x"))
+        same_shock = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        state = step.join(size, same_shock).select(*keys, "sector", "x", "d", (F.col("_d") > tol * F.col("_x")).alias("_open"))
+        done.append(state.filter(~F.col("_open")).select(*keys, "sector", "x"))
+        if state.filter("_open").isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    raise RuntimeError(f"output from final demand did not settle in {max_rounds} rounds")
+
+
+def use_accounts(use, groups, value_added, final_demand, output_row) -> DataFrame:
+    """Sector accounts of a long Use table ``(code, column_code, value)`` and their margins, in one aggregation.
+
+    Rows ``(account, row, col, value)``: ``flow`` sector by sector, ``value_added`` code by
+    sector, ``final_demand`` sector by code, ``output`` of the column's sector. Each is
+    followed by its totals: a null ``row`` sums a column over all rows, a null ``col`` a row
+    over all columns. Cells of any other code or column take no part, and no more does a
+    missing code; a missing value adds nothing.
+    """
+    code, column = F.col("code"), F.col("column_code")
+    r, c = lookup(code, groups), lookup(column, groups)
+    account = (
+        F.when(r.isNotNull() & c.isNotNull(), "flow")
+        .when(code.isin(*value_added) & c.isNotNull(), "value_added")
+        .when(r.isNotNull() & column.isin(*final_demand), "final_demand")
+        .when((code == output_row) & c.isNotNull(), "output")
+    )
+    d = use.select(account.alias("account"), F.coalesce(r, code).alias("row"), F.coalesce(c, column).alias("col"), "value")
+    a, i, j = F.col("account"), F.col("row"), F.col("col")
+    sums = d.filter(a.isNotNull()).groupingSets([[a, i, j], [a, j], [a, i]], a, i, j).agg(F.sum("value").alias("value"))
+    return sums.select("account", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def account_cells(accounts, account) -> DataFrame:
+    """Cells of one account, without its totals."""
+    return accounts.filter((F.col("account") == account) & F.col("row").isNotNull() & F.col("col").isNotNull()).drop("account")
+
+
+def account_totals(accounts, account, by="col") -> DataFrame:
+    """Totals of one account per sector of its columns (``by="col"``) or rows (``by="row"``)."""
+    other = "row" if by == "col" else "col"
+    d = accounts.filter((F.col("account") == account) & F.col(by).isNotNull() & F.col(other).isNull())
+    return d.select(F.col(by).alias("sector"), "value")
+
+
 def plain_scenario(s):
     """'e_100-year-hazard A/ph' -> '100-year'."""
     return F.replace(F.replace(s, F.lit("e_"), F.lit("")), F.lit("-hazard A/ph"), F.lit(""))

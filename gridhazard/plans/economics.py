@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridhazard.functions.fixed_values import NAICS_SECTOR, SECTORS, USE_TABLE_SECTOR
+from gridhazard.functions.fixed_values import (
+    NAICS_SECTOR, SECTORS, USE_FINAL_DEMAND_COLUMNS, USE_OUTPUT_ROW, USE_TABLE_SECTOR, USE_VALUE_ADDED_ROWS,
+)
 from gridhazard.operators import economy as E
 from gridhazard.operators import reporting as V
 from gridhazard.plans import sqltext as X
@@ -264,6 +266,68 @@ def tech_matrix(spark, sf):
     return a.select("row", "col", "a")
 
 
+# The whole Use table: sector codes, value added and the output row down, sector codes and
+# final demand across; T001 and T019 are totals of the source that take no part.
+USE_ROWS = USE_CODES + USE_VALUE_ADDED_ROWS + (USE_OUTPUT_ROW, "T001")
+USE_COLUMNS = USE_CODES + USE_FINAL_DEMAND_COLUMNS + ("T019",)
+
+
+def full_use_table(spark, sf):
+    from gridhazard.sources.econ_files import clean_use_values
+
+    li = table(spark, sf, "lineitem")
+    # An industry's output is several times any of its inputs.
+    amount = F.col("l_extendedprice") * F.when(F.col("l_partkey") % len(USE_ROWS) == USE_ROWS.index(USE_OUTPUT_ROW), 64).otherwise(1)
+    value = F.when(F.col("l_quantity") < 3, "---").otherwise(amount.cast("string"))
+    return clean_use_values(li.select(
+        F.concat(F.lit(" "), pick(USE_ROWS, F.col("l_partkey") % len(USE_ROWS))).alias("code"),
+        pick(USE_COLUMNS, F.col("l_suppkey") % len(USE_COLUMNS)).alias("column_code"), value.alias("value"),
+    ))
+
+
+def accounts(spark, sf):
+    return E.use_accounts(full_use_table(spark, sf), USE_TABLE_SECTOR, USE_VALUE_ADDED_ROWS, USE_FINAL_DEMAND_COLUMNS, USE_OUTPUT_ROW)
+
+
+USE = f"""
+us AS (SELECT {LST(USE_ROWS)}[l_partkey % {len(USE_ROWS)} + 1] AS code, {LST(USE_COLUMNS)}[l_suppkey % {len(USE_COLUMNS)} + 1] AS cc, l_extendedprice AS p, l_quantity AS q FROM lineitem),
+uk AS (SELECT code, cc, {_G('code')} AS gr, {_G('cc')} AS gc, CASE WHEN q < 3 THEN 0 WHEN code = '{USE_OUTPUT_ROW}' THEN p * 64 ELSE p END AS v FROM us),
+ua AS (SELECT 'flow' AS account, gr AS row, gc AS col, v FROM uk WHERE gr IS NOT NULL AND gc IS NOT NULL
+  UNION ALL SELECT 'value_added', code, gc, v FROM uk WHERE list_contains({LST(USE_VALUE_ADDED_ROWS)}, code) AND gc IS NOT NULL
+  UNION ALL SELECT 'final_demand', gr, cc, v FROM uk WHERE gr IS NOT NULL AND list_contains({LST(USE_FINAL_DEMAND_COLUMNS)}, cc)
+  UNION ALL SELECT 'output', code, gc, v FROM uk WHERE code = '{USE_OUTPUT_ROW}' AND gc IS NOT NULL)"""
+
+
+@query(
+    "I01",
+    f"""WITH {USE} SELECT account, row, col, round(sum(v), 2) AS value FROM ua GROUP BY account, row, col
+        UNION ALL SELECT account, NULL, col, round(sum(v), 2) FROM ua GROUP BY account, col
+        UNION ALL SELECT account, row, NULL, round(sum(v), 2) FROM ua GROUP BY account, row""",
+)
+def use_margins(spark, sf):
+    """Transactions, value added, final demand and output by sector, with totals both ways."""
+    return accounts(spark, sf).select("account", "row", "col", F.round("value", 2).alias("value"))
+
+
+def production(spark, sf):
+    """Requirements, output, value added and final demand of the whole Use table."""
+    from gridhazard.session import cut_lineage
+
+    acc = cut_lineage(accounts(spark, sf))
+    output = E.account_totals(acc, "output").withColumnRenamed("value", "x")
+    return E.requirements(E.account_cells(acc, "flow").withColumnRenamed("value", "u"), output), output, acc
+
+
+@query(
+    "I01",
+    f"""WITH {USE}, fw AS (SELECT row, col, sum(v) AS u FROM ua WHERE account = 'flow' GROUP BY 1, 2), go AS (SELECT col, sum(v) AS x FROM ua WHERE account = 'output' GROUP BY 1)
+        SELECT row, col, round_even(u / x, 6) AS a FROM fw JOIN go USING (col)""",
+)
+def direct_requirements(spark, sf):
+    a, _, _ = production(spark, sf)
+    return a.select("row", "col", "a")
+
+
 def _inverse_sql(src, name, doublings=7):
     out = [f"{name}p0 AS (SELECT r, c, a FROM {src})",
            f"{name}s0 AS (SELECT r, c, sum(a) AS a FROM (SELECT DISTINCT r, r AS c, 1e0 AS a FROM {src} UNION ALL SELECT r, c, a FROM {src}) GROUP BY 1, 2)"]
@@ -284,6 +348,19 @@ def output_multipliers(spark, sf):
     return E.sector_inverse(a).groupBy(F.col("col").alias("sector")).agg(F.round(F.sum("a"), 6).alias("multiplier"))
 
 
+DEMAND = f"""fd AS (SELECT l_orderkey % 97 AS case_id, l_returnflag AS scenario, {LST(SECTORS)}[l_partkey % 10 + 1] AS sector, sum(l_extendedprice) / 1e5 AS shock FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+@query("I04", f"WITH {LEO}, {DEMAND} SELECT case_id, scenario, r AS sector, round(sum(a * shock), 6) AS output FROM leo JOIN fd ON c = sector GROUP BY 1, 2, 3")
+def demand_shock_output(spark, sf):
+    """Output that changes in final demand call for, per case and scenario."""
+    a, _ = technology(spark, sf)
+    fd = table(spark, sf, "lineitem").groupBy(
+        (F.col("l_orderkey") % 97).alias("case_id"), F.col("l_returnflag").alias("scenario"), pick(SECTORS, F.col("l_partkey") % 10).alias("sector")
+    ).agg((F.sum("l_extendedprice") / 1e5).alias("shock"))
+    return E.demand_outputs(a, fd, ["case_id", "scenario"]).select("case_id", "scenario", "sector", F.round("x", 6).alias("output"))
+
+
 def ghosh(spark, sf):
     a, x = technology(spark, sf)
     return E.sector_inverse(E.allocation_coefficients(a, x)), x

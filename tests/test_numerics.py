@@ -291,3 +291,51 @@ def test_pieces_of_a_line_sum_to_its_length(spark):
     assert total == pytest.approx(at[-1])
     seg = G.line_segments(line, "line").orderBy("seg").toPandas()
     assert seg["before"].to_numpy() == pytest.approx(at[:-1]) and seg["len"].to_numpy() == pytest.approx(steps)
+
+
+def test_output_from_final_demand_equals_the_inverse(spark):
+    import numpy as np
+
+    from gridhazard.operators import economy as E
+
+    m = np.array([[0.1, 0.2, 0.0], [0.1, 0.2, 0.1], [0.2, 0.1, 0.05]])
+    a = spark.createDataFrame([(f"s{i}", f"s{j}", float(m[i, j])) for i in range(3) for j in range(3)], "row string, col string, a double")
+    f = {("p", 1): [5.0, 0.0, 0.0], ("p", 2): [0.0, -3.0, 7.0], ("q", 1): [1e9, 1.0, 2.0], ("q", 2): [0.0, 0.0, 0.0]}
+    rows = [(k[0], k[1], f"s{i}", v[i]) for k, v in f.items() for i in range(3)] + [("z", 1, "outside", 4.0), ("z", 1, "outside", 2.0), (None, 1, "s0", 0.0)]
+    got = {(r.run, r.n, r.sector): r.x for r in E.demand_outputs(a, spark.createDataFrame(rows, "run string, n int, sector string, shock double"), ["run", "n"]).collect()}
+    inverse = np.linalg.inv(np.eye(3) - m)
+    for k, v in f.items():
+        want = inverse @ np.array(v)
+        assert [got[(*k, f"s{i}")] for i in range(3)] == pytest.approx(list(want), rel=1e-9, abs=1e-9)
+    assert (None, 1, "s0") in got
+    assert got[("z", 1, "outside")] == 6.0  # a sector without coefficients calls for nothing else
+
+
+def test_output_from_final_demand_raises_without_a_convergent_series(spark):
+    from gridhazard.operators import economy as E
+
+    a = spark.createDataFrame([("s", "s", 1.5)], "row string, col string, a double")
+    f = spark.createDataFrame([(1, "s", 1.0)], "k int, sector string, shock double")
+    with pytest.raises(RuntimeError, match="settle"):
+        E.demand_outputs(a, f, ["k"], max_rounds=2)
+    assert E.demand_outputs(a, f.filter("k > 1"), ["k"]).count() == 0
+
+
+def test_use_accounts_take_known_cells_and_total_them(spark):
+    from gridhazard.operators import economy as E
+
+    use = spark.createDataFrame(
+        [("11", "21", 5.0), ("22", "21", 7.0), ("23", "21", None), ("V001", "21", 2.0), ("11", "F010", 4.0), ("11", "T019", 99.0), ("T001", "21", 99.0),
+         ("T018", "21", 50.0), ("T018", "F010", 99.0), (None, "21", 99.0), ("11", None, 99.0)],
+        "code string, column_code string, value double",
+    )
+    groups = {"11": "AGR", "21": "MINING", "22": "UTIL_CONST", "23": "UTIL_CONST"}
+    d = E.use_accounts(use, groups, ("V001",), ("F010",), "T018")
+    got = {(r.account, r.row, r.col): r.value for r in d.collect()}
+    assert got == {
+        ("flow", "AGR", "MINING"): 5.0, ("flow", "UTIL_CONST", "MINING"): 7.0, ("flow", None, "MINING"): 12.0, ("flow", "AGR", None): 5.0, ("flow", "UTIL_CONST", None): 7.0,
+        ("value_added", "V001", "MINING"): 2.0, ("value_added", None, "MINING"): 2.0, ("value_added", "V001", None): 2.0,
+        ("final_demand", "AGR", "F010"): 4.0, ("final_demand", None, "F010"): 4.0, ("final_demand", "AGR", None): 4.0,
+        ("output", "T018", "MINING"): 50.0, ("output", None, "MINING"): 50.0, ("output", "T018", None): 50.0,
+    }
+    assert [tuple(r) for r in E.account_totals(d, "final_demand", "row").collect()] == [("AGR", 4.0)]
