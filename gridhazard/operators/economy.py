@@ -219,19 +219,19 @@ def demand_outputs(coefficients, demand, keys, tol=1e-12, steps=6, max_rounds=20
     f = demand.groupBy(*keys, "sector").agg(F.sum("shock").alias("x"))
     # x: output so far; d: the newest term A^n f, which the next product starts from.
     state = cut_lineage(f.select(*keys, "sector", "x", F.col("x").alias("d"), F.lit(True).alias("_open")))
+    shock = Window.partitionBy(*keys)
     done = []
     for _ in range(max_rounds):
-        step = state.filter("_open").drop("_open")
+        # Spread by shock, at most one row a sector: the products below need no further exchange.
+        step = state.filter("_open").drop("_open").repartition(*keys)
         for _ in range(steps):
             moved = step.join(a, "sector", "left").select(
                 *keys, F.coalesce("_to", "sector").alias("sector"), (F.coalesce("_same", F.lit(1.0)) * F.col("x")).alias("x"),
                 (F.coalesce("_a", F.lit(0.0)) * F.col("d")).alias("d"),
             )
             step = moved.groupBy(*keys, "sector").agg(F.sum("x").alias("x"), F.sum("d").alias("d")).withColumn("x", F.col("x") + F.col("d"))
-        step = cut_lineage(step)
-        size = step.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(F.abs("d")).alias("_d"), F.max(F.abs("x")).alias("_x"))
-        same_shock = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        state = step.join(size, same_shock).select(*keys, "sector", "x", "d", (F.col("_d") > tol * F.col("_x")).alias("_open"))
+        moving = F.max(F.abs("d")).over(shock) > tol * F.max(F.abs("x")).over(shock)
+        state = cut_lineage(step.withColumn("_open", moving))
         done.append(state.filter(~F.col("_open")).select(*keys, "sector", "x"))
         if state.filter("_open").isEmpty():
             return reduce(DataFrame.unionByName, done)
