@@ -6,6 +6,8 @@ Everything is keyed by ``realization``; matrices are coordinate tables
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from gridhazard.functions import rng
 from gridhazard.functions.fixed_values import INF, VARIANT, WINDING_OHM
 from gridhazard.functions.scalar import finite_or
-from gridhazard.operators.ordered import dense_position
+from gridhazard.operators.ordered import dense_position, neighbours_known
 from gridhazard.session import cut_lineage, drop_scratch
 
 GROUP_ENTRIES = 4_000_000  # largest system (matrix entries of a realization) solved inside one group
@@ -330,6 +332,15 @@ def _solve_distributed(system, rhs, tol, max_iter):
     raise RuntimeError(f"solver did not settle in {max_iter} rounds")
 
 
+def injections_of(coo, voltages, ridge=1e-6) -> DataFrame:
+    """The injections (Y + ridge) v that given node voltages belong to."""
+    yv = coo.join(voltages.select("realization", "scenario", F.col("i").alias("j"), "v"), ["realization", "j"]).select(
+        "realization", "scenario", "i", (F.col("y") * F.col("v")).alias("b")
+    )
+    own = voltages.select("realization", "scenario", "i", (F.lit(ridge) * F.col("v")).alias("b"))
+    return yv.unionByName(own).groupBy("realization", "scenario", "i").agg(F.sum("b").alias("b"))
+
+
 def residuals(coo, voltages, rhs) -> DataFrame:
     """Largest |Y v - b| per (realization, scenario)."""
     key = ["realization", "scenario"]
@@ -407,6 +418,56 @@ def replay_snapshots(series, start, every) -> DataFrame:
     return d.join(times, "t")
 
 
+def peak_snapshots(series, peaks, width) -> DataFrame:
+    """Snapshots of a storm replay at a list of peak times ``(t)``: the grid time nearest to each peak.
+
+    A tie goes to the earlier time; peaks that share a grid time give one snapshot; snapshots
+    are numbered in time order. Times are looked up inside slices of ``width``, so neither the
+    grid nor the list is sorted in one task.
+    """
+    grid = series.select(F.col("t").cast("double").alias("t"), F.lit(0).alias("peak")).filter("t IS NOT NULL").distinct()
+    wanted = peaks.select(F.col("t").cast("double").alias("t"), F.lit(1).alias("peak")).filter("t IS NOT NULL").distinct()
+    d = grid.unionByName(wanted).withColumns({"known": F.when(F.col("peak") == 0, F.col("t")), "slice": F.floor(F.col("t") / width)})
+    d = neighbours_known(d, [], "slice", ["t", "peak"], "known").filter("peak = 1")
+    before, after = F.col("prev")["v"], F.col("next")["v"]
+    near = F.when(after.isNull() | (F.col("t") - before <= after - F.col("t")), before).otherwise(after)
+    times = d.select(near.alias("t")).filter("t IS NOT NULL").distinct().withColumn("slice", F.floor(F.col("t") / width))
+    times = dense_position(times, [], "slice", "t", "snapshot").select(F.col("t").alias("_t"), "snapshot")
+    return series.join(times, F.col("t").cast("double") == F.col("_t")).drop("_t")
+
+
+def storm_maximum(series) -> DataFrame:
+    """Largest amount of each line over a whole storm; values that are no number take no part."""
+    size = F.abs(F.when(~F.isnan("v"), F.col("v")))
+    return series.groupBy("line").agg(F.max(size).alias("v")).filter("v IS NOT NULL")
+
+
+def replay_scenarios(snapshots, maximum, storm) -> DataFrame:
+    """Snapshots and the storm's maximum as scenarios ``(scenario, line, v)`` of one table.
+
+    Long form: a line that has no value in a scenario has no row there and injects nothing.
+    """
+    each = snapshots.select(F.concat(F.lit(f"V_{storm}_"), F.col("snapshot").cast("string")).alias("scenario"), "line", "v")
+    return each.unionByName(maximum.select(F.lit(f"V_{storm}_peak_max").alias("scenario"), "line", "v"))
+
+
+def wide_windings(currents, transformers, hazards=None) -> DataFrame:
+    """Winding currents ``(realization, hazard, name, winding, gic)`` as one row per winding.
+
+    One column ``<hazard>-year-hazard A/ph`` for each hazard, in order; ``hazards`` may state
+    them, else they are found in the data (as many as there will be columns). Joined with
+    ``transformers (realization, name, sub_id, latitude, longitude)``; windings of
+    transformers that are not listed go. A hazard without a value for a winding is null.
+    """
+    if hazards is None:
+        hazards = [r["hazard"] for r in currents.select("hazard").filter("hazard IS NOT NULL").distinct().sort("hazard").collect()]
+    named = [F.first(F.when(F.col("hazard") == h, F.col("gic")), ignorenulls=True).alias(f"{h}-year-hazard A/ph") for h in hazards]
+    key = ["realization", "name", "winding"]
+    wide = currents.groupBy(*key).agg(*named) if named else currents.select(*key).distinct()
+    place = transformers.select("realization", "name", "sub_id", "latitude", "longitude")
+    return wide.join(place, ["realization", "name"])
+
+
 # ------------------------------------------------- structured variations
 
 
@@ -538,6 +599,84 @@ def config_diff(base, variant, key, columns) -> DataFrame:
     return d.select(*keys, kind.alias("change")).filter(F.col("change") != "")
 
 
+def variant_grid(lines, transformers, sites, hubs, named=(), locked=()):
+    """One random variant of every realization: its lines, transformers and sites.
+
+    Corridors of ``lines (realization, line, a, b, volt, r, v)`` are blocked together, units of
+    ``transformers (realization, sub_id, name, type)`` change type, are limited, blocked and
+    added, and ``sites (realization, sub_id, neutral, rg)`` are opened or grounded again.
+    """
+    chances = (VARIANT["p_block_500"], VARIANT["p_block_345"])
+    units = cut_lineage(toggled_types(transformers, named))
+    units = cut_lineage(gsu_blocking(limited_gsus(units, locked)))
+    units = cut_lineage(added_units(units, locked))
+    return corridor_blocking(lines, hubs, chances, VARIANT["hub_bump"]), units, regrounded_sites(sites, units, locked)
+
+
+def stacked_configs(tables) -> DataFrame:
+    """Tables of several configurations as one; the realization becomes ``<config>:<realization>``."""
+    parts = [d.withColumn("realization", F.concat(F.lit(f"{c}:"), F.col("realization").cast("string"))) for c, d in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def split_configs(df) -> DataFrame:
+    """``config`` and ``realization`` (text) out of the stacked key."""
+    key = F.col("realization")
+    return df.withColumns({"config": F.substring_index(key, ":", 1), "realization": F.substring_index(key, ":", -1)})
+
+
+class ConfigSystem:
+    """Lines, transformers and sites of several configurations, stamped into one keyed system.
+
+    ``configs`` maps a name to (lines, transformers, sites); lines carry one row per scenario.
+    Resistances at the blocking value count as open, so what hangs on them alone is left out
+    of the equations instead of making them nearly singular.
+    """
+
+    def __init__(self, configs):
+        lines, units, sites = (stacked_configs({c: t[k] for c, t in configs.items()}) for k in range(3))
+        is_open = lambda c: F.col(c) >= VARIANT["blocked_ohm"] / 10
+        self.lines = lines.withColumn("r", F.when(is_open("r"), F.lit(INF)).otherwise(F.col("r")))
+        self.sites = sites.withColumn("rg", F.when(is_open("rg"), F.lit(INF)).otherwise(F.col("rg")))
+        self.units = with_windings(units)
+        self.earth = earthing(self.sites)
+        once = self.lines.groupBy("realization", "line", "a", "b").agg(F.min("r").alias("r"))
+        coo = cut_lineage(stamped(line_branches(once).unionByName(transformer_branches(self.units)), self.earth))
+        self.nodes = cut_lineage(grounded_nodes(coo, self.earth))
+        self.matrix = coo.join(self.nodes, ["realization", "i"], "left_semi").join(
+            self.nodes.withColumnRenamed("i", "j"), ["realization", "j"], "left_semi"
+        )
+
+    def injections(self) -> DataFrame:
+        return injections(self.lines).join(self.nodes, ["realization", "i"], "left_semi")
+
+    def voltages(self, rhs=None, **how) -> DataFrame:
+        """Node voltages of all configurations and scenarios from one solve."""
+        return cut_lineage(solve(self.matrix, self.injections() if rhs is None else rhs, **how))
+
+    def currents(self, voltages, scenarios) -> DataFrame:
+        """Currents ``(config, realization, scenario, part, name, gic)`` of lines, windings and grounds."""
+        key = ["realization", "scenario"]
+        parts = (
+            line_currents(self.lines, voltages).select(*key, F.lit("line").alias("part"), F.col("line").alias("name"), F.col("i_line").alias("gic")),
+            winding_currents(self.units, voltages, scenarios).select(*key, F.col("winding").alias("part"), "name", "gic"),
+            ground_currents(self.sites.select("realization", "sub_id", "neutral"), self.earth, voltages, scenarios).select(
+                *key, F.lit("ground").alias("part"), F.col("sub_id").cast("string").alias("name"), "gic"
+            ),
+        )
+        return split_configs(reduce(DataFrame.unionByName, parts))
+
+
+def compared_currents(currents, base="base", other="var") -> DataFrame:
+    """Number, total and largest amount of the currents of two configurations side by side."""
+    size = F.abs("gic")
+    aggs = []
+    for c in (base, other):
+        mine = F.when(F.col("config") == c, size)
+        aggs += [F.count(mine).alias(f"n_{c}"), F.sum(mine).alias(f"total_{c}"), F.max(mine).alias(f"largest_{c}")]
+    return currents.groupBy("realization", "scenario", "part").agg(*aggs)
+
+
 def outer_results(left, right, key, names) -> DataFrame:
     """Result tables side by side, every key present, missing values 0."""
     a = left.select(key, F.col("gic").alias(names[0]))

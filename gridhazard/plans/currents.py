@@ -249,9 +249,7 @@ def line_current(spark, sf):
     return N.line_currents(line_scenarios(spark, sf), node_voltages(spark, sf)).select("realization", "scenario", "a", "b", "i_line")
 
 
-@query(
-    "N13",
-    f"""WITH {STATIONS}, nv AS (SELECT DISTINCT realization, scenario, i, {X.uniform(77, 'realization', 'scenario', 'i')} AS v FROM
+WINDINGS = f"""{STATIONS}, nv AS (SELECT DISTINCT realization, scenario, i, {X.uniform(77, 'realization', 'scenario', 'i')} AS v FROM
           (SELECT realization, scenario, a AS i FROM ls UNION SELECT realization, scenario, b FROM ls)),
         t AS (SELECT sg.*, s.scenario FROM sg, (VALUES ('A'), ('N'), ('R')) s(scenario)),
         tv AS (SELECT t.*, coalesce(n1.v, 0) AS v1, coalesce(n2.v, 0) AS v2, 0 AS vn FROM t LEFT JOIN nv n1 ON n1.realization = t.realization AND n1.scenario = t.scenario AND n1.i = bus1
@@ -259,14 +257,35 @@ def line_current(spark, sf):
         o AS (SELECT realization, scenario, name, 'HV' AS winding, (v1 - vn) / w1 AS gic FROM tv WHERE type IN ('GSU', 'GY-D', 'GSU w/ GIC BD', 'GY-GY', 'GY-GY-D')
           UNION ALL SELECT realization, scenario, name, 'LV', (v2 - vn) / w2 FROM tv WHERE type IN ('GY-GY', 'GY-GY-D')
           UNION ALL SELECT realization, scenario, name, 'Series', (v1 - v2) / w1 FROM tv WHERE type = 'Auto'
-          UNION ALL SELECT realization, scenario, name, 'Common', (v2 - vn) / w2 FROM tv WHERE type = 'Auto')
-        SELECT realization, scenario, name, winding, round(gic, 6) AS gic FROM o""",
-)
+          UNION ALL SELECT realization, scenario, name, 'Common', (v2 - vn) / w2 FROM tv WHERE type = 'Auto')"""
+
+
+@query("N13", f"WITH {WINDINGS} SELECT realization, scenario, name, winding, round(gic, 6) AS gic FROM o")
 def winding_currents(spark, sf):
     w = N.winding_currents(N.with_windings(stations(spark, sf)), node_voltages(spark, sf), SCEN)
     return w.select("realization", "scenario", "name", "winding", F.round("gic", 6).alias("gic"))
 
 
+HAZARD = "CASE scenario WHEN 'A' THEN '100' WHEN 'N' THEN '500' ELSE '1000' END"
+
+
+@query(
+    "N15",
+    f"""WITH {WINDINGS}, p AS (SELECT s_suppkey AS sub_id, 'T' || s_suppkey AS name, 28 + (s_suppkey * 7.3e0) % 20 AS latitude, -120 + (s_suppkey * 13.7e0) % 50 AS longitude FROM supplier WHERE s_acctbal >= 0)
+        SELECT realization, p.sub_id, name, winding, round(latitude, 5) AS latitude, round(longitude, 5) AS longitude,
+          {', '.join(f"""round(max(CASE WHEN {HAZARD} = '{h}' THEN gic END), 6) AS "{h}-year-hazard A/ph" """ for h in (100, 1000, 500))}
+        FROM o JOIN p USING (name) GROUP BY ALL""",
+)
+def wide_winding_table(spark, sf):
+    """One row per winding, one column per hazard, for transformers whose place is known."""
+    st = stations(spark, sf)
+    w = N.winding_currents(N.with_windings(st), node_voltages(spark, sf), SCEN).withColumn("hazard", F.expr(HAZARD))
+    known = table(spark, sf, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("sub_id"))
+    d = N.wide_windings(w, placed(st.join(known, "sub_id", "left_semi"), "sub_id", "latitude", "longitude"))
+    amounts = [c for c in d.columns if c.endswith("A/ph")]
+    return d.select("realization", "sub_id", "name", "winding", *[F.round(c, 5).alias(c) for c in ("latitude", "longitude")], *[F.round(c, 6).alias(c) for c in amounts])
+
+
 # --------------------------------------------- benchmark field, replay, diffs
 
 
@@ -304,6 +323,27 @@ def storm_replay(spark, sf):
     return d.select(F.col("snapshot").cast("bigint").alias("snapshot"), stamp("t").alias("ts"), "line", "v")
 
 
+@query(
+    "N21",
+    f"""WITH s AS (SELECT {X.hour('ts')} AS t, user_id AS line, max(value) AS v FROM events WHERE value > 60 GROUP BY 1, 2),
+        pk AS (SELECT epoch_us(ts) / 3600000000e0 AS p FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY value DESC, event_id) <= 3),
+        g AS (SELECT DISTINCT t FROM s),
+        nt AS (SELECT DISTINCT t FROM (SELECT p, t FROM pk, g QUALIFY row_number() OVER (PARTITION BY p ORDER BY abs(t - p), t) = 1)),
+        nn AS (SELECT t, row_number() OVER (ORDER BY t) AS k FROM nt)
+        SELECT 'V_gannon_' || k AS scenario, line, v FROM s JOIN nn USING (t) UNION ALL SELECT 'V_gannon_peak_max', line, max(abs(v)) FROM s GROUP BY line""",
+)
+def peak_replay(spark, sf):
+    """Replay at the three highest events of each day, and the storm's maximum as one more scenario."""
+    from gridhazard.operators.ordered import top_per_key
+    from gridhazard.plans.registry import epoch_hour
+
+    ev = table(spark, sf, "events")
+    s = ev.filter("value > 60").groupBy(epoch_hour("ts").alias("t"), F.col("user_id").alias("line")).agg(F.max("value").alias("v"))
+    top = top_per_key(ev.withColumn("day", F.date_trunc("day", "ts")), ["day"], [F.desc("value"), F.col("event_id")], 3)
+    peaks = top.select((F.unix_micros("ts") / 3.6e9).alias("t"))
+    return N.replay_scenarios(N.peak_snapshots(s, peaks, 24), N.storm_maximum(s), "gannon")
+
+
 @query(
     "N23",
     """WITH n AS (SELECT l_orderkey AS sub, sum(l_tax) AS g FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
@@ -454,3 +494,93 @@ def base_and_variants(spark, sf):
     base = units(spark, sf).select(F.lit("base").alias("config"), "realization", "type")
     var = added(spark, sf).select(F.lit("var").alias("config"), "realization", "type")
     return base.unionByName(var).groupBy("config", F.col("realization").alias("scenario"), "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+VOLT = "CASE WHEN b % 3 = 0 THEN 500 ELSE 345 END"
+KNOWN = X.uniform(78, "realization", "scenario", "i")
+CONFIGS = f"""{STATIONS},{ADDED.replace(UNITS, """
+un AS (SELECT realization, name, sub_id, bus1 AS sub1, bus2 AS sub2, type FROM st)""")},
+bl AS (SELECT ls.*, {X.uniform(21, 'realization', 'least(a, b)', 'greatest(a, b)', VOLT)} < (CASE WHEN b % 3 = 0 THEN 0.2e0 ELSE 0.1e0 END) + (CASE WHEN s_acctbal > 8000 THEN 0.05e0 ELSE 0e0 END) AS blocked
+  FROM ls JOIN supplier ON s_suppkey = a),
+cl AS (SELECT 'base' AS config, realization, scenario, a, b, r, v FROM ls UNION ALL
+  SELECT 'var', realization, scenario, a, b, CASE WHEN blocked THEN {INFSQL} ELSE r END, CASE WHEN blocked THEN 0 ELSE v END FROM bl),
+op AS (SELECT realization, sub_id, neutral, CASE WHEN sub_id <> 7 AND {_UO} < 0.15e0 THEN {INFSQL} ELSE rg END AS rg FROM sg),
+nd AS (SELECT DISTINCT realization, sub_id, 1 AS need FROM bd WHERE type = 'GSU'),
+cs AS (SELECT 'base' AS config, realization, sub_id, neutral, rg FROM sg UNION ALL
+  SELECT 'var', op.realization, op.sub_id, neutral, CASE WHEN need = 1 AND op.sub_id <> 7 AND isinf(rg) THEN 0.1e0 + 0.1e0 * {X.uniform(71, 'op.realization', 'op.sub_id', part=1)} ELSE rg END
+  FROM op LEFT JOIN nd ON nd.realization = op.realization AND nd.sub_id = op.sub_id),
+cn AS (SELECT 'base' AS config, realization, name, sub_id, type FROM st UNION ALL SELECT 'var', realization, name, sub_id, type FROM ad),
+cu AS (SELECT cn.config, cn.realization, cn.name, cn.type, bus1, bus2, neutral FROM cn JOIN st USING (realization, sub_id)),
+cw AS (SELECT *, {_w_sql(0)} AS w1, {_w_sql(1)} AS w2 FROM cu),
+ce AS (SELECT DISTINCT config, realization, a, b FROM cl WHERE NOT isinf(r)
+  UNION SELECT config, realization, bus1, neutral FROM cw WHERE type IN ('GSU', 'GY-D', 'GSU w/ GIC BD', 'GY-GY', 'GY-GY-D') AND NOT isinf(w1)
+  UNION SELECT config, realization, bus2, neutral FROM cw WHERE type IN ('GY-GY', 'GY-GY-D', 'Auto') AND NOT isinf(w2)
+  UNION SELECT config, realization, bus2, bus1 FROM cw WHERE type = 'Auto' AND NOT isinf(w1)),
+cb AS (SELECT config, realization, a, b FROM ce UNION SELECT config, realization, b, a FROM ce),
+live(config, realization, i) AS (SELECT config, realization, neutral FROM cs WHERE NOT isinf(rg)
+  UNION SELECT l.config, l.realization, cb.b FROM live l JOIN cb ON cb.config = l.config AND cb.realization = l.realization AND cb.a = l.i),
+kv AS (SELECT config, realization, scenario, i, {KNOWN} AS v FROM live, (VALUES ('A'), ('N'), ('R')) s(scenario))"""
+
+
+def _known(cols):
+    """Joins that bring the known voltage of each node column of ``t``, 0 where it is not solved."""
+    at = lambda c, n: f"LEFT JOIN kv {n} ON {n}.config = t.config AND {n}.realization = t.realization AND {n}.scenario = t.scenario AND {n}.i = t.{c}"
+    return " ".join(at(c, n) for c, n in cols)
+
+
+def base_and_variant(spark, sf):
+    """The stand-in grid and one random variant of each realization, as one system."""
+    sg = cut_lineage(equipped(spark, sf))
+    units = sg.select("realization", "sub_id", "bus1", "bus2", "neutral", "type", "name").withColumns({"sub1": F.col("bus1"), "sub2": F.col("bus2")})
+    sites = sg.select("realization", "sub_id", "neutral", "rg")
+    ls = line_scenarios(spark, sf).withColumns({"line": F.concat_ws("-", "a", "b"), "volt": F.expr(VOLT)})
+    hubs = table(spark, sf, "supplier").filter("s_acctbal > 8000").select(F.col("s_suppkey").alias("node"))
+    lines, var_units, var_sites = N.variant_grid(ls, units, sites, hubs, named=("T2", "T13"), locked=(7,))
+    cols = ["realization", "scenario", "line", "a", "b", "r", "v"]
+    return N.ConfigSystem({"base": (ls.select(*cols), units, sites), "var": (lines.select(*cols), var_units, var_sites)})
+
+
+@query(
+    "N32 N10 N12 N13 N14",
+    f"""WITH RECURSIVE {CONFIGS},
+        li AS (SELECT t.config, t.realization, t.scenario, 'line' AS part, CASE WHEN isinf(r) THEN 0 ELSE round_even((t.v + coalesce(n1.v, 0) - coalesce(n2.v, 0)) / r, 2) END AS gic FROM cl t {_known((('a', 'n1'), ('b', 'n2')))}),
+        us AS (SELECT cw.*, s.scenario FROM cw, (VALUES ('A'), ('N'), ('R')) s(scenario)),
+        uv AS (SELECT t.*, coalesce(n1.v, 0) AS v1, coalesce(n2.v, 0) AS v2, coalesce(n3.v, 0) AS vn FROM us t {_known((('bus1', 'n1'), ('bus2', 'n2'), ('neutral', 'n3')))}),
+        gs AS (SELECT cs.*, s.scenario FROM cs, (VALUES ('A'), ('N'), ('R')) s(scenario)),
+        al AS (SELECT * FROM li
+          UNION ALL SELECT config, realization, scenario, 'HV', (v1 - vn) / w1 FROM uv WHERE type IN ('GSU', 'GY-D', 'GSU w/ GIC BD', 'GY-GY', 'GY-GY-D')
+          UNION ALL SELECT config, realization, scenario, 'LV', (v2 - vn) / w2 FROM uv WHERE type IN ('GY-GY', 'GY-GY-D')
+          UNION ALL SELECT config, realization, scenario, 'Series', (v1 - v2) / w1 FROM uv WHERE type = 'Auto'
+          UNION ALL SELECT config, realization, scenario, 'Common', (v2 - vn) / w2 FROM uv WHERE type = 'Auto'
+          UNION ALL SELECT t.config, t.realization, t.scenario, 'ground', CASE WHEN isinf(rg) THEN 0 ELSE coalesce(n1.v, 0) / rg END FROM gs t {_known((('neutral', 'n1'),))}),
+        c AS (SELECT realization, scenario, part, {', '.join(f"count(CASE WHEN config = '{k}' THEN 1 END) AS n_{k}, sum(CASE WHEN config = '{k}' THEN abs(gic) END) AS s_{k}, max(CASE WHEN config = '{k}' THEN abs(gic) END) AS m_{k}" for k in ('base', 'var'))} FROM al GROUP BY 1, 2, 3)
+        SELECT realization, scenario, part, n_base, n_var, round(s_base, 5) AS total_base, round(s_var, 5) AS total_var, round(m_base, 5) AS largest_base, round(m_var, 5) AS largest_var FROM c""",
+)
+def variant_currents(spark, sf):
+    """Currents of the base grid and its variants from one solve, checked by known voltages.
+
+    The injections are those of stated node voltages (a hash of the node), so that solved
+    voltages and all currents are known to SQL without solving anything.
+    """
+    system = base_and_variant(spark, sf)
+    real = N.split_configs(system.nodes).select(F.col("config"), F.col("realization"), "i")
+    known = real.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in SCEN]))).withColumn(
+        "v", rng.uniform(78, "realization", "scenario", "i")
+    ).select(F.concat_ws(":", "config", "realization").alias("realization"), "scenario", "i", "v")
+    v = system.voltages(N.injections_of(system.matrix, known), tol=1e-12)
+    d = N.compared_currents(system.currents(v, SCEN))
+    return d.select(
+        F.col("realization").cast("bigint").alias("realization"), "scenario", "part", "n_base", "n_var",
+        *[F.round(f"{k}_{c}", 5).alias(f"{k}_{c}") for k in ("total", "largest") for c in ("base", "var")],
+    )
+
+
+@query("N32")
+def variant_effects(spark, sf):
+    """Currents of the base grid and its variants under the lines' own voltages (no SQL; dense algebra in the tests)."""
+    system = base_and_variant(spark, sf)
+    d = N.compared_currents(system.currents(system.voltages(), SCEN))
+    return d.select(
+        F.col("realization").cast("bigint").alias("realization"), "scenario", "part", "n_base", "n_var",
+        *[F.round(f"{k}_{c}", 2).alias(f"{k}_{c}") for k in ("total", "largest") for c in ("base", "var")],
+    )

@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridhazard.plans import sqltext as X
-from gridhazard.plans.catalogue import INDEX_SQL, index_series
-from gridhazard.plans.registry import query, stamp, table
-from gridhazard.sources import em_files, grid_files, index_files, magnetometer, realizations
+from gridhazard.operators import events as E
+from gridhazard.plans.catalogue import INDEX_SQL, NAMED_SQL, SESSIONS_SQL, index_series, named_events, sessions
+from gridhazard.plans.registry import epoch_hour, query, stamp, table
+from gridhazard.session import cut_lineage, scratch_path
+from gridhazard.sources import em_files, grid_files, index_files, magnetometer, realizations, sinks
 from gridhazard.streaming.moments import running_moment_stream
 from gridhazard.streaming.run import drain
 from gridhazard.streaming.sessions import storm_session_stream
@@ -227,3 +229,42 @@ def moment_stream(spark, sf):
     )
     d = drain(running_moment_stream(li, ["sub_id", "minute"], "x"), "moments")
     return d.select("sub_id", "minute", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
+@query(
+    "FV14",
+    f"""WITH {SESSIONS_SQL}, {NAMED_SQL},
+        sp AS (SELECT start_t, end_t, min(name) AS storm FROM storms JOIN named ON start_t <= event_end AND end_t >= event_start GROUP BY 1, 2),
+        s AS (SELECT {X.hour('ts')} AS t, user_id AS entity, max(value) AS v FROM events GROUP BY 1, 2)
+        SELECT storm, {X.stamp('t')} AS ts, entity, v FROM s JOIN sp ON t BETWEEN start_t AND end_t""",
+)
+def special_storm_series(spark, sf):
+    """Full series of the named storms, stored by storm, written a second time for one of them, and read back."""
+    s = sessions(spark, sf)
+    special = cut_lineage(E.overlapping(s, named_events(spark)).groupBy("start_t", "end_t").agg(F.min("name").alias("storm")))
+    series = table(spark, sf, "events").groupBy(epoch_hour("ts").alias("t"), F.col("user_id").alias("entity")).agg(F.max("value").alias("v"))
+    path = scratch_path(spark, "storms")
+    sinks.write_storm_series(series, special, path, 24)
+    sinks.write_storm_series(series, special.join(special.agg(F.min("storm").alias("storm")), "storm"), path, 24)
+    return sinks.read_storm_series(spark, path).select("storm", stamp("t").alias("ts"), "entity", "v")
+
+
+@query(
+    "K05",
+    """WITH c AS (SELECT l_suppkey AS site, l_linenumber * 25 AS period, max(l_extendedprice) / 1000 AS level, count(*) AS n FROM lineitem GROUP BY 1, 2)
+       SELECT site, period, 'level' AS name, round(level, 6) AS value, 'V/km' AS units, 'site,period' AS dims FROM c
+       UNION ALL SELECT site, period, 'events', CAST(n AS DOUBLE), '1', 'site,period' FROM c""",
+)
+def result_cube(spark, sf):
+    """Return levels as a cube: written, read back, and unpivoted by the metadata that came back with it."""
+    li = table(spark, sf, "lineitem")
+    levels = li.groupBy(F.col("l_suppkey").alias("site"), (F.col("l_linenumber") * 25).alias("period")).agg(
+        (F.max("l_extendedprice") / 1000).alias("level"), F.count(F.lit(1)).cast("double").alias("events")
+    )
+    path = scratch_path(spark, "cube")
+    sinks.as_cube(levels, ["site", "period"], {"period": "years", "level": "V/km", "events": "1"}).write.parquet(path)
+    cube = spark.read.parquet(path)
+    dims, meta = sinks.cube_dimensions(cube), sinks.cube_attributes(cube)
+    values = [c for c in cube.columns if meta[c]["role"] == "value"]
+    pack = F.array(*[F.struct(F.lit(c).alias("name"), F.round(c, 6).alias("value"), F.lit(meta[c]["units"]).alias("units")) for c in values])
+    return cube.select(*dims, F.explode(pack).alias("p"), F.lit(",".join(dims)).alias("dims")).select(*dims, "p.*", "dims")

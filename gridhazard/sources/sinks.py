@@ -53,6 +53,64 @@ def with_metadata(df: DataFrame, **meta) -> DataFrame:
     return df.withColumns({f"meta_{k}": F.lit(v) for k, v in meta.items()})
 
 
+def write_storm_series(series: DataFrame, storms: DataFrame, path: str, day: int, spread: int = 32) -> None:
+    """Full series ``(t, entity, ...)`` of the storms ``(storm, start_t, end_t)`` and of no other time.
+
+    One partition folder a storm; a rerun replaces the folders of its own storms and leaves
+    the others. A time inside two storms goes to both. Storms meet the series on the slices of
+    ``day`` they touch, then exactly; a storm's rows are spread over ``spread`` writers.
+    """
+    slices = F.sequence(F.floor(F.col("start_t") / day), F.floor(F.col("end_t") / day))
+    spans = storms.filter("start_t <= end_t").select("storm", "start_t", "end_t", F.explode(slices).alias("_slice"))
+    inside = (
+        series.withColumn("_slice", F.floor(F.col("t") / day)).join(spans, "_slice")
+        .filter("t BETWEEN start_t AND end_t").drop("_slice", "start_t", "end_t")
+    )
+    laid = inside.repartition("storm", F.pmod(F.xxhash64("entity", F.floor(F.col("t") / day)), F.lit(spread)))
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("storm").parquet(path)
+
+
+def read_storm_series(spark: SparkSession, path: str, storms=None) -> DataFrame:
+    """Stored series, of the named storms only; folders of others are not listed into the scan."""
+    d = spark.read.option("basePath", path).parquet(path).withColumn("storm", F.col("storm").cast("string"))
+    return d if storms is None else d.filter(F.col("storm").isin(list(storms)))
+
+
+def as_cube(df: DataFrame, dims, units=None, notes=None) -> DataFrame:
+    """Mark a long table as a result cube: dimensions, units and notes as column metadata.
+
+    The metadata is part of the schema, so it is stored once in each Parquet file and read
+    back with it, and no row grows.
+    """
+    units, notes = units or {}, notes or {}
+    unknown = (set(dims) | set(units) | set(notes)) - set(df.columns)
+    if unknown:
+        raise ValueError(f"no such column: {', '.join(sorted(unknown))}")
+
+    def marked(c):
+        meta = dict(df.schema[c].metadata, role="dimension" if c in dims else "value")
+        if c in dims:
+            meta["axis"] = list(dims).index(c)
+        if c in units:
+            meta["units"] = units[c]
+        if c in notes:
+            meta["note"] = notes[c]
+        return F.col(c).alias(c, metadata=meta)
+
+    return df.select(*[marked(c) for c in df.columns])
+
+
+def cube_attributes(df: DataFrame) -> dict[str, dict]:
+    """Column metadata of a cube, by column name."""
+    return {f.name: dict(f.metadata) for f in df.schema.fields}
+
+
+def cube_dimensions(df: DataFrame) -> list[str]:
+    """Dimension columns of a cube in their order."""
+    meta = cube_attributes(df)
+    return sorted((c for c in meta if meta[c].get("role") == "dimension"), key=lambda c: meta[c]["axis"])
+
+
 def prefix_snapshots(df: DataFrame, realization: str, keys, value, sizes) -> DataFrame:
     """Mean and population deviation over the first n realizations, for every n of ``sizes``.
 

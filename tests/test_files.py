@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridhazard.sources import econ_files, em_files, grid_files, index_files, magnetometer, realizations, sinks
@@ -172,3 +173,32 @@ def test_repeated_batches_replace_themselves(spark, tmp_path):
     finally:
         DataStreamWriter.foreachBatch = each
     assert writes
+
+
+def test_storm_series_replaces_only_its_own_storms(spark, tmp_path):
+    path = str(tmp_path / "storms")
+    series = spark.createDataFrame([(t, e, float(t + 100 * e)) for t in range(0, 60) for e in (1, 2)], "t bigint, entity bigint, v double")
+    storms = spark.createDataFrame([("may 2024", 5, 9), ("quiet", 40, 40), ("long", 8, 31), ("backwards", 9, 5), ("outside", 500, 600)], "storm string, start_t bigint, end_t bigint")
+    sinks.write_storm_series(series, storms, path, 4)
+    rows = lambda d: sorted((r.storm, r.t, r.entity, r.v) for r in d.collect())
+    first = rows(sinks.read_storm_series(spark, path))
+    assert first == sorted((s, t, e, float(t + 100 * e)) for s, a, b in (("may 2024", 5, 9), ("quiet", 40, 40), ("long", 8, 31)) for t in range(a, b + 1) for e in (1, 2))
+    sinks.write_storm_series(series.withColumn("v", -F.col("v")), storms.filter("storm = 'may 2024'"), path, 4)
+    again = rows(sinks.read_storm_series(spark, path))
+    assert [r for r in again if r[0] != "may 2024"] == [r for r in first if r[0] != "may 2024"]
+    assert [(*r[:3], -r[3]) for r in again if r[0] == "may 2024"] == [r for r in first if r[0] == "may 2024"]
+    one = sinks.read_storm_series(spark, path, ["may 2024"])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "may 2024" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert {r.storm for r in one.collect()} == {"may 2024"}
+
+
+def test_cube_metadata_survives_parquet(spark, tmp_path):
+    path = str(tmp_path / "cube")
+    d = spark.createDataFrame([(1, 75, 2.5, "x")], "site int, period int, level double, source string")
+    sinks.as_cube(d, ["period", "site"], {"level": "V/km"}, {"level": "68 percent"}).write.parquet(path)
+    back = spark.read.parquet(path)
+    assert back.collect() == d.collect() and sinks.cube_dimensions(back) == ["period", "site"]
+    assert sinks.cube_attributes(back)["level"] == {"role": "value", "units": "V/km", "note": "68 percent"}
+    with pytest.raises(ValueError, match="pressure"):
+        sinks.as_cube(d, ["site"], {"pressure": "Pa"})

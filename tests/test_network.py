@@ -3,6 +3,7 @@ import pytest
 from benchmark_grid import INF, LINES, NO_NEUTRAL, SUBSTATIONS, TRANSFORMERS
 from pyspark.sql import functions as F
 
+from gridhazard.functions.fixed_values import WINDING_OHM
 from gridhazard.functions.scalar import east_north_km
 from gridhazard.operators import network as N
 
@@ -112,3 +113,73 @@ def test_config_diff(spark):
     a = spark.createDataFrame([("x", "A"), ("y", "B"), ("z", None)], "name string, type string")
     b = spark.createDataFrame([("x", "A"), ("y", "C"), ("w", "A"), ], "name string, type string")
     assert {r.name: r.change for r in N.config_diff(a, b, "name", ["type"]).collect()} == {"y": "type", "z": "removed", "w": "added"}
+
+
+def test_base_and_variant_currents_match_dense_algebra(spark):
+    """One solve for both configurations; each equals its own dense system, open parts carry nothing."""
+    lines = [("L1", 1, 2, 0.5), ("L2", 2, 3, 1.0), ("L3", 1, 3, 2.0), ("L4", 3, 4, 1.5)]
+    volts = {"L1": 5.0, "L2": -2.0, "L3": 1.0, "L4": 3.0}
+    units = [(1, "T1", "GSU", 1, 1, 11), (2, "T2", "GY-D", 2, 2, 12), (4, "T4", "GSU", 4, 4, 14)]
+    sites = [(1, 11, 0.1), (2, 12, 0.2), (4, 14, 0.15)]
+
+    def tables(blocked, opened):
+        rows = [(0, "A", n, a, b, 1e15 if n in blocked else r, 0.0 if n in blocked else volts[n]) for n, a, b, r in lines]
+        return (
+            spark.createDataFrame(rows, "realization bigint, scenario string, line string, a int, b int, r double, v double"),
+            spark.createDataFrame([(0, *u) for u in units], "realization bigint, sub_id int, name string, type string, bus1 int, bus2 int, neutral int"),
+            spark.createDataFrame([(0, s, n, 1e15 if s in opened else rg) for s, n, rg in sites], "realization bigint, sub_id int, neutral int, rg double"),
+        )
+
+    cases = {"base": ((), ()), "var": (("L3",), (2,)), "cut": (("L4",), (4,))}
+    system = N.ConfigSystem({c: tables(*x) for c, x in cases.items()})
+    got = {(r.config, r.part, r.name): r.gic for r in system.currents(system.voltages(), ["A"]).collect()}
+    w = {name: WINDING_OHM[kind][0] for _, name, kind, *_ in units}
+    for c, (blocked, opened) in cases.items():
+        nodes = [1, 2, 3, 11, 12] + ([] if c == "cut" else [4, 14])  # beyond an open line and an open ground nothing is solved
+        at = {n: k for k, n in enumerate(nodes)}
+        y, b = 1e-6 * np.eye(len(nodes)), np.zeros(len(nodes))
+        branches = [(a, e, 1 / r, volts[n] / r) for n, a, e, r in lines if n not in blocked] + [(u[3], u[5], 1 / w[u[1]], 0.0) for u in units]
+        for a, e, g, i in branches:
+            if a in at and e in at:
+                p, q = at[a], at[e]
+                y[p, p] += g; y[q, q] += g; y[p, q] -= g; y[q, p] -= g  # noqa: E702
+                b[q] += i; b[p] -= i  # noqa: E702
+        for s, n, rg in sites:
+            if n in at and s not in opened:
+                y[at[n], at[n]] += 1 / (3 * rg)
+        v = dict(zip(nodes, np.linalg.solve(y, b)))
+        for n, a, e, r in lines:
+            want = 0.0 if n in blocked else round(volts[n] / r + (v.get(a, 0.0) - v.get(e, 0.0)) / r, 2)
+            assert got[(c, "line", n)] == pytest.approx(want, abs=0.0101)
+        for s, name, _, bus, _, n in units:
+            assert got[(c, "HV", name)] == pytest.approx((v.get(bus, 0.0) - v.get(n, 0.0)) / w[name], abs=1e-5)
+        for s, n, rg in sites:
+            assert got[(c, "ground", str(s))] == pytest.approx(0.0 if s in opened else v.get(n, 0.0) / rg, abs=1e-5)
+    side = {r.part: r for r in N.compared_currents(system.currents(system.voltages(), ["A"])).collect()}
+    assert side["line"].n_base == side["line"].n_var == 4 and side["line"].total_base != side["line"].total_var
+
+
+def test_peak_snapshots_take_the_nearest_grid_time(spark):
+    series = spark.createDataFrame([(t, k, float(t * k)) for t in (0, 10, 20, 30, 100) for k in (1, 2)] + [(30, 3, float("nan"))], "t bigint, line bigint, v double")
+    peaks = spark.createDataFrame([(-50.0,), (5.0,), (14.9,), (15.1,), (30.0,), (31.0,), (64.9,), (500.0,), (None,)], "t double")
+    for width in (3, 25, 10_000):
+        got = {(r.snapshot, r.t) for r in N.peak_snapshots(series, peaks, width).collect()}
+        assert got == {(1, 0), (2, 10), (3, 20), (4, 30), (5, 100)}
+    assert N.peak_snapshots(series, peaks.filter("t > 60"), 7).filter("line = 3").count() == 1
+    assert N.peak_snapshots(series.filter("t > 1000"), peaks, 7).count() == 0
+    assert N.peak_snapshots(series, peaks.filter("t > 1000"), 7).count() == 0
+    top = {r.line: r.v for r in N.storm_maximum(series.withColumn("v", -F.col("v"))).collect()}
+    assert top == {1: 100.0, 2: 200.0}  # amounts; a line without any number has no row
+    scen = N.replay_scenarios(N.peak_snapshots(series, peaks, 25), N.storm_maximum(series), "may").select("scenario").distinct()
+    assert {r[0] for r in scen.collect()} == {*(f"V_may_{k}" for k in range(1, 6)), "V_may_peak_max"}
+
+
+def test_wide_windings_keep_gaps_and_drop_unplaced_transformers(spark):
+    c = spark.createDataFrame([(0, "100", "T1", "HV", 1.0), (0, "500", "T1", "HV", 2.0), (0, "100", "T1", "LV", None), (0, "500", "T2", "HV", 3.0)],
+                              "realization int, hazard string, name string, winding string, gic double")
+    t = spark.createDataFrame([(0, "T1", 7, 40.0, -100.0), (1, "T2", 8, 41.0, -101.0)], "realization int, name string, sub_id int, latitude double, longitude double")
+    d = N.wide_windings(c, t)
+    assert d.columns == ["realization", "name", "winding", "100-year-hazard A/ph", "500-year-hazard A/ph", "sub_id", "latitude", "longitude"]
+    assert sorted(tuple(r)[2:6] for r in d.collect()) == [("HV", 1.0, 2.0, 7), ("LV", None, None, 7)]
+    assert N.wide_windings(c, t, ["500", "9"]).columns[3:5] == ["500-year-hazard A/ph", "9-year-hazard A/ph"]
+    assert N.wide_windings(c.filter("name = 'x'"), t).count() == 0
