@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUICK = ("storm_sessions", "mode_per_site", "site_max", "unit_max", "cube_stats", "coo_stamp", "assembled_edges", "bus_archetypes",
          "point_in_polygon", "proportional_alloc", "ci_table", "fragility_pf", "return_levels", "nearest_centre", "idw_grid",
-         "output_multipliers", "global_range", "gap_fill", "truncated_levels", "substations_on_lines")
+         "output_multipliers", "global_range", "gap_fill", "truncated_levels", "substations_on_lines",
+         "use_margins", "direct_requirements", "peak_replay", "wide_winding_table", "special_storm_series", "result_cube", "variant_currents")
 NAMES = QUICK if not os.environ.get("TEST_ALL") else tuple(entry.oracle_sql())
 
 
