@@ -339,3 +339,18 @@ def test_use_accounts_take_known_cells_and_total_them(spark):
         ("output", "T018", "MINING"): 50.0, ("output", None, "MINING"): 50.0, ("output", "T018", None): 50.0,
     }
     assert [tuple(r) for r in E.account_totals(d, "final_demand", "row").collect()] == [("AGR", 4.0)]
+
+
+def test_stops_of_lines_are_not_exchanged_nor_found_twice(spark):
+    from gridhazard.operators import topology as T
+
+    at = lambda *v: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in v])
+    lines = spark.range(3000).select(F.col("id").alias("line"), at((0, 0), (1, 0), (1, 1)).alias("vertices"))
+    points = spark.range(5).select(F.col("id").alias("sub"), (F.col("id") * 0.3).alias("x"), F.lit(0.01).alias("y"))
+    pairs = T.along(G.near_lines(G.line_segments(lines, "line"), points, "line", "sub", 0.05, 0.1), "line", ["pos", "sub"], "sub")
+    d = T.segment_ids(pairs.select("line", "a", "b"), "line")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Exchange ") == 1 and plan.count("BroadcastHashJoin") == 1  # segments are dealt once, hits never
+    assert sorted(map(tuple, d.filter("line = 1").collect())) == [(1, 0, 1, "1_0_1"), (1, 1, 2, "1_1_2"), (1, 2, 3, "1_2_3")]
+    pieces = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3)], "a int, b int")
+    assert sorted(map(tuple, T.adjacency(pieces).collect())) == [(1, 2), (2, 1), (2, 3), (3, 2)]
