@@ -13,7 +13,7 @@ from gridhazard.session import cut_lineage, scratch_path
 from gridhazard.sources import em_files, grid_files, index_files, magnetometer, realizations, sinks
 from gridhazard.streaming.moments import running_moment_stream
 from gridhazard.streaming.run import drain
-from gridhazard.streaming.sessions import storm_session_stream
+from gridhazard.streaming.sessions import open_sessions, storm_session_stream
 
 FMT = "yyyy-MM-dd HH:mm:ss"
 
@@ -210,12 +210,14 @@ def stream_of(spark, sf, name):
     """WITH e AS (SELECT user_id, ts FROM events WHERE value > 60),
        m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 48 HOURS THEN 0 ELSE 1 END AS s FROM e),
        n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m)
-       SELECT user_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM n GROUP BY user_id, k
-       HAVING max(ts) + INTERVAL 48 HOURS < date_trunc('milliseconds', (SELECT max(ts) FROM e)) - INTERVAL 24 HOURS""",
+       SELECT user_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM n GROUP BY user_id, k""",
 )
 def session_stream(spark, sf):
+    """All sessions of the stream: those put out, and at its end those that were still open."""
     ev = stream_of(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter("value > 60")
-    d = drain(storm_session_stream(ev.select("user_id", "ts"), "user_id", "ts", 48), "sessions", mode="append")
+    folder = scratch_path(spark, "sessions")
+    d = drain(storm_session_stream(ev.select("user_id", "ts"), "user_id", "ts", 48), "sessions", mode="append", folder=folder)
+    d = d.unionByName(open_sessions(spark, f"{folder}/state", "user_id"))
     return d.select("user_id", "n", F.date_format("first_ts", FMT).alias("first_ts"), F.date_format("last_ts", FMT).alias("last_ts"))
 
 

@@ -82,3 +82,10 @@ def storm_session_stream(stream: DataFrame, key: str, ts: str, gap_hours: int, l
     ended = spans.groupBy(key).transformWithStateInPandas(
         statefulProcessor=OpenSessions(key, gap_us), outputStructType=f"{key} {kind}, {SPAN}", outputMode="Append", timeMode="EventTime")
     return ended.select(key, "n", F.timestamp_micros("first_us").alias("first_ts"), F.timestamp_micros("last_us").alias("last_ts"))
+
+
+def open_sessions(spark, folder: str, key: str) -> DataFrame:
+    """Sessions that a run of :func:`storm_session_stream` with its state in ``folder`` has not put out, as no row passed their gap yet."""
+    held = spark.read.format("statestore").option("stateVarName", "open").load(folder)
+    d = held.select(F.col("key")[key].alias(key), "list_element.*")
+    return d.select(key, "n", F.timestamp_micros("first_us").alias("first_ts"), F.timestamp_micros("last_us").alias("last_ts"))

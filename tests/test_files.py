@@ -202,3 +202,14 @@ def test_cube_metadata_survives_parquet(spark, tmp_path):
     assert sinks.cube_attributes(back)["level"] == {"role": "value", "units": "V/km", "note": "68 percent"}
     with pytest.raises(ValueError, match="pressure"):
         sinks.as_cube(d, ["site"], {"pressure": "Pa"})
+
+
+def test_sessions_open_at_the_end_of_the_stream_are_in_the_result(spark, tmp_path):
+    import pandas as pd
+
+    import gridhazard.plans.files as plans
+
+    d = pd.DataFrame({"user_id": [1, 1, 1, 2], "ts": pd.to_datetime([0, 40, 500, 510], unit="h", utc=True).as_unit("us"), "value": 99.0})
+    d.to_parquet(tmp_path / "events.parquet")
+    got = plans.session_stream(spark, str(tmp_path)).select("user_id", "n").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (2, 1)]
