@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +15,7 @@ from gridhazard.operators.series import gaussian_smoothed, local_maxima, promine
 
 EARTH_M, CURRENT_HEIGHT_M = 6371e3, 110e3
 POLE_LAT, POLE_LON = (15.0, 85.0, 36), (-175.0, -25.0, 76)
+GROUP_SITES = 256  # sites of a storm weighed in one group, on average: some 6 MB for each of its matrices
 
 
 # ---------------------------------------------------------------- peaks
@@ -86,12 +89,15 @@ def transfer_matrix(obs_lat, obs_lon, site_lat, site_lon, cutoff=0.05) -> np.nda
     return np.vstack(_unit_currents(site_lat, site_lon)) @ back
 
 
-def transfer_weights(observers, sites, chunks=8) -> DataFrame:
+def transfer_weights(observers, sites, group=GROUP_SITES) -> DataFrame:
     """Weights per (storm, site) from ``observers(storm, obs, lat, lon)`` and ``sites(site, lat, lon)``.
 
     A storm's observatories are a short list (a few dozen stations). Sites are
-    spread over ``chunks`` groups per storm, so the work divides over both.
+    spread over groups of about ``group`` per storm, so a group's memory does not
+    grow with them; there are as many partitions as groups of a storm, as a site
+    is few bytes but much work.
     """
+    chunks = max(1, math.ceil(sites.count() / group))
     lists = observers.groupBy("storm").agg(
         F.array_sort(F.collect_list(F.struct("obs", "lat", "lon"))).alias("stations")
     )
@@ -109,6 +115,7 @@ def transfer_weights(observers, sites, chunks=8) -> DataFrame:
     storm = observers.schema["storm"].dataType.simpleString()
     return (
         spread.join(lists, "chunk")
+        .repartition(chunks, "storm", "chunk")
         .groupBy("storm", "chunk")
         .applyInPandas(weigh, f"storm {storm}, site {key}, wx array<double>, wy array<double>")
     )
@@ -140,12 +147,13 @@ def synthesised_field(observed, weights, chunk=24) -> DataFrame:
 # ------------------------------------------------------------ E and V
 
 
-def electric_field(field, impedance, dt=60.0) -> DataFrame:
+def electric_field(field, impedance, dt=60.0, pairs=None) -> DataFrame:
     """E(t) of each (storm, site) by filtering (bx, by) with the site impedance.
 
     ``impedance(site, period, element, z_re, z_im)`` with element xx, xy, yx, yy.
     One group is one site in one storm window: some thousand samples. The impedance
-    meets it once, not once for each sample. Series are padded with zeros to twice
+    meets it once, not once for each sample; ``pairs(storm, site)`` spares looking
+    them up among the samples where they are known. Series are padded with zeros to twice
     their length, so the filter does not carry one end into the other.
     """
     tensor = impedance.groupBy("site").agg(
@@ -174,7 +182,8 @@ def electric_field(field, impedance, dt=60.0) -> DataFrame:
             "ey": np.fft.irfft(z["yx"] * fx + z["yy"] * fy, 2 * n)[:n],
         })
 
-    groups = field.select("storm", "site").distinct().join(tensor, "site").select(*[F.col(c).alias(c) for c in ("storm", "site", "z")])
+    pairs = field.select("storm", "site").distinct() if pairs is None else pairs
+    groups = pairs.join(tensor, "site").select(*[F.col(c).alias(c) for c in ("storm", "site", "z")])
     return field.groupBy("storm", "site").cogroup(groups.groupBy("storm", "site")).applyInPandas(
         filtered, f"storm {storm}, site {key}, t bigint, ex double, ey double"
     )

@@ -124,11 +124,13 @@ def station_coordinates(df, key):
 
 
 def synthesised(spark, sf):
+    """Field at every site and time of the storms, and the pairs of storm and site."""
     # The aligned readings feed both the weights and the synthesis.
     obs = cut_lineage(storm_observations(spark, sf))
     stations = station_coordinates(obs.select("storm", "obs").distinct(), "obs")
     sites = station_coordinates(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site")), "site")
-    return V.synthesised_field(obs, V.transfer_weights(stations, sites))
+    pairs = stations.select("storm").distinct().crossJoin(sites.select("site"))
+    return V.synthesised_field(obs, V.transfer_weights(stations, sites)), pairs
 
 
 @query("FV02 FV04")
@@ -136,7 +138,7 @@ def field_synthesis(spark, sf):
     """Highest horizontal field per storm and site from current-system interpolation (SVD, no SQL)."""
     from gridhazard.functions.scalar import magnitude
 
-    b = synthesised(spark, sf)
+    b, _ = synthesised(spark, sf)
     return b.groupBy("storm", "site").agg(
         F.round(F.max(magnitude(F.col("bx"), F.col("by"))), 4).alias("max_b"), F.count(F.lit(1)).alias("n")
     )
@@ -151,6 +153,7 @@ def electric_field_maxima(spark, sf):
     z = table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("site"), (F.col("l_quantity") * 3600).alias("period"), element.alias("element")
     ).agg(F.avg("l_discount").alias("z_re"), F.avg("l_tax").alias("z_im"))
-    e = R.trimmed(V.electric_field(synthesised(spark, sf), z, dt=3600.0), "storm", "site", int(1.2 * 24))  # 1.2 days of hours
+    field, pairs = synthesised(spark, sf)
+    e = R.trimmed(V.electric_field(field, z, dt=3600.0, pairs=pairs), "storm", "site", int(1.2 * 24))  # 1.2 days of hours
     size = magnitude(finite_or(F.col("ex"), 0.0), finite_or(F.col("ey"), 0.0))
     return e.groupBy("storm", "site").agg(F.round(F.max(size), 6).alias("max_e"))

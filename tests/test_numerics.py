@@ -85,6 +85,20 @@ def test_synthesised_field_is_the_linear_map(spark):
             assert got[(t, s)] == pytest.approx((out[k], out[k + 2]))
 
 
+def test_groups_of_weighed_sites_do_not_grow_with_the_sites(spark, monkeypatch):
+    real = V.transfer_matrix
+
+    def bounded(obs_lat, obs_lon, site_lat, site_lon):
+        if len(site_lat) > 500:
+            raise ValueError(f"{len(site_lat)} sites in one group")
+        return real(obs_lat, obs_lon, site_lat, site_lon)
+
+    monkeypatch.setattr(V, "transfer_matrix", bounded)
+    od = spark.createDataFrame([(5, 1, 40.0, -100.0)], "storm int, obs int, lat double, lon double")
+    sd = spark.range(6000).select(F.col("id").alias("site"), (30.0 + F.col("id") % 20).alias("lat"), (-120.0 + F.col("id") % 50).alias("lon"))
+    assert V.transfer_weights(od, sd).count() == 6000
+
+
 def test_transfer_reproduces_a_uniform_field_nearby():
     lat, lon = np.meshgrid([35.0, 40.0, 45.0], [-110.0, -100.0, -90.0])
     m = V.transfer_matrix(lat.ravel(), lon.ravel(), [41.0], [-99.0])
