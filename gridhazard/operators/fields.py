@@ -16,6 +16,7 @@ from gridhazard.operators.series import gaussian_smoothed, local_maxima, promine
 EARTH_M, CURRENT_HEIGHT_M = 6371e3, 110e3
 POLE_LAT, POLE_LON = (15.0, 85.0, 36), (-175.0, -25.0, 76)
 GROUP_SITES = 256  # sites of a storm weighed in one group, on average: some 6 MB for each of its matrices
+LINE_BLOCKS, FIELD_PARTS = 128, 2  # tasks of the product of weights and field, arrays of a site's field
 
 
 # ---------------------------------------------------------------- peaks
@@ -200,12 +201,26 @@ def valid_lines(weights) -> DataFrame:
     return weights.join(broken, "line", "left_anti")
 
 
-def line_voltages(efield, weights, keys=("t",)) -> DataFrame:
-    """V per (keys, line): sum over sites of weights times field; a sparse matrix product."""
+def line_voltages(efield, weights, keys=("t",), blocks=LINE_BLOCKS) -> DataFrame:
+    """V per (keys, line): sum over sites of weights times field; a sparse matrix product.
+
+    The products are many more than weights and field together, so they are not exchanged: lines are dealt
+    to ``blocks``, each block gets the whole field, in short arrays, and all that is summed for a line meets there.
+    """
+    # A join on (block, site) may stay dealt by block. Without this setting the result is the same, over more exchanges.
+    conf = weights.sparkSession.conf
+    conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    parts = max(2 * blocks, int(conf.get("spark.sql.shuffle.partitions")))  # with fewer than usual Spark deals again, by both keys
+    w = weights.withColumn("_r", F.pmod(F.xxhash64("line"), F.lit(blocks)).cast("int")).repartition(parts, "_r")
+    short = F.pmod(F.xxhash64(*keys), F.lit(FIELD_PARTS))
+    packed = efield.groupBy("site", short.alias("_p")).agg(F.collect_list(F.struct(*keys, "ex", "ey")).alias("_e"))
+    everywhere = packed.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, "_r")
     return (
-        efield.join(weights, "site")
-        .groupBy(*keys, "line")
-        .agg(F.sum(F.col("wx") * F.col("ex") + F.col("wy") * F.col("ey")).alias("v"))
+        w.join(everywhere, ["_r", "site"])
+        .select("_r", "line", "wx", "wy", F.explode("_e").alias("_e"))
+        .groupBy("_r", *[F.col(f"_e.{k}").alias(k) for k in keys], "line")
+        .agg(F.sum(F.col("wx") * F.col("_e.ex") + F.col("wy") * F.col("_e.ey")).alias("v"))
+        .drop("_r")
     )
 
 

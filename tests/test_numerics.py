@@ -85,6 +85,28 @@ def test_synthesised_field_is_the_linear_map(spark):
             assert got[(t, s)] == pytest.approx((out[k], out[k + 2]))
 
 
+def test_products_of_weights_and_field_are_not_exchanged(spark):
+    rnd = np.random.default_rng(1)
+    field = [(t, s, float(rnd.normal()), float(rnd.normal())) for t in range(12) for s in range(9) if (t + s) % 5] + [(3, 1, 0.5, None), (3, 2, 0.5, 2.0)]
+    weights = [(line, s, float(rnd.normal()), float(rnd.normal())) for line in (None, *range(40)) for s in range(0, 9, 1 + (line or 0) % 3)]
+    e = spark.createDataFrame(field, "t bigint, site bigint, ex double, ey double")
+    w = spark.createDataFrame(weights, "line bigint, site bigint, wx double, wy double")
+    out = V.line_voltages(e, w, blocks=5)
+    want = {}
+    for t, s, ex, ey in field:
+        for line, at, wx, wy in weights:
+            if at == s:
+                want[t, line] = want.get((t, line), 0.0) + (0.0 if ey is None else wx * ex + wy * ey)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {(r.t, r.line): r.v for r in out.collect()} == pytest.approx(want)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Exchange" not in plan[:plan.index("SortMergeJoin")]
+
+
 def test_groups_of_weighed_sites_do_not_grow_with_the_sites(spark, monkeypatch):
     real = V.transfer_matrix
 
