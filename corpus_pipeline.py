@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridhazard.llm.common import SMALL_BATCH_BYTES, held_out, prepare
+from gridhazard.llm.common import SMALL_BATCH_BYTES, SMALL_CHUNK_BYTES, held_out, prepare
 from gridhazard.llm.decontaminate import drop_contaminated
 from gridhazard.llm.jaccard import drop_near_copies
 from gridhazard.llm.packing import pack
@@ -43,9 +43,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
-    prepare(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of the documents in sequences of at most 2048 tokens, in chunks that fit beside the heap the stages before have filled."""
+    prepare(spark, SMALL_BATCH_BYTES)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), chunk_bytes=SMALL_CHUNK_BYTES)
 
 
 STAGES = [

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridhazard.llm.bytescan import SpanHasher, byte_class, text_chunks, word_spans, words_of_rows
+from gridhazard.llm.bytescan import CHUNK_BYTES, SpanHasher, byte_class, text_chunks, word_spans, words_of_rows
 
 LENGTH = 2048
 SENTENCE_PRICE, TOKEN_PRICE, SEQUENCE_PRICE = 4, 24, 16
@@ -113,13 +113,13 @@ def gather(held, places):
     return held["ids"][index], size
 
 
-def token_rows(column, held, end_id):
+def token_rows(column, held, end_id, chunk_bytes=CHUNK_BYTES):
     """Token ids of each text with the end token, in order.
 
     A tokenizer word never holds white space, nor a letter beside a mark, so a text's ids are those of its parts
     between such borders. A chunk with a special token's text in it is encoded text by text instead.
     """
-    for row, data, offs in text_chunks(column):
+    for row, data, offs in text_chunks(column, chunk_bytes):
         raw = data.tobytes()
         if any(s in raw for s in held["special"]):
             texts = [raw[a:z].decode("utf-8", "replace") for a, z in zip(offs[:-1].tolist(), offs[1:].tolist())]
@@ -188,7 +188,7 @@ def best_cuts(places, prices, length):
     return cuts[::-1]
 
 
-def pack_partition(batches, path, end_id, length):
+def pack_partition(batches, path, end_id, length, chunk_bytes=CHUNK_BYTES):
     held, part = load(path), TaskContext.get().partitionId()
     sequence = part << 40
     waiting: list[tuple[object, np.ndarray, int, int]] = []  # (id, ids, first token left, tokens in the document)
@@ -231,7 +231,7 @@ def pack_partition(batches, path, end_id, length):
     size, id_type = 0, None
     for batch in batches:
         id_type = batch.schema.field("id").type
-        for key, ids in zip(batch.column("id").to_pylist(), token_rows(batch.column("text"), held, end_id)):
+        for key, ids in zip(batch.column("id").to_pylist(), token_rows(batch.column("text"), held, end_id, chunk_bytes)):
             waiting.append((key, ids, 0, len(ids)))
             size += len(ids)
             if size >= BLOCK_TOKENS:
@@ -241,11 +241,14 @@ def pack_partition(batches, path, end_id, length):
         yield batch_of(flush(True), id_type)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", end_id=1, length=LENGTH) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", end_id=1, length=LENGTH, chunk_bytes=CHUNK_BYTES) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Tokenising takes some 80 bytes of memory for each byte of a chunk of ``chunk_bytes``; the rows do not depend on it.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = rows.mapInArrow(
-        lambda batches: pack_partition(batches, tokenizer_path, end_id, length),
+        lambda batches: pack_partition(batches, tokenizer_path, end_id, length, chunk_bytes),
         f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

@@ -664,3 +664,22 @@ def test_empty_tables(spark):
 def test_toxicity_sample_is_whole():
     for operator in (score_toxicity, drop_toxic):
         assert inspect.signature(operator).parameters["max_rows"].default == 8_000
+
+
+def test_tokenising_takes_memory_by_the_chunk():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gridhazard.llm.packing import load, token_rows
+
+    held = load(TOKENIZER)
+    column = pa.array(["plain words in a row, and so on. " * 2000 for _ in range(48)])
+    list(token_rows(column, held, 1))  # the words are known from here on
+    peaks, rows = [], []
+    for size in (4 << 20, 1 << 19):
+        tracemalloc.start()
+        rows.append([ids[-3:].tolist() + [len(ids)] for ids in token_rows(column, held, 1, size)])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert rows[0] == rows[1] and 3 * peaks[1] < peaks[0]
