@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridhazard.operators.ordered import neighbours_known, shifted
 
 CHUNK = 240  # grid positions per window group
+SPINE_ROWS = 1_000_000  # stretched rows per task: they are few before they are stretched, so their bytes say little
 
 
 def chunk_of(t="t", size=CHUNK):
@@ -73,17 +76,18 @@ def sites_with(df, site, value) -> DataFrame:
 def on_shared_grid(df, keys, value, out) -> DataFrame:
     """First value per (key, t) on every position that occurs anywhere in the data.
 
-    Every key is stretched over the span of all positions and then cut to the
-    positions present, so no cross product of keys and times is planned.
+    The positions present are a short list, so every key is stretched over them in place. Rows are dealt by the
+    first key before that, and neither the stretched rows nor what is grouped by this key later is exchanged.
     """
-    first = df.groupBy(*keys, "t").agg(F.min_by(value, "seq").alias(out))
-    present = df.select("t").distinct()
-    span = present.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    stretch = F.sequence(span.select("a").scalar(), span.select("b").scalar())
-    spine = (
-        df.select(*keys).distinct().select(*keys, F.explode(stretch).alias("t"))
-        .join(present, "t", "left_semi")
-    )
+    conf = df.sparkSession.conf
+    # A join on all keys may stay dealt by the first. Without this setting the result is the same, over more exchanges.
+    conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    many, long = df.agg(F.count_distinct(*keys), F.count_distinct("t")).first()
+    # With fewer partitions than usual Spark deals again, by all keys.
+    parts = max(math.ceil(many * long / SPINE_ROWS), int(conf.get("spark.sql.shuffle.partitions")))
+    first = df.repartition(parts, keys[0]).groupBy(*keys, "t").agg(F.min_by(value, "seq").alias(out))
+    present = df.agg(F.collect_set("t").alias("ts")).scalar()
+    spine = df.select(*keys).distinct().repartition(parts, keys[0]).select(*keys, F.explode(present).alias("t"))
     return spine.join(first, list(keys) + ["t"], "left")
 
 

@@ -18,6 +18,24 @@ def test_nearest_fill_ties_and_edges(spark):
     assert got == [1.0, 1.0, 1.0, 1.0, 1.0, 5.0, 5.0, 5.0]
 
 
+def test_shared_grid_is_dealt_once_by_its_first_key(spark):
+    rows = [(s, c, t, t, float(s + t)) for s in range(6) for c in ("a", "b") for t in (3, 5, 9) if (s + t) % 4] + [(1, "a", 9, 99, -1.0), (None, "a", 3, 1, 2.0)]
+    d = spark.createDataFrame(rows, "site bigint, channel string, t bigint, seq bigint, value double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grid = R.on_shared_grid(d, ["site", "channel"], "value", "v")
+        out = grid.groupBy("site", "t").agg(F.max(F.struct("channel", "v")).alias("m"))
+        got = {(r.site, r.channel, r.t): r.v for r in grid.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    first = {(s, c, t): v for s, c, t, seq, v in rows if seq != 99 and s is not None}
+    keys = {(s, c) for s, c, *_ in rows}
+    assert got == {(*k, t): first.get((*k, t)) for k in keys for t in (3, 5, 9)}
+    assert "Exchange" not in plan[:plan.index("SortMergeJoin")]
+
+
 def test_detrend_removes_a_line(spark):
     d = spark.createDataFrame([("s", 480000 + t, 3.0 + 0.5 * t) for t in range(50)], "site string, t bigint, v double")
     assert max(abs(r.r) for r in R.detrended(d, ["site"], "v", "r").collect()) < 1e-8
