@@ -47,3 +47,17 @@ def test_finite_guards(spark):
     vals = [1.0, float("nan"), float("inf"), None]
     d = spark.createDataFrame([(v,) for v in vals], "x double").select(S.finite_or(F.col("x"), 0.0).alias("y"))
     assert [r.y for r in d.collect()] == [1.0, 0.0, 0.0, 0.0]
+
+
+def test_bytes_of_a_task_are_bounded_and_never_raised(spark):
+    from gridhazard.session import TASK_BYTES, configure
+
+    for key, most in TASK_BYTES.items():
+        spark.conf.set(key, "64m")
+        configure(spark)
+        assert int(spark.conf.get(key)) == most
+        spark.conf.set(key, "8m")
+        configure(spark)
+        assert int(spark.conf.get(key)) == 8 << 20
+        spark.conf.unset(key)
+    configure(spark)
