@@ -18,6 +18,7 @@ An empty table gives no pieces. Extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections import deque
@@ -44,7 +45,12 @@ SENTENCE_ENDS = tuple(mark + "</w>" for mark in (".", "!", "?", "...", "!!", "!!
 
 
 def load(path):
-    """(tokenizer, ids that end a word, ids that end a sentence) of a file, kept in the worker between tasks."""
+    """(tokenizer, ids that end a word, ids that end a sentence) of a file, kept in the worker between tasks.
+
+    The cores of an executor have a task each, so the tokenizer runs in the task's own thread: a pool of threads in every
+    worker keeps memory of its own for each of them.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_kept_by_path", {})

@@ -4,7 +4,10 @@ import hashlib
 import inspect
 import itertools
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -28,6 +31,7 @@ from gridhazard.llm.sharding import shard_documents
 from gridhazard.llm.toxicity import NAMES, LabelModel, drop_toxic, sample_sizes, score_toxicity, unpack
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Names that operators use for their own columns.
 CLASH = "text_key string, row string, id string, score string, n_hit string, found string, spans string, key string, part string"
 SCHEMA = f"doc_id long, text string, lang string, source string, {CLASH}"
@@ -683,3 +687,19 @@ def test_tokenising_takes_memory_by_the_chunk():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert rows[0] == rows[1] and 3 * peaks[1] < peaks[0]
+
+
+def test_tokenizing_starts_no_threads():
+    code = f"""
+import os, sys
+sys.path.insert(0, {ROOT!r})
+import pyarrow as pa
+from gridhazard.llm.packing import load, token_rows
+held, before = load({TOKENIZER!r}), len(os.listdir("/proc/self/task"))
+words = [" ".join("abcdefghij"[k % 10] * (k % 7 + 1) + "abcdefghijklmnopqrst"[k % 20] + chr(97 + k // 400) for k in range(j, 9000, 3)) for j in range(3)]
+assert sum(map(len, token_rows(pa.array(words), held, 1))) > 9000
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=120)
+    assert done.stdout.strip() == "0", done.stderr
