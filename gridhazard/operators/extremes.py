@@ -14,6 +14,7 @@ from gridhazard.session import cut_lineage
 
 #: Cut of a truncated fit in standard deviations, and halvings of that range.
 CUT_RANGE, HALVINGS = (-40.0, 30.0), 60
+DRAW_ROWS = 500_000  # draws made per task: entities are few before they are drawn for, so their bytes say little
 
 
 def sampling_pool(maxima, entity, value, scale=1.0, min_points=5) -> DataFrame:
@@ -48,9 +49,10 @@ def bootstrap_draws(pool, width, attempts=100, n_years=39, seed=7) -> DataFrame:
     """
     # Read three times below, so the scan and the ranking behind it are done once.
     ranked = cut_lineage(ranked_pool(pool, width))
-    sizes = ranked.groupBy("entity").agg(F.max("hi").alias("n"))
+    sizes = cut_lineage(ranked.groupBy("entity").agg(F.max("hi").alias("n")))
+    parts = math.ceil(sizes.count() * attempts * n_years / DRAW_ROWS)
     draws = (
-        sizes.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+        sizes.repartition(max(parts, 1), "entity").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_years - 1))))
         .withColumn("pos", F.floor(uniform(seed, "entity", "attempt", "k") * F.col("n")))
         .select("entity", "attempt", "k", "pos")
@@ -150,13 +152,14 @@ def return_levels(fits, periods, n_years=39) -> DataFrame:
 
 
 def first_valid(levels, n_samples) -> DataFrame:
-    """First ``n_samples`` attempts per entity whose levels are all numbers."""
-    ok = levels.groupBy("entity", "attempt").agg(
-        F.min(S.finite(F.col("value")).cast("int")).alias("ok")
-    ).filter("ok = 1")
-    w = Window.partitionBy("entity").orderBy("attempt")
-    keep = ok.withColumn("sample", F.row_number().over(w) - 1).filter(F.col("sample") < n_samples)
-    return levels.join(keep.select("entity", "attempt", "sample"), ["entity", "attempt"])
+    """First ``n_samples`` attempts per entity whose levels are all numbers.
+
+    Levels are dealt by entity and read once; an entity holds a row per attempt and period, whatever its pool.
+    """
+    d = levels.dropna(subset=["entity", "attempt"]).repartition("entity")
+    d = d.withColumn("_ok", F.min(S.finite(F.col("value")).cast("int")).over(Window.partitionBy("entity", "attempt"))).filter("_ok = 1")
+    turn = F.dense_rank().over(Window.partitionBy("entity").orderBy("attempt"))
+    return d.withColumn("sample", turn - 1).filter(F.col("sample") < n_samples).drop("_ok")
 
 
 def level_intervals(levels) -> DataFrame:

@@ -408,3 +408,31 @@ def test_stops_of_lines_are_not_exchanged_nor_found_twice(spark):
     assert sorted(map(tuple, d.filter("line = 1").collect())) == [(1, 0, 1, "1_0_1"), (1, 1, 2, "1_1_2"), (1, 2, 3, "1_2_3")]
     pieces = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3)], "a int, b int")
     assert sorted(map(tuple, T.adjacency(pieces).collect())) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+
+
+def test_first_valid_attempts_read_the_levels_once(spark):
+    rows = [(e, a, p, float("nan") if (e, a, p) == (1, 1, 50) else None if (e, a, p) == (2, 0, 25) else a + p / 100)
+            for e in (1, 2, None) for a in range(4) for p in (25, 50)]
+    levels = spark.createDataFrame(rows, "entity bigint, attempt int, period int, value double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = X.first_valid(levels, 2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.entity, r.attempt, r.period, r.sample) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert got == [(1, 0, 25, 0), (1, 0, 50, 0), (1, 2, 25, 1), (1, 2, 50, 1), (2, 1, 25, 0), (2, 1, 50, 0), (2, 2, 25, 1), (2, 2, 50, 1)]
+
+
+def test_draws_are_made_in_tasks_of_a_bounded_number(spark, monkeypatch):
+    pool = spark.createDataFrame([(e, float(v), 1) for e in range(40) for v in range(1, 6)], "entity bigint, x double, copies bigint")
+    plans = []
+    for most in (X.DRAW_ROWS, 100):
+        monkeypatch.setattr(X, "DRAW_ROWS", most)
+        out = X.bootstrap_draws(pool, 5.0, attempts=5, n_years=10)
+        plans.append((out._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, out.collect()))))
+    assert "REPARTITION_BY_NUM" in plans[1][0] and "Exchange hashpartitioning(entity#" in plans[1][0]
+    assert any(line.rstrip().split(", REPARTITION_BY_NUM")[0].endswith(", 20)") for line in plans[1][0].splitlines() if "REPARTITION_BY_NUM" in line)
+    assert plans[0][1] == plans[1][1] and len(plans[0][1]) == 40 * 50
