@@ -436,3 +436,51 @@ def test_draws_are_made_in_tasks_of_a_bounded_number(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plans[1][0] and "Exchange hashpartitioning(entity#" in plans[1][0]
     assert any(line.rstrip().split(", REPARTITION_BY_NUM")[0].endswith(", 20)") for line in plans[1][0].splitlines() if "REPARTITION_BY_NUM" in line)
     assert plans[0][1] == plans[1][1] and len(plans[0][1]) == 40 * 50
+
+
+def test_segments_meet_points_of_the_cells_they_pass(spark):
+    """As brute force finds; points met are few for each hit, and pieces do not look their segments up."""
+    rng = np.random.default_rng(11)
+    radius, walks = 0.01, np.cumsum(rng.normal(scale=0.3, size=(6, 12, 2)), axis=1)
+    walks[4, :, 0], walks[5, :, 1] = 0.25, -0.5  # upright and level ones, on the borders of cells
+    walks[3, 5] = walks[3, 4]  # a segment without length
+    pts = np.concatenate([rng.uniform(-1.5, 1.5, (4000, 2)), walks[:, 3], walks[:, 4] + [radius * 0.999, 0], [[0.25, y] for y in np.arange(-1, 1, 0.05)]])
+    lines = spark.createDataFrame([(k, polyline(w)) for k, w in enumerate(walks)] + [(9, polyline([(0.0, 0.0), (float("inf"), 1.0), (float("nan"), 0.0)]))], f"line int, {VERTICES}")
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(pts)], "sub int, x double, y double")
+    d = G.near_lines(G.line_segments(lines, "line"), points, "line", "sub", radius, 0.5)
+    got = {(r.line, r.sub): (r.dist, r.pos, r.seg) for r in d.collect()}
+    want = {}
+    for k, w in enumerate(walks):
+        step = np.diff(w, axis=0)
+        size = np.hypot(*step.T)
+        before = np.append(0, np.cumsum(size))
+        for s in range(len(step)):
+            t = np.clip(((pts - w[s]) @ step[s]) / max(size[s] ** 2, 1e-300), 0, 1)
+            dist = np.hypot(*(w[s] + t[:, None] * step[s] - pts).T)
+            for p in np.flatnonzero(dist <= radius):
+                want[k, p] = min(want.get((k, p), (9.0,)), (dist[p], before[s] + t[p] * size[s], s))
+    assert got.keys() == want.keys()
+    assert all(got[k][:2] == pytest.approx(want[k][:2], abs=1e-9) for k in want)
+    stops = sorted((r for r in d.collect() if r.line == 0), key=lambda r: (r.pos, r.sub))
+    pairs = spark.createDataFrame([(0, a.pos, b.pos, a.seg, b.seg) for a, b in zip(stops, stops[1:])], "line int, pos_a double, pos_b double, seg_a int, seg_b int")
+    told, found = G.line_pieces(lines, pairs, "line"), G.line_pieces(lines, pairs.drop("seg_a", "seg_b"), "line")
+    key = lambda r: (r.pos_a, r.pos_b)
+    for p, q in zip(sorted(told.collect(), key=key), sorted(found.collect(), key=key)):
+        assert np.array(p.vertices) == pytest.approx(np.array(q.vertices), abs=1e-12)
+
+
+def test_points_met_for_a_segment_are_few_for_each_hit(spark):
+    """A long slanting segment stands in the cells it passes: 400 points on a lattice, of which a hundredth is near it."""
+    line = spark.createDataFrame([(1, polyline([(0.0, 0.0), (0.95, 0.95)]))], f"line int, {VERTICES}")
+    points = spark.range(400).select("id", (F.floor(F.col("id") / 20) * 0.05 + 0.013).alias("x"), (F.col("id") % 20 * 0.05).alias("y"))
+    d = G.near_lines(G.line_segments(line, "line"), points, "line", "id", 0.01, 0.5)
+    joined = [n for n in _nodes(d._jdf.queryExecution().analyzed()) if n.nodeName() == "Join"]
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, joined[0]).count()
+    assert 19 <= d.count() and rows < 100
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for k in range(children.size()):
+        yield from _nodes(children.apply(k))
