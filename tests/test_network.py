@@ -310,3 +310,12 @@ def test_products_meet_an_entry_once_for_all_scenarios(spark):
             N.WIDE = before
         assert got == {("A", 0): 0.0, ("A", 1): 5.0, ("B", 0): -5.0, ("B", 1): 15.0}
     assert N.products(coo, v.filter("v > 9")).count() == 0
+
+
+def test_branches_are_read_and_summed_once(spark):
+    rows = [(1, 0, 1, 2.0), (1, 1, 0, 3.0), (1, 1, 1, 5.0), (1, 2, None, 7.0), (1, None, None, 9.0)]
+    d = N.stamped(spark.createDataFrame(rows, "realization int, a int, b int, y double"), spark.createDataFrame([(1, 0, 0.5)], "realization int, i int, y double"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r.i, r.j): r.y for r in d.collect()} == {
+        (0, 0): 5.5, (1, 1): 10.0, (0, 1): -5.0, (1, 0): -5.0, (2, 2): 7.0, (2, None): -7.0, (None, 2): -7.0, (None, None): 7.0}
